@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op1_quality_rules
+from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_toxicity, op9_quality_classifier)}
 ORACLES: dict[str, str] = {}

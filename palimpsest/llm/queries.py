@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .near_dedup import op4_near_dedup
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op1_quality_rules
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_toxicity, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_near_dedup, op6_toxicity, op9_quality_classifier)}
 ORACLES: dict[str, str] = {}

@@ -11,10 +11,11 @@ diagonal band. A similarity of 0.8 bounds what is left over on either side, so t
 loses nothing. Groups are the connected components.
 
 Hot groups: equal texts are first collapsed to one representative. In a bucket not every pair is
-compared: first each member with the bucket's first member and with its neighbour in order of length;
+compared: first each member with the bucket's best connected member and with its neighbour in order of length;
 then components are formed, and only pairs of different components in one bucket are still compared,
-each with at least one member outside the bucket's largest component. So a bucket of near copies costs
-its size, while no pair of a bucket that could still join two components is left out.
+each with at least one member outside the bucket's largest component. These are counted by blocks of
+members inside tasks, and only pairs with enough shingles in common are aligned. So a bucket of near
+copies costs its size in rows, and no pair of a bucket that could still join two components is left out.
 
 Defined results: null texts count as empty; texts without words are near duplicates only of equal
 texts; repeated rows are equal texts; ties go to the smallest doc_id; an empty table gives no rows.
@@ -36,10 +37,11 @@ from .common import chunks, mix, small, table, windows, word_hashes, word_table,
 
 SHINGLE = 5
 SIMILARITY = 0.8
-TABLES = 16
-ORDER = 3
+TABLES = 40
+ORDER = 6
+BLOCK = 256
 NO_ID = (1 << 63) - 1  # stands for a null doc_id
-_SEEDS = np.random.default_rng(4).integers(1, 1 << 63, TABLES, dtype=np.uint64)
+_SEEDS = np.random.default_rng(4).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def labelled_shingles(hashes: np.ndarray, ranges: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -64,15 +66,21 @@ def labelled_shingles(hashes: np.ndarray, ranges: np.ndarray, width: int = SHING
 
 
 def sketch(shingles: np.ndarray, order: int = ORDER) -> list[int]:
-    """Bucket keys of one text: per table, the hash of its smallest labelled shingles in text order."""
-    if not len(shingles):
+    """Bucket keys of one text: per table, the hash of its smallest labelled shingles in text order.
+
+    Shingles are mixed hashes, so a product with the table's odd number orders them anew.
+    """
+    n = len(shingles)
+    if not n:
         return []
-    take = min(order, len(shingles))
-    keys = []
-    for seed in _SEEDS:
-        places = np.sort(np.argpartition(mix(shingles ^ seed), take - 1)[:take])
-        keys.append((mix(shingles[places] + seed) * np.arange(1, 2 * take, 2, dtype=np.uint64)).sum(dtype=np.uint64))
-    return mix(np.array(keys, np.uint64) ^ _SEEDS).view(np.int64).tolist()
+    take = min(order, n)
+    weights = np.arange(1, 2 * take, 2, dtype=np.uint64)
+    keys, step = [], max(1, (1 << 21) // n)  # bounds the memory of very long texts
+    for at in range(0, TABLES, step):
+        seeds = _SEEDS[at : at + step, None]
+        places = np.sort(np.argpartition(shingles[None, :] * seeds, take - 1, axis=1)[:, :take], axis=1)
+        keys.append(mix((mix(shingles[places] + seeds) * weights).sum(axis=1, dtype=np.uint64) ^ seeds[:, 0]))
+    return np.concatenate(keys).view(np.int64).tolist()
 
 
 def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
@@ -100,7 +108,7 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> f
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, h, n shingles, bucket keys by table) of texts (doc_id, h, text)."""
+    """(doc_id, h, n shingles, bucket keys) of texts (doc_id, h, text)."""
 
     def run(batches):
         for batch in batches:
@@ -134,6 +142,67 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(run, "a long, b long")
 
 
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """(rep, n, fp): the labelled shingles of each text as 32-bit numbers, for counting common ones."""
+
+    def run(batches):
+        for batch in batches:
+            for part in small(batch, "text"):
+                rows = [_shingles(t) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(r) for r in rows], pa.int32()), pa.array([r.astype(np.uint32).tobytes() for r in rows], pa.binary())], names=["rep", "n", "fp"])
+
+    return texts.mapInArrow(run, "rep long, n int, fp binary")
+
+
+def common_counts(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """How many numbers each text of one block has in common with each of another (at least: 32-bit numbers may collide)."""
+    a, b = ([np.unique(np.frombuffer(x, np.uint32)) for x in side] for side in (left, right))
+    ra, rb = (np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (a, b))
+    va, vb = (np.concatenate(side) if side else np.zeros(0, np.uint32) for side in (a, b))
+    order = np.argsort(vb, kind="stable")
+    vb, rb = vb[order], rb[order]
+    begin, end = np.searchsorted(vb, va, "left"), np.searchsorted(vb, va, "right")
+    out = np.zeros(len(left) * len(right), np.int64)
+    for at in range(0, len(va), 1 << 14):  # bounds the memory of numbers that many texts share
+        n = (end - begin)[at : at + (1 << 14)]
+        total = int(n.sum())
+        if total:
+            place = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at : at + (1 << 14)], n)
+            out += np.bincount(np.repeat(ra[at : at + (1 << 14)], n) * len(right) + rb[place], minlength=len(out))
+    return out.reshape(len(left), len(right))
+
+
+def block_pairs(named: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different components that have enough shingles in common to be similar.
+
+    named: (key, rep, component, outside). Members are packed in blocks of BLOCK, and blocks of a bucket
+    are joined, so a bucket of n members gives (n / BLOCK)^2 rows and not n^2; within a pair of blocks
+    all pairs are counted at once, and only those that can reach the similarity leave the task.
+    """
+    sizes = named.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = named.join(sizes, "key").select("key", "rep", "component", "outside", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+    blocks = dealt.join(prints, "rep").groupBy("key", "part").agg(F.collect_list(F.struct("rep", "component", "outside", "n", "fp")).alias("rows"), F.max("outside").alias("any"))
+    left, right = blocks.select("key", F.col("part").alias("p"), F.col("rows").alias("x"), F.col("any").alias("any_x")), blocks.select("key", F.col("part").alias("q"), F.col("rows").alias("y"), F.col("any").alias("any_y"))
+    both = left.join(right, "key").filter("p <= q and (any_x or any_y)").select("x", "y")
+    low = similarity - 1e-9
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = batch.column("x")[i].values, batch.column("y")[i].values
+                get = lambda v, f: v.field(f).to_numpy(zero_copy_only=False)
+                n, m = get(x, "n")[:, None].astype(np.int64), get(y, "n")[None, :].astype(np.int64)
+                ok = (get(x, "component")[:, None] != get(y, "component")[None, :]) & (get(x, "outside")[:, None] | get(y, "outside")[None, :]) & (np.minimum(n, m) >= low * np.maximum(n, m))
+                if not ok.any():
+                    continue
+                common = common_counts(x.field("fp").to_pylist(), y.field("fp").to_pylist())
+                at, to = np.nonzero(ok & (common >= low * (n + m - common)))
+                a, b = get(x, "rep")[at], get(y, "rep")[to]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _shingles(text) -> np.ndarray:
     data = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
     offsets = np.array([0, len(data)])
@@ -141,27 +210,23 @@ def _shingles(text) -> np.ndarray:
     return labelled_shingles(word_hashes(data, starts, ends), ranges)[0]
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes of links (a, b): the smallest node that each reaches.
 
-    Alternates large-star and small-star steps: every step replaces links by ones to smaller nodes, and a
-    few steps suffice whatever the shape. Links stay a table in the shared folder. A hot node is only
-    ever a grouping key of a min (summed before the shuffle) and of a join that adaptive execution splits.
+    In each round a node takes the smallest label among its own, its neighbours' and that of the node
+    its label names (pointer jumping), until no label changes. Labels stay a table in the shared folder.
+    A hot node is only a key of a min, summed before the shuffle, and of joins that can be split.
     """
-    links = written(links.filter("a <> b").select("a", "b").distinct(), "links")
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     for _ in range(rounds):
-        # large-star: each node's larger neighbours go to its smallest neighbour (or itself)
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small-star: each node's smaller neighbours and itself go to the smallest of them; here a > b everywhere
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_star = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(small_star.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
-        stars = after.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
-        links = after
-        if stars:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        seen = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "component")
+        jump = labels.select("node", F.col("component").alias("c")).join(labels.select(F.col("node").alias("c"), "component"), "c").select("node", "component")
+        best = seen.unionByName(jump).groupBy("node").agg(F.min("component").alias("best"))
+        after = written(labels.join(best, "node").select("node", F.least("component", "best").alias("component"), (F.col("best") < F.col("component")).alias("moved")), "labels")
+        labels = after.select("node", "component")
+        if after.filter("moved").isEmpty():
+            return labels
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
@@ -171,14 +236,18 @@ def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARI
     signs: (rep, h, n, keys), one row for each different text; hashed: all documents (doc_id, h, text).
     """
     low = similarity - 1e-9
-    members = signs.select("rep", "n", F.posexplode("keys").alias("t", "key"))
-    shared = members.groupBy("t", "key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("lead")).filter("size > 1")
-    members = written(members.join(shared, ["t", "key"]).select("t", "key", "rep", "n", "lead"), "members")
+    members = signs.select("rep", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(members.join(shared, "key").select("key", "rep", "n", "size"), "members")
+    # the leader of a bucket is its best connected member: of a text and its edited copies, the text
+    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+    ranked = members.join(degree, "rep")
+    leads = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("order"), "n")).alias("top")).select("key", (-F.col("top.order")).alias("lead"), F.col("top.n").alias("lead_n"))
     # the texts of members only, once; both rounds of verification read them here
     wanted = members.select("rep").distinct().join(signs.select("rep", "h"), "rep")
     texts = written(hashed.join(wanted.withColumnRenamed("h", "own"), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("rep")) & (F.col("h") == F.col("own"))).select("rep", "text").dropDuplicates(["rep"]), "texts")
-    by_length = Window.partitionBy("t", "key").orderBy("n", "rep")
-    to_lead = members.select(F.col("lead.rep").alias("a"), F.col("lead.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    by_length = Window.partitionBy("key").orderBy("n", "rep")
+    to_lead = members.join(leads, "key").select(F.col("lead").alias("a"), F.col("lead_n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
     to_next = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.lead("rep").over(by_length).alias("b"), F.lead("n").over(by_length).alias("nb"))
     fits = (F.least("na", "nb") >= low * F.greatest("na", "nb")) & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -187,16 +256,11 @@ def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARI
     grouped = components(links)
 
     # Pairs that could still join two components: one member outside the bucket's largest component.
-    named = members.select("t", "key", "rep", "n").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counted = named.groupBy("t", "key", "component").agg(F.count("*").alias("size"))
-    top = counted.groupBy("t", "key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top")).filter("parts > 1")
-    named = written(named.join(top, ["t", "key"]).select("t", "key", "rep", "n", "component", (F.col("component") != F.col("top.component")).alias("outside")), "named")
-    # texts of similarity s have lengths in ratio s, so equal or neighbouring steps of a geometric scale
-    step = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(low))).cast("long")
-    outside = named.filter("outside").select("t", "key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-    others = named.select("t", "key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("outside").alias("ob"), step.alias("step"))
-    left = outside.join(others, ["t", "key", "step"]).filter("ca <> cb and (not ob or a < b)").filter(fits).select(*ordered).distinct()
-    left = written(left.join(first, ["a", "b"], "left_anti"), "pairs")
+    named = members.select("key", "rep", "n").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counted = named.groupBy("key", "component").agg(F.count("*").alias("size"))
+    top = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top")).filter("parts > 1")
+    named = written(named.join(top, "key").select("key", "rep", "n", "component", (F.col("component") != F.col("top.component")).alias("outside")), "named")
+    left = written(block_pairs(named, fingerprints(texts), similarity).join(first, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(left, texts, similarity), "verified")
     if more.isEmpty():
         return grouped

@@ -60,7 +60,7 @@ def said(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders")
     tech = F.element_at(F.lit(["Redis", "Kafka", "PostgreSQL", "Flask", "Heroku", "Docker"]), (F.col("o_orderkey") % 6 + 1).cast("int"))
     old = F.element_at(F.lit(["MySQL", "Jenkins", "Rails"]), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    text = F.concat(F.lit("We use "), tech, F.lit(" "), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("."), (F.col("o_custkey") % 5).cast("string"), F.lit(" on port "), (F.col("o_custkey") % 8000 + 1000).cast("string"), F.lit(". The billing-svc moved off "), old, F.lit(" in production; Priya leads the rollout. Contact ops"), (F.col("o_custkey") % 100).cast("string"), F.lit("@example.com on 2024-03-0"), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("."))
+    text = F.concat(F.lit("We use "), tech, F.lit(" "), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("."), (F.col("o_custkey") % 5).cast("string"), F.lit(" on port "), (F.col("o_custkey") % 8000 + 1000).cast("string"), F.lit(". The billing-svc no longer runs "), old, F.lit(" in production; Priya leads the rollout. Contact ops"), (F.col("o_custkey") % 100).cast("string"), F.lit("@example.com on 2024-03-0"), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("."))
     return o.select(F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("turn_no"), F.when(F.col("o_orderkey") % 2 == 0, "User").otherwise("assistant").alias("role"), text.alias("text"), F.col("o_orderdate").cast("timestamp").alias("ts"))
 
 
@@ -80,7 +80,7 @@ SQL = {
     "questions": """select id as qid, user_id, array_to_string(list_slice(list_filter(regexp_split_to_array(content, '[ \\n\\t\\r]+'), lambda w: w <> ''), 1, 12), ' ') as text, embedding as vector, timestamp '2024-02-01' as as_of from passages where id % 50 = 0""",
     "turns": "select conv_id, turn as turn_no, role, text, timestamp '2024-01-01' + to_days((conv_id % 1000)::int) + to_minutes(turn::int) as ts from conversations",
     "said": """select o_custkey as conv_id, o_orderkey as turn_no, case when o_orderkey % 2 = 0 then 'User' else 'assistant' end as role,
-        'We use ' || ['Redis','Kafka','PostgreSQL','Flask','Heroku','Docker'][o_orderkey % 6 + 1] || ' ' || (o_orderkey % 9 + 1) || '.' || (o_custkey % 5) || ' on port ' || (o_custkey % 8000 + 1000) || '. The billing-svc moved off ' || ['MySQL','Jenkins','Rails'][o_orderkey % 3 + 1]
+        'We use ' || ['Redis','Kafka','PostgreSQL','Flask','Heroku','Docker'][o_orderkey % 6 + 1] || ' ' || (o_orderkey % 9 + 1) || '.' || (o_custkey % 5) || ' on port ' || (o_custkey % 8000 + 1000) || '. The billing-svc no longer runs ' || ['MySQL','Jenkins','Rails'][o_orderkey % 3 + 1]
         || ' in production; Priya leads the rollout. Contact ops' || (o_custkey % 100) || '@example.com on 2024-03-0' || (o_orderkey % 9 + 1) || '.' as text, o_orderdate as ts from orders""",
 }
 _NEEDS = {"questions": ["passages"]}

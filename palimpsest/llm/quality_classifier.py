@@ -24,8 +24,8 @@ from .common import chunks, range_sums, small, table, with_columns, windows, wor
 from .quality_rules import base_counts, ngram_buckets
 from .toxicity import sigmoid
 
-SAMPLE = 6_000
-BUCKETS = 1 << 12
+SAMPLE = 4_000
+BUCKETS = 1 << 11
 SHAPES = 80  # further buckets, for shape tokens
 LABELLERS = 10
 _UPPER = np.isin(np.arange(256), list(range(65, 91)))

@@ -10,8 +10,8 @@ fitted on a bounded sample of labelled documents (``sample_limit``), with an L1
 features with evidence keep a weight; every document is scored, whole.
 
 Defined results: null, empty and wordless texts have no features, so the severity of the intercepts
-alone, grade 0; repeated rows get equal rows; an empty table gives no rows; without toxic labels every
-grade is 0 and severity 0. Extra columns are ignored (or carried through by ``drop_toxic``).
+alone, grade 0; repeated rows get equal rows; an empty table gives no rows; without toxic labels, or
+features that tell them apart, every grade is 0 and severity 0. Extra columns are ignored (or carried through by ``drop_toxic``).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, small, table, with_columns
+from .common import labelled_sample, small, table, with_columns, written
 
 SAMPLE = 12_000
 PREFIXES = (3, 4, 5)
@@ -50,10 +50,10 @@ def sparse_features(text: str | None) -> tuple[list[int], list[int]]:
     return list(found), list(found.values())
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, limit: int):
-    """Rows (doc, toxic, features, counts) of the labelled sample: the only texts the driver's fit depends on."""
+def sample_features(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, toxic, f, c) of the labelled sample: the only texts that the fit depends on."""
     chosen = labelled_sample(labels, F.col("toxic").isNotNull(), limit)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
 
     def run(batches):
         for batch in batches:
@@ -61,7 +61,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, limit: int):
                 found = [sparse_features(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "f", "c"])
 
-    return texts.mapInArrow(run, T.StructType([texts.schema["doc_id"], texts.schema["toxic"], T.StructField("f", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType()))])).toArrow()
+    return texts.mapInArrow(run, "doc_id long, toxic int, f array<long>, c array<int>")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -99,27 +99,27 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_limit: int = SAMPLE) -> tuple[dict[int, float], list[float]]:
     """Weights by feature hash (only those that aren't 0) and thresholds, from a bounded labelled sample."""
-    got = sample_features(docs, labels, sample_limit).combine_chunks()
-    toxic = np.asarray(got.column("toxic").to_numpy(zero_copy_only=False) > 0, bool)
+    sample = written(sample_features(docs, labels, sample_limit).withColumn("row", F.monotonically_increasing_id()), "features")
+    one = sample.select("row", (F.col("toxic") > 0).alias("toxic")).orderBy("row").toArrow()  # at most as many rows as the sample has documents
+    toxic = np.asarray(one.column("toxic").to_numpy(), bool)
     if not toxic.any():
         return {}, [40.0, 40.0]
-    lists, counts = got.column("f").combine_chunks(), got.column("c").combine_chunks()
-    rows = np.repeat(np.arange(len(toxic)), lists.value_lengths().to_numpy())
-    ids, cols = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    values = counts.flatten().to_numpy().astype(float)
-    in_toxic, in_clean = np.bincount(cols[toxic[rows]], minlength=len(ids)), np.bincount(cols[~toxic[rows]], minlength=len(ids))
-    odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_clean + 0.5) / ((~toxic).sum() + 1))
-    worth = np.abs(odds) * np.sqrt(in_toxic + in_clean)
-    used = np.flatnonzero((in_toxic + in_clean >= 3) & (np.abs(odds) >= MIN_ODDS))
-    used = used[np.lexsort((ids[used], -worth[used]))][:MAX_FEATURES]
-    marker = (odds > 3) & (in_toxic >= 3)
-    strength = np.bincount(rows, values * marker[cols], len(toxic))
+    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
+    each = sample.select("row", (F.col("toxic") > 0).cast("int").alias("t"), F.explode(F.arrays_zip("f", "c")).alias("x")).select("row", "t", "x.f", "x.c")
+    odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n_clean + 1))
+    counted = each.groupBy("f").agg(F.sum("t").alias("bad"), F.count("*").alias("n")).filter("n >= 3").withColumn("odds", odds).filter(F.abs("odds") >= MIN_ODDS)
+    chosen = counted.orderBy(F.desc(F.abs("odds") * F.sqrt("n")), "f").limit(MAX_FEATURES).select("f", ((F.col("odds") > 3) & (F.col("bad") >= 3)).alias("marker"))
+    # only the chosen features' entries come to the driver: a few for each sampled document
+    got = each.join(F.broadcast(chosen), "f").select("row", "f", "c", "marker").orderBy("row", "f").toArrow()
+    rows = np.searchsorted(one.column("row").to_numpy(), got.column("row").to_numpy())
+    if not got.num_rows:  # nothing tells toxic from clean texts
+        return {}, [40.0, 40.0]
+    ids, cols = np.unique(got.column("f").to_numpy(), return_inverse=True)
+    values = got.column("c").to_numpy().astype(float)
+    strength = np.bincount(rows, values * np.asarray(got.column("marker").to_numpy(), bool), len(toxic))
     grades = np.where(toxic, np.where(strength >= np.median(strength[toxic]), 2, 1), 0)
-    place = np.full(len(ids), -1)
-    place[used] = np.arange(len(used))
-    kept = place[cols] >= 0
-    w, thresholds = fit_ordinal(rows[kept], place[cols[kept]], values[kept], grades, len(used))
-    return {int(ids[u]): float(x) for u, x in zip(used, w, strict=True) if x}, [float(t) for t in thresholds]
+    w, thresholds = fit_ordinal(rows, cols, values, grades, len(ids))
+    return {int(f): float(x) for f, x in zip(ids, w, strict=True) if x}, [float(t) for t in thresholds]
 
 
 def graded(docs: DataFrame, model: tuple[dict[int, float], list[float]], text: str = "text", cut: float = 0.5) -> DataFrame:

@@ -11,16 +11,18 @@ rows costs no task more than a few ranges.
 Defined results: null texts have size 0; a null source is a source of its own, after all others; ids
 that are null or repeated tie, and ties are ordered by size and text hash; a source without words takes
 none; an empty table gives no rows. Extra columns are ignored (or carried by ``mixed_documents``).
-All of it is DataFrame functions.
+Words are counted in Arrow batches; all else is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import chunks, range_sums, table, with_columns, word_table, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SHARE = 1.5
@@ -30,10 +32,29 @@ BUCKETS = 4096
 SEED = 8
 
 
-def quality_weight(text: Column) -> Column:
+COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("count_words", "count_symbols", "count_bytes")])
+_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, source, text) with words, symbols and bytes of each text: in Arrow batches, as regular expressions would copy every text several times."""
+
+    def make():
+        def work(column):
+            out = [[np.zeros(0, np.int64)] for _ in COUNTS]
+            for _, _, data, offsets in chunks(column):
+                for o, v in zip(out, (np.diff(word_table(data, offsets)[2]), range_sums(_SYMBOL[data], offsets), np.diff(offsets)), strict=True):
+                    o.append(v)
+            return [np.concatenate(o) for o in out]
+
+        return work
+
+    return with_columns(docs, ["text"], COUNTS, make)
+
+
+def quality_weight() -> Column:
     """From 0.05 to 1: less for texts with many symbols."""
-    symbols = F.regexp_count(text, F.lit("[#*$%&|<>]")) / F.greatest(F.length(text), F.lit(1))
-    return F.coalesce(F.greatest(F.lit(0.05), 1 - 6 * symbols), F.lit(0.05))
+    return F.greatest(F.lit(0.05), 1 - 6 * F.col("count_symbols") / F.greatest("count_bytes", F.lit(1)))
 
 
 def targets(sources: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -65,8 +86,9 @@ def mixed(docs: DataFrame, weight: Column | None = None, share: float = SHARE, w
     """doc_id, h (hash of the text), size, source, source_size, target, epochs, taken of every document."""
     h = F.xxhash64("text")
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    key = -F.log(u) / (quality_weight(F.col("text")) if weight is None else weight)
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), h.alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", *([] if weight is None else [weight.alias("given")]))
+    key = -F.log(u) / (quality_weight() if weight is None else F.col("given"))
+    sized = counted(rows).select("doc_id", "source", h.alias("h"), F.col("count_words").alias("size"), key.alias("key"))
     sized = written(sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")), "sizes")
     sums = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
     goal = written(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), share, weights).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")), "targets")
@@ -88,10 +110,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     takes = mixed(docs, **options).filter("taken > 0").groupBy("doc_id", "h", "size").agg(F.count("*").alias("rows"), F.max("epochs").alias("epochs"), F.sum("part").alias("parts"))
     rows = docs.withColumnsRenamed(names)
     text = F.col(names["text"])
-    rows = rows.join(takes, F.col(names["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("h")))
-    # repeated rows share what they take: each gets its equal share, the parts are given to the first of them
-    nth = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("size"))
-    rows = rows.withColumn("nth", F.when(F.col("rows") > 1, nth).otherwise(1)).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("parts") - (F.col("nth") - 1) * F.col("size"))))
+    # hashing the narrow side spares a sort of the texts
+    rows = rows.join(takes.hint("shuffle_hash"), F.col(names["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("h")))
+    rows = rows.withColumn("part", F.floor(F.col("parts") / F.col("rows")))  # repeated rows take equal shares
     takes = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("words", F.explode(takes))
     split = F.split(text, "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")

@@ -59,7 +59,7 @@ def test_packing_round_trip(spark, corpus):
 def test_packing_odd_rows(spark):
     rows = packing.pack(edge_docs(spark)).collect()
     assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(r[0] for r in edge_rows())
-    check_packing([r for r in rows if r.doc_id != 1], {})
+    check_packing(rows, {})
     assert packing.pack(empty_docs(spark)).count() == 0
 
 

@@ -329,7 +329,7 @@ def strip_made_up_dates(content: Column, question: Column) -> Column:
 
 def coerce_confidence(c: Column, fallback: Column) -> Column:
     v = c.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), fallback)
+    return F.when(v.isNull() | F.isnan(v), fallback).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
 def coerce_bool(c: Column) -> Column:

@@ -68,16 +68,21 @@ def profile_counts(users: DataFrame, **tables: DataFrame) -> DataFrame:
 def throttled(activity: DataFrame, seconds: int = 60) -> DataFrame:
     """Touches that are recorded: at least so many seconds after the user's last recorded one.
 
-    A fold over each user's sorted touches: the rule depends on the whole chain of recorded ones.
+    A gap that long before a touch means that it is recorded, whatever came before, so each user's
+    touches fall into independent runs, and only a run is folded in order. Touches without a time don't count.
     """
     step = seconds * 1_000_000
-    folded = activity.groupBy("user_id").agg(F.sort_array(F.collect_list(F.unix_micros("ts"))).alias("t"))
+    by = Window.partitionBy("user_id").orderBy("t")
+    before = F.lag("t").over(by)
+    touches = activity.filter("ts is not null").select("user_id", F.unix_micros("ts").alias("t")).distinct()
+    runs = touches.withColumn("starts", F.when(before.isNull() | (F.col("t") - before >= step), 1).otherwise(0)).withColumn("run", F.sum("starts").over(by))
+    folded = runs.groupBy("user_id", "run").agg(F.sort_array(F.collect_list("t")).alias("t"))
     state = F.aggregate(
         "t",
         F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n")),
         lambda s, x: F.when(s["last"].isNull() | (x - s["last"] >= step), F.struct(x.alias("last"), (s["n"] + 1).alias("n"))).otherwise(s),
     )
-    return folded.select("user_id", state["n"].alias("recorded"), F.timestamp_micros(state["last"]).alias("last_recorded"))
+    return folded.select("user_id", state.alias("s")).groupBy("user_id").agg(F.sum("s.n").alias("recorded"), F.timestamp_micros(F.max("s.last")).alias("last_recorded"))
 
 
 def storage(claims: DataFrame, columns: list[str]) -> DataFrame:

@@ -36,9 +36,28 @@ def nodes(points: DataFrame, claims: DataFrame) -> DataFrame:
     return points.join(claims.select("id", "entity", "content", "authority"), "id").select("id", label.alias("label"), "cluster", "x", "y", (4 * F.sqrt("authority") + 2).alias("size"))
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+
+
 def relationships(claims: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, other, kind): similarity edges both ways, and claims of the same entity that aren't joined by one."""
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    """(id, entity, n_similar, n_same) of every claim: its similarity edges, and how many further claims share its entity.
+
+    The entity is the class that relates claims; its members are counted, never paired. ``related`` lists the pairs of asked claims.
+    """
+    c = claims.select("user_id", "entity", "id")
+    ends = _both_ways(edges).join(c.select("id", F.col("entity").alias("mine")), "id").join(c.select(F.col("id").alias("other"), F.col("entity").alias("theirs")), "other")
+    linked = ends.groupBy("id").agg(F.count("*").alias("n_similar"), F.count_if(F.col("mine") == F.col("theirs")).alias("same"))
+    sizes = c.groupBy("user_id", "entity").agg(F.count("*").alias("size"))
+    none = lambda x: F.coalesce(x, F.lit(0))
+    rows = c.join(linked, "id", "left").join(sizes, ["user_id", "entity"], "left")
+    return rows.select("id", "entity", none("n_similar").alias("n_similar"), none(F.col("size") - 1 - none("same")).alias("n_same"))
+
+
+def related(asked: DataFrame, claims: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, other, kind) of the asked ids, a few that someone looks at: similar claims, and those of the same entity that no edge names."""
+    ids = asked.select("id").distinct()
+    similar = _both_ways(edges).join(ids, "id", "left_semi")
     c = claims.filter("entity is not null").select("user_id", "entity", "id")
-    same = c.join(c.withColumnRenamed("id", "other"), ["user_id", "entity"]).filter("id <> other").select("id", "other")
-    return both.withColumn("kind", F.lit("similar")).unionByName(same.join(both, ["id", "other"], "left_anti").withColumn("kind", F.lit("entity")))
+    same = c.join(ids, "id", "left_semi").join(c.withColumnRenamed("id", "other"), ["user_id", "entity"]).filter("id <> other").select("id", "other")
+    return similar.withColumn("kind", F.lit("similar")).unionByName(same.join(similar, ["id", "other"], "left_anti").withColumn("kind", F.lit("entity")))

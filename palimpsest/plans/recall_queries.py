@@ -120,9 +120,9 @@ def g1_knn_edges(spark, sf):
     return vec.knn_edges(p)
 
 
-@query("passages", _G1 + ", both_ as (select src, dst from edges union all select dst, src from edges) select src as id, dst as other, 'similar' as kind from both_ union all select a.id, b.id, 'entity' from passages a join passages b on a.user_id = b.user_id and a.entity = b.entity and a.id <> b.id anti join both_ on both_.src = a.id and both_.dst = b.id")
+@query("passages", _G1 + ", both_ as (select src, dst from edges union all select dst, src from edges), l as (select x.id, count(*) as n_similar, count(*) filter (x.entity = y.entity) as same from both_ join passages x on x.id = src join passages y on y.id = dst group by 1) select p.id, entity, coalesce(n_similar, 0) as n_similar, case when entity is null then 0 else count(*) over (partition by user_id, entity) - 1 - coalesce(same, 0) end as n_same from passages p left join l using (id)")
 def g6_relationships(spark, sf):
-    """Similarity edges and shared entities that aren't edges already."""
+    """Of each claim, its similarity edges and the number of other claims of its entity that aren't edges already."""
     p, _ = _base(spark, sf)
     return gr.relationships(p, vec.knn_edges(p))
 

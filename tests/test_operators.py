@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import activity, beliefs, components, context, dedup, entities, evaluate, extract, rerank, retrieve
+from palimpsest.operators import activity, beliefs, components, context, dedup, entities, evaluate, extract, graph, rerank, retrieve
 from palimpsest.streaming import jobs
 
 DAY = dt.datetime(2024, 1, 1)
@@ -175,3 +175,12 @@ def test_streamed_throttle_equals_batch(spark, tmp_path):
     stream = jobs.throttled_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     stream.writeStream.foreachBatch(lambda b, i: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.user_id, (r.ts - DAY).seconds) for r in out) == [(u, s) for u in (1, 2) for s in (0, 60, 200)]
+
+
+def test_relationships_count_what_related_lists(spark):
+    claims = spark.createDataFrame([(i, 1, "ab"[i % 2] if i < 8 else None) for i in range(10)], "id long, user_id long, entity string")
+    edges = spark.createDataFrame([(0, 2), (0, 1), (3, 9)], "src long, dst long")
+    listed = graph.related(claims, claims, edges).groupBy("id").pivot("kind", ["similar", "entity"]).count().na.fill(0).collect()
+    counts = {r.id: (r.n_similar, r.n_same) for r in graph.relationships(claims, edges).collect()}
+    assert counts[0] == (2, 2) and counts[9] == (1, 0)
+    assert {r.id: (r.similar, r.entity) for r in listed} == {k: n for k, n in counts.items() if any(n)}

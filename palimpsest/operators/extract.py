@@ -226,6 +226,12 @@ def message_windows(turns: DataFrame, width: int = 3) -> DataFrame:
     return rows.filter(F.size("m") == width).select("conv_id", F.col("turn_no").alias("first_turn"), "last_turn", F.array_join("m", " | ").alias("content"), F.lit("message-window").alias("source"), F.lit(0.65).alias("authority"))
 
 
+def message_claims(turns: DataFrame) -> DataFrame:
+    """Each message as a claim ``role: text``, with the days it names resolved by its own time."""
+    content = tx.enrich_with_dates(F.concat(F.coalesce("role", F.lit("unknown")), F.lit(": "), "text"), F.col("ts"))
+    return turns.filter("text is not null").select("conv_id", "turn_no", content.alias("content"), "ts", F.lit("message").alias("source"), F.lit(0.7).alias("authority"))
+
+
 def paired(turns: DataFrame) -> DataFrame:
     """Messages (0, 1), (2, 3), ... of a conversation as (conv_id, pair, first, second)."""
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn_no")) - 1

@@ -398,5 +398,5 @@ def scored_tokens(c: Column) -> Column:
 
 
 def squad_tokens(c: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\b(a|an|the)\b", " "), r"[!-/:-@\[-`{-~]", "")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\b(a|an|the)\b", " "), r"[!-/:-@\[-`{-~]", "")
     return F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")

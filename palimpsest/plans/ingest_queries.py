@@ -105,7 +105,8 @@ def e5_merged_claims(spark, sf):
     return en.merged(c.withColumnRenamed("entity", "entity_id"), mapping).groupBy("entity_id").agg(F.count("*").alias("n"), F.max("ts").alias("ts"))
 
 
-_SQUAD = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '\b(a|an|the)\b', ' ', 'g'), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w <> '')"
+_WORD = r"[\p{L}\p{N}_\p{M}]"
+_SQUAD = rf"list_filter(regexp_split_to_array(regexp_replace(array_to_string(list_transform(regexp_extract_all(lower(text), '{_WORD}+|[^{_WORD[1:]}+'), lambda w: case when w in ('a', 'an', 'the') then ' ' else w end), ''), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w <> '')"
 
 
 @query("turns", f"""+ t as (select conv_id, turn_no, {_SQUAD} as p from turns), g as (select conv_id, turn_no, p, lead(p) over (partition by conv_id order by turn_no) as g from t),

@@ -137,8 +137,8 @@ def features(data: np.ndarray, offsets: np.ndarray, s: np.ndarray) -> np.ndarray
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         if b - a >= 3:
             out[i, :BUCKETS] = np.bincount(found[a : b - 2], minlength=BUCKETS) / (b - a - 2)
-        for t in shape_tokens(s):
-            out[i, t[i]] = 0.1
+    for t in shape_tokens(s):
+        out[np.arange(len(out)), t] = 0.1
     return out
 
 
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, sample_limit: int = SAMPLE) -> np.ndarray:
     """The scorer's weights. Vote counts cover all documents; only the fit uses a bounded sample, chosen by hash."""
     good, _ = label_model(pattern_counts(docs))
     chosen = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").limit(sample_limit)
-    texts = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "t")
+    texts = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"))  # of texts with one id always the same
 
     def run(batches):
         for batch in batches:

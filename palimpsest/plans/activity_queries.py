@@ -139,9 +139,12 @@ def _resolved(spark, sf):
     return en.resolved(parts.select(mention.alias("mention")).distinct(), parts.select(name.alias("entity")).distinct())
 
 
-@query()
+@query(sql=_TRI + """, n as (select p_name as name, min(p_partkey) as created, min(p_size) > 2 as provisional from part group by 1),
+ t as (select a.ps as a, b.ps as b, list_unique(list_intersect(a.g, b.g)) / list_unique(list_concat(a.g, b.g))::double as s from e a join e b on a.ps < b.ps),
+ j as (select a, b, s, (x.provisional, x.created, x.name) < (y.provisional, y.created, y.name) as first from t join n x on x.name = a join n y on y.name = b where s >= 0.3)
+ select a, b, round(s, 6) as similarity, case when s >= 0.6 then 'merge' when s < 0.4 then 'reject' else 'pending' end as verdict, case when first then a else b end as survivor, case when first then b else a end as loser from j""")
 def e4_merge_candidates(spark, sf):
-    """Candidate pairs with the policy's verdict and the survivor; tested on a fixture."""
+    """Candidate pairs with the policy's verdict and the survivor."""
     names = v.read(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("created"), (F.min("p_size") > 2).alias("provisional"))
     pairs = en.trigram_pairs(names.select("name"), names.select("name"), "name", 0.3).filter("a < b")
     return en.merge_policy(pairs, names)

@@ -247,7 +247,7 @@ def c2_context(spark, sf):
     return cx.assembled(asked, ranked, p.withColumn("summary_medium", F.left("content", F.lit(400))).withColumn("summary_short", F.left("content", F.lit(120)))).select("qid", "budget_total", "budget_remaining", "n_selected", "dropped", F.md5("rendered").alias("rendered_md5"))
 
 
-@query()
+@query("passages questions", _DENSE + _LEX + _FUSED + " select qid, 'dense' as stage, count(*) as n from dense group by 1 union all select qid, 'fused', count(*) from fused group by 1 union all select qid, 'ranked', least(10, count(*)) from fused group by 1")
 def c5_stage_trace(spark, sf):
     """Rows after each stage, by question."""
     p, q = _base(spark, sf)

@@ -4,6 +4,8 @@ A text is the sequence of its five-word shingles, each labelled with how often i
 (fewer than five words: one shingle). For each of TABLES hash functions the ORDER smallest labelled
 shingles are sampled and kept in text order; their hash is a bucket key, so a shared bucket needs equal
 shingles in equal order, which makes the sketch sensitive to edit similarity and not only to sets.
+Texts of at most SHORT shingles have keys that every similar pair of them shares with certainty; those
+that may also be similar to a longer text have both kinds.
 
 Two texts are near duplicates if their similarity m / (a + b - m) is 0.8 or more, where a and b are
 their numbers of labelled shingles and m the longest common subsequence of both sequences within a
@@ -24,7 +26,10 @@ Rows with a null doc_id take part, and come last in their group. Extra columns a
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 40
 ORDER = 6
+SHORT = 20  # up to so many shingles, pairs are found with certainty
+SHARED = 3  # shingles in a key of a short text
 BLOCK = 256
 NO_ID = (1 << 63) - 1  # stands for a null doc_id
 _SEEDS = np.random.default_rng(4).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,6 +90,37 @@ def sketch(shingles: np.ndarray, order: int = ORDER) -> list[int]:
     return np.concatenate(keys).view(np.int64).tolist()
 
 
+@lru_cache
+def _choices(n: int, take: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), take)), np.int64).reshape(-1, take)
+
+
+def short_keys(shingles: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """Bucket keys of one short text, of which any two similar texts share one.
+
+    Both texts hold the m common shingles, and m is at least need = similarity * n for either n. Of all shingles,
+    the SHARED smallest common ones are among the n - need + SHARED smallest of each text, in the same
+    text order; so each choice of SHARED of those is a key. Where need is smaller, fewer are chosen as well.
+    """
+    n = len(shingles)
+    if not n:
+        return []
+    need = max(1, math.ceil(similarity * n - 1e-9))
+    keys = []
+    for take in range(min(need, SHARED), SHARED + 1):
+        places = np.sort(np.argsort(shingles)[: n - need + take])
+        chosen = shingles[places[_choices(len(places), take)]]
+        keys.append(mix((mix(chosen) * np.arange(1, 2 * take, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)))
+    return np.unique(np.concatenate(keys)).view(np.int64).tolist()
+
+
+def bucket_keys(shingles: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """All bucket keys of one text: certain ones of a short text, sketches of one that may be similar to a longer one."""
+    n = len(shingles)
+    keys = short_keys(shingles, similarity) if n <= SHORT else []
+    return keys + sketch(shingles) if n + 1e-9 >= similarity * (SHORT + 1) else keys
+
+
 def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
     """m / (len a + len b - m), m the longest common subsequence in the band; 0 where it can't reach ``similarity``.
 
@@ -107,7 +145,7 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> f
     return len(tops) / (n + k - len(tops))
 
 
-def sketches(texts: DataFrame) -> DataFrame:
+def sketches(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, h, n shingles, bucket keys) of texts (doc_id, h, text)."""
 
     def run(batches):
@@ -117,7 +155,7 @@ def sketches(texts: DataFrame) -> DataFrame:
                     starts, ends, ranges = word_table(data, offsets)
                     rows = labelled_shingles(word_hashes(data, starts, ends), ranges)
                     own = part.slice(at, to - at)
-                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("h"), pa.array([len(r) for r in rows], pa.int64()), pa.array([sketch(r) for r in rows], pa.list_(pa.int64()))], names=["doc_id", "h", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("h"), pa.array([len(r) for r in rows], pa.int64()), pa.array([bucket_keys(r, similarity) for r in rows], pa.list_(pa.int64()))], names=["doc_id", "h", "n", "keys"])
 
     return texts.mapInArrow(run, "doc_id long, h binary, n long, keys array<long>")
 
@@ -271,7 +309,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """Of every document: doc_id, class_id (smallest doc_id with an equal text), group_id (smallest doc_id of the near-duplicate group), kept (the group's first document)."""
     hashed = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.unhex(F.sha2("text", 256)))
     # one row of sketch for each class: combined before the shuffle, so a hot text costs one row a task
-    signs = sketches(hashed.select("doc_id", "h", "text"))
+    signs = sketches(hashed.select("doc_id", "h", "text"), similarity)
     signs = written(signs, "sketches")
     classes = written(signs.groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("rep", "h", "n", "keys"), "classes")
     grouped = near_links(classes.filter("n > 0"), hashed, similarity)

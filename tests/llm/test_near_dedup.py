@@ -103,3 +103,30 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "5", "6", "7", "8", "None"]
     assert nd.near_duplicates(empty_docs(spark)).count() == 0
     assert nd.drop_near_duplicates(empty_docs(spark)).count() == 0
+
+
+def test_short_pairs_share_a_key_with_certainty(spark):
+    rnd = random.Random(8)
+    texts = []
+    for n in range(1, 27):
+        for _ in range(40 if n < 13 else 8):
+            base = rnd.choices(WORDS, k=n)
+            texts += [" ".join(base), " ".join([*base, rnd.choice(WORDS)]), " ".join([rnd.choice(WORDS), *base]), " ".join(edited(rnd, base, 1)), " ".join([*base, *rnd.choices(WORDS, k=2)])]
+    s = [shingles(t) for t in texts]
+    keys = [set(nd.bucket_keys(x)) for x in s]
+    near = {(i, j) for i in range(len(s)) for j in range(i) if len(s[i]) <= nd.SHORT and len(s[j]) <= nd.SHORT and nd.alignment(s[i], s[j]) >= nd.SIMILARITY}
+    assert {(len(s[i]), len(s[j])) for i, j in near} >= {(5, 4), (6, 5), (7, 6), (9, 8)}
+    assert all(keys[i] & keys[j] for i, j in near)
+    eight, nine = " ".join(WORDS[:8]), " ".join(WORDS[:9])
+    ten = " ".join(WORDS[20:30])
+    rows = nd.near_duplicates(docs(spark, [eight, nine, ten, "first " + ten, "another text of just a few words here"])).collect()
+    assert {r.doc_id: r.group_id for r in rows} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.9])
+def test_short_pairs_share_a_key_at_other_similarities(similarity):
+    rnd = random.Random(9)
+    texts = [rnd.choices(range(12), k=rnd.randrange(1, 9)) for _ in range(150)]
+    s = [np.unique(nd.mix(np.array(t, np.uint64))) for t in texts]
+    keys = [set(nd.short_keys(x, similarity)) for x in s]
+    assert all(keys[i] & keys[j] for i in range(len(s)) for j in range(i) if nd.alignment(s[i], s[j], similarity) >= similarity)

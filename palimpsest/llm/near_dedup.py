@@ -21,7 +21,8 @@ copies costs its size in rows, and no pair of a bucket that could still join two
 
 Defined results: null texts count as empty; texts without words are near duplicates only of equal
 texts; repeated rows are equal texts; ties go to the smallest doc_id; an empty table gives no rows.
-Rows with a null doc_id take part, and come last in their group. Extra columns are ignored or carried.
+Rows with a null doc_id take part, and come last in their group. Different texts under one doc_id, or
+under none, are different documents; equal ids alone never join groups. Extra columns are ignored or carried.
 """
 
 from __future__ import annotations
@@ -271,7 +272,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the representatives that have a near duplicate.
 
-    signs: (rep, h, n, keys), one row for each different text; hashed: all documents (doc_id, h, text).
+    signs: (rep, id, h, n, keys), one row for each different text: rep is its number, id its smallest doc_id
+    (NO_ID for null); hashed: all documents (doc_id, h, text).
     """
     low = similarity - 1e-9
     members = signs.select("rep", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
@@ -282,8 +284,8 @@ def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARI
     ranked = members.join(degree, "rep")
     leads = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("order"), "n")).alias("top")).select("key", (-F.col("top.order")).alias("lead"), F.col("top.n").alias("lead_n"))
     # the texts of members only, once; both rounds of verification read them here
-    wanted = members.select("rep").distinct().join(signs.select("rep", "h"), "rep")
-    texts = written(hashed.join(wanted.withColumnRenamed("h", "own"), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("rep")) & (F.col("h") == F.col("own"))).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    wanted = members.select("rep").distinct().join(signs.select("rep", "id", "h"), "rep")
+    texts = written(hashed.join(wanted.withColumnRenamed("h", "own"), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id")) & (F.col("h") == F.col("own"))).select("rep", "text").dropDuplicates(["rep"]), "texts")
     by_length = Window.partitionBy("key").orderBy("n", "rep")
     to_lead = members.join(leads, "key").select(F.col("lead").alias("a"), F.col("lead_n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
     to_next = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.lead("rep").over(by_length).alias("b"), F.lead("n").over(by_length).alias("nb"))
@@ -305,26 +307,35 @@ def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARI
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """Of every document: doc_id, class_id (smallest doc_id with an equal text), group_id (smallest doc_id of the near-duplicate group), kept (the group's first document)."""
+def _grouped(docs: DataFrame, text: str, key: str, similarity: float) -> DataFrame:
+    """Of every document: doc_id, h, class_id, and the (id, h) of its group's first text as group_id, group_h; kept marks that text's documents of that id."""
     hashed = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.unhex(F.sha2("text", 256)))
     # one row of sketch for each class: combined before the shuffle, so a hot text costs one row a task
     signs = sketches(hashed.select("doc_id", "h", "text"), similarity)
     signs = written(signs, "sketches")
-    classes = written(signs.groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("rep", "h", "n", "keys"), "classes")
-    grouped = near_links(classes.filter("n > 0"), hashed, similarity)
-    named = classes.select("h", F.col("rep").alias("class_id")).join(grouped.select(F.col("node").alias("class_id"), F.col("component").alias("group_id")), "class_id", "left").withColumn("group_id", F.coalesce("group_id", "class_id"))
-    return signs.select("doc_id", "h").join(named, "h").select("doc_id", "class_id", "group_id", (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("group_id")).alias("kept"))
+    classes = signs.groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    # ids may be null or repeated, so each text has a number of its own, which holds once it is written
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "id", "h", "n", "keys"), "classes")
+    named = classes.select("rep", "id", "h")
+    grouped = near_links(classes.filter("n > 0"), hashed, similarity).select(F.col("node").alias("rep"), "component")
+    first = grouped.join(named, "rep").groupBy("component").agg(F.min(F.struct("id", "h")).alias("first"))
+    grouped = grouped.join(first, "component").select("rep", "first")
+    named = named.join(grouped, "rep", "left").select("h", F.col("id").alias("class_id"), F.coalesce("first.id", "id").alias("group_id"), F.coalesce("first.h", "h").alias("group_h"))
+    return signs.select("doc_id", "h").join(named, "h").withColumn("kept", (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("group_id")) & (F.col("h") == F.col("group_h")))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """Of every document: doc_id, class_id (smallest doc_id with an equal text), group_id (smallest doc_id of the near-duplicate group), kept (the group's first document), group_hash (SHA-256 of that document's text: tells groups apart whose ids are null or repeated)."""
+    return _grouped(docs, text, key, similarity).select("doc_id", "class_id", "group_id", "kept", F.lower(F.hex("group_h")).alias("group_hash"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each near-duplicate group, with its columns; of repeated rows with that id, one."""
-    kept = near_duplicates(docs, text, key, similarity).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    # the window reuses the join's partitioning and only ever sees rows of one id
+    """One document of each near-duplicate group, with its columns; of rows with that id and text, one."""
+    kept = _grouped(docs, text, key, similarity).filter("kept").select(F.col("group_id").alias("id"), F.col("group_h").alias("h")).distinct()
     rows = docs.withColumnsRenamed(names := {n: f"in_{i}" for i, n in enumerate(docs.columns)})
-    own = names[key]
-    rows = rows.join(kept, F.coalesce(F.col(own).cast("long"), F.lit(NO_ID)) == F.coalesce("kept_id", F.lit(NO_ID)), "left_semi")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(F.coalesce(F.col(own).cast("long"), F.lit(NO_ID))).orderBy(F.xxhash64(names[text])))).filter("nth = 1")
+    rows = rows.withColumns({"id": F.coalesce(F.col(names[key]).cast("long"), F.lit(NO_ID)), "h": F.unhex(F.sha2(F.coalesce(F.col(names[text]), F.lit("")), 256))})
+    # rows of one id and text are combined before the shuffle, however many they are
+    rows = rows.dropDuplicates(["id", "h"]).join(kept, ["id", "h"], "left_semi")
     return rows.select([F.col(v).alias(k) for k, v in names.items()])
 
 

@@ -130,3 +130,12 @@ def test_short_pairs_share_a_key_at_other_similarities(similarity):
     s = [np.unique(nd.mix(np.array(t, np.uint64))) for t in texts]
     keys = [set(nd.short_keys(x, similarity)) for x in s]
     assert all(keys[i] & keys[j] for i in range(len(s)) for j in range(i) if nd.alignment(s[i], s[j], similarity) >= similarity)
+
+
+def test_null_and_repeated_ids_dont_merge_texts(spark):
+    text = [" ".join(WORDS[i : i + 40]) for i in (0, 50, 100, 150, 200)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[3] + " more"), (None, text[4]), (9, text[4] + " more")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nd.near_duplicates(d).collect()
+    assert len(got) == len(rows) and len({r.group_hash for r in got}) == 5
+    assert sorted((str(r.doc_id), r.text) for r in nd.drop_near_duplicates(d).collect()) == sorted([("None", text[0]), ("None", text[1]), ("7", text[2]), ("7", text[3]), ("9", text[4] + " more")])

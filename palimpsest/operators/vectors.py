@@ -22,7 +22,7 @@ def nearest(questions: DataFrame, claims: DataFrame, k: int, floor: float = -1.0
     """(qid, claim_id, similarity): each question's k most similar claims of its tenant, itself excluded, with at least ``floor``.
 
     questions: (id, user_id, vector, as_of where asked for); claims: (id, user_id, embedding, valid_from, valid_to).
-    Only blocks of rows are joined, and each pair of blocks gives at most k rows a question.
+    Only blocks of rows are joined, and each pair of blocks gives at most k rows a question. Equal similarities go to the smallest claim_id.
     """
     q = _blocks(questions.filter("vector is not null").select("user_id", "id", "vector", (F.unix_micros("as_of") if as_of else F.lit(0).cast("long")).alias("at")), "q", ["id", "vector", "at"])
     lo, hi = (F.unix_micros("valid_from"), F.coalesce(F.unix_micros("valid_to"), F.lit((1 << 62)))) if as_of else (F.lit(0).cast("long"), F.lit(1).cast("long"))
@@ -37,15 +37,20 @@ def nearest(questions: DataFrame, claims: DataFrame, k: int, floor: float = -1.0
         for batch in batches:
             for i in range(batch.num_rows):
                 one, two = batch.column("q")[i].values, batch.column("c")[i].values
-                sim = np.clip(unit(one.field("vector")) @ unit(two.field("embedding")).T, -1, 1)
+                # rounded, as products of equal vectors may differ in their last bits
+                sim = np.round(np.clip(unit(one.field("vector")) @ unit(two.field("embedding")).T, -1, 1), 12)
                 qid, cid = one.field("id").to_numpy(), two.field("id").to_numpy()
                 at = one.field("at").to_numpy()[:, None]
                 ok = (sim >= floor) & (qid[:, None] != cid[None, :]) & (two.field("lo").to_numpy()[None, :] <= at) & (two.field("hi").to_numpy()[None, :] > at)
                 sim = np.where(ok, sim, -np.inf)
+                # columns in order of id: of equal values at the k-th place, the smallest ids stay
+                order = np.argsort(cid, kind="stable")
+                sim, cid = sim[:, order], cid[order]
                 take = min(k, sim.shape[1])
-                top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-                rows = np.repeat(np.arange(len(qid)), take)
-                value, hit = sim[rows, top.ravel()], cid[top.ravel()]
+                last = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take, None]
+                above, level = sim > last, sim == last
+                rows, top = np.nonzero(above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= take - above.sum(axis=1, keepdims=True))))
+                value, hit = sim[rows, top], cid[top]
                 good = np.isfinite(value)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[rows][good]), pa.array(hit[good]), pa.array(value[good])], names=["qid", "claim_id", "similarity"])
 

@@ -184,3 +184,19 @@ def test_relationships_count_what_related_lists(spark):
     counts = {r.id: (r.n_similar, r.n_same) for r in graph.relationships(claims, edges).collect()}
     assert counts[0] == (2, 2) and counts[9] == (1, 0)
     assert {r.id: (r.similar, r.entity) for r in listed} == {k: n for k, n in counts.items() if any(n)}
+
+
+def test_equal_vectors_keep_the_smallest_ids(spark):
+    from palimpsest.operators import vectors
+
+    rng = random.Random(11)
+    ids = list(range(1, 61))
+    rng.shuffle(ids)
+    same = [0.3, 0.5, 0.7]
+    rows = [(i, 0, same) for i in ids] + [(i, 0, [0.5, 0.3, 0.7]) for i in (90, 80, 70)]
+    claims = spark.createDataFrame(rows, "id long, user_id long, embedding array<double>")
+    asked = spark.createDataFrame([(5, 0, same), (100, 0, same), (101, 0, [0.5, 0.3, 0.7])], "id long, user_id long, vector array<double>")
+    got = {}
+    for r in vectors.nearest(asked, claims, 4).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.claim_id)
+    assert got == {5: [1, 2, 3, 4], 100: [1, 2, 3, 4], 101: [70, 80, 90, 1]}

@@ -200,3 +200,15 @@ def test_equal_vectors_keep_the_smallest_ids(spark):
     for r in vectors.nearest(asked, claims, 4).orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.claim_id)
     assert got == {5: [1, 2, 3, 4], 100: [1, 2, 3, 4], 101: [70, 80, 90, 1]}
+
+
+def test_entity_counts_hold_names_and_dates_of_the_texts(spark, tmp_path):
+    from palimpsest.catalog import QUERIES
+
+    texts = ["Maria Lopez met John Smith on 2024-03-05 in the office.", "Then we met Maria Lopez at noon.", "The review of 2024-03-05 was short."]
+    spark.createDataFrame([(i, t, "en", "Web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, 0.0], 0) for i in range(3)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.entity: r.n_claims for r in QUERIES["a9_entity_counts"](spark, str(tmp_path)).collect()}
+    want = {e: sum(e in t.lower() for t in texts) for e in ("maria lopez", "john smith", "2024-03-05")} | {"web": 3}
+    assert {e: got.get(e) for e in want} == want

@@ -12,13 +12,14 @@ Pieces are numbered within their length without sorting or gathering them: each
 writes, and the tasks' counts are summed to offsets, so a length that a third of all pieces share
 costs no task more than another.
 
-Defined results: null and empty texts are the end id alone; repeated rows are packed each; an empty
-table gives no rows. Extra columns are ignored.
+Defined results: null and empty texts are the end id alone; a special token's string in a text is that
+token, as the tokenizers library has it; repeated rows are packed each; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from zlib import crc32
 
 import numpy as np
@@ -33,6 +34,8 @@ from .common import small, table, written
 
 SEQUENCE = 1024
 END_ID = 2
+LONG_RUN = 4096  # characters of white space
+PROBES = ("Don't  stop, 12345 é\n\t x_y", "  a\r\n\r\n b\u00a0\u3000c ", "naïve façade 日本語 \U0001f600 ½ don’t we'll I'D", "\n\n\n   x", "")
 PIECES = "part int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,10 +46,11 @@ def default_tokenizer() -> str:
 
 
 def encoder(path: str):
-    """text -> ids, for a byte-level BPE file of the tokenizers library.
+    """text -> ids of a byte-level BPE file: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
-    The same vocabulary is run by tiktoken, which gives the same ids several times faster; a tokenizer
-    whose ids aren't merge ranks is run by the tokenizers library itself. Special tokens in a text are plain text.
+    The same vocabulary is run by tiktoken, which gives the same ids several times faster. Texts with the
+    string of a special token, which has an id of its own, or with a run of white space that tiktoken's
+    pattern would follow too deep go to the tokenizers library; so do all where the vocabulary's ids aren't merge ranks.
     """
     import public_tokenizers
     import tiktoken
@@ -55,19 +59,25 @@ def encoder(path: str):
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    library = lambda text: own.encode(text, add_special_tokens=False).ids
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
-    special = {t.content for t in own.get_added_tokens_decoder().values()}
+    special = sorted(t.content for t in own.get_added_tokens_decoder().values())
     try:
         ranks = {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        probe = "Don't  stop, 12345 é\n\t x_y"
-        if fast.encode_ordinary(probe) == own.encode(probe, add_special_tokens=False).ids:
-            return fast.encode_ordinary
+        fast = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     except (KeyError, ValueError):
-        pass
-    return lambda text: own.encode(text, add_special_tokens=False).ids
+        return library
+    if any(fast(probe) != library(probe) for probe in PROBES):
+        return library
+    runs = re.compile(r"\s{64,}")
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in special) or any(m.end() - m.start() >= LONG_RUN for m in runs.finditer(text)):
+            return library(text)
+        return fast(text)
+
+    return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:

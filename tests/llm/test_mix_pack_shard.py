@@ -22,9 +22,7 @@ def corpus(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_tokenizer())
 
 
 def check_packing(rows, texts):
@@ -56,6 +54,16 @@ def test_packing_round_trip(spark, corpus):
     assert n <= 1.08 * least + 1
 
 
+def test_ids_are_the_library_s(spark):
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, "a" * n, "a<|endoftext|>b", "<|endoftext|>", " \t" * 3000 + "x", "x" + "\u3000" * 5000, "a" + " " * 4095 + "b", "a" + " " * 4096 + "b", ("ab " + " " * 60) * 500]
+    encode, own = packing.encoder(packing.default_tokenizer()), tokenizer()
+    for text in texts:
+        assert encode(text) == own.encode(text, add_special_tokens=False).ids
+    rows = packing.pack(docs(spark, [texts[0], texts[1], texts[3]])).collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2} and sum(r.length for r in rows if r.doc_id == 2) == 4
+
+
 def test_packing_odd_rows(spark):
     rows = packing.pack(edge_docs(spark)).collect()
     assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(r[0] for r in edge_rows())

@@ -5,8 +5,8 @@ PackBits, LZW or deflate, undoes the horizontal predictor, and emits a page's pi
 files that use all of these; which of them depends on the content alone, so equal payloads give equal files.
 
 Defined results: a null or empty value has no pages; a value that isn't TIFF, or a page that can't be
-decoded, gives one row with the reason in ``error`` and null pixels, and the pages before it stay;
-directories that point back end the walk. Null texts in ``text_media`` count as empty. Repeated rows
+decoded, gives one row with the reason in ``error`` and null pixels, and the pages before it stay; so does
+a page that states more pixels than its strips could hold, or than PAGE_BYTES. Directories that point back end the walk. Null texts in ``text_media`` count as empty. Repeated rows
 give equal rows; an empty table gives none. Other columns are carried.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import small, table, with_columns
+from .common import table, with_columns
 
 WIDTH = 64
 # TIFF 6.0 tags, types' sizes and compression numbers.
@@ -32,6 +32,9 @@ W, H, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_BYT
 PLANAR, PREDICTOR, TILE_W, TILE_H, TILES, TILE_BYTES = 284, 317, 322, 323, 324, 325
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+EXPANSION = {LZW: 2730, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}  # bytes that one can become, at most: 12 bits for a string of under 4096, ...
+PAGE_BYTES = 1 << 30  # an Arrow value can't hold much more
+BATCH_BYTES = 8 << 20
 PAGES = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("compression", T.IntegerType()), T.StructField("predictor", T.IntegerType()), T.StructField("tiled", T.BooleanType()), T.StructField("pixels", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())])
 
 
@@ -73,12 +76,13 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out) + (held << pad).to_bytes((bits + pad) >> 3, "big")
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int) -> bytes:
+    """At most about ``most`` bytes of LZW data."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     known, out, last = list(first), [], b""
-    held = bits = at = 0
+    held = bits = at = made = 0
     width = 9
-    while True:
+    while made < most:
         while bits < width:
             if at >= len(data):
                 return b"".join(out)
@@ -92,7 +96,7 @@ def lzw_decode(data: bytes) -> bytes:
                 if code < len(known):
                     now = known[code]
                     known.append(last + now[:1])
-                elif code == len(known):
+                elif code == len(known) and code < 4096:
                     now = last + last[:1]
                     known.append(now)
                 else:
@@ -103,12 +107,16 @@ def lzw_decode(data: bytes) -> bytes:
                 if code > 255:
                     raise ValueError("LZW code out of range")
                 now = known[code]
+            if len(known) > 4096:
+                raise ValueError("LZW table is full")
             out.append(now)
+            made += len(now)
             last = now
         elif code == 256:
             known, last, width = list(first), b"", 9
         else:
-            return b"".join(out)
+            break
+    return b"".join(out)
 
 
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
@@ -127,9 +135,9 @@ def packbits_encode(row: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(data):
+def packbits_decode(data: bytes, most: int) -> bytes:
+    out, at, made = [], 0, 0
+    while at < len(data) and made < most:
         n = data[at]
         if n < 128:
             out.append(data[at + 1 : at + 2 + n])
@@ -139,18 +147,21 @@ def packbits_decode(data: bytes) -> bytes:
             at += 2
         else:
             at += 1
+            continue
+        made += len(out[-1])
     return b"".join(out)
 
 
-def decoded(data: bytes, compression: int) -> bytes:
+def decoded(data: bytes, compression: int, most: int) -> bytes:
+    """The bytes of a strip or tile that should have ``most``; what it would expand to beyond them is never held."""
     if compression == NONE:
-        return data
+        return data[:most]
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most + 1)  # one more, so that the checksum after the last byte is read
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     raise ValueError(f"compression {compression}")
 
 
@@ -175,8 +186,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]
         at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
 
 
-def page_pixels(data: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> np.ndarray:
-    """(height, width, samples) of a page of 8 or 16 bits a sample."""
+def page_pixels(data: bytes, order: str, tags: dict[int, tuple[int, ...]], most: int = PAGE_BYTES) -> np.ndarray:
+    """(height, width, samples) of a page of 8 or 16 bits a sample. Sizes are checked before anything is decoded or allocated."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples, bits = tags[W][0], tags[H][0], one(SAMPLES, 1), one(BITS, 1)
     if bits not in (8, 16) or len(set(tags.get(BITS, (bits,)))) > 1 or samples > 1 and one(PLANAR, 1) != 1:
@@ -185,21 +196,31 @@ def page_pixels(data: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> np
     predictor, compression = one(PREDICTOR, 1), one(COMPRESSION, 1)
     if predictor not in (1, 2):
         raise ValueError(f"predictor {predictor}")
-    if TILES in tags:
+    tiled = TILES in tags
+    if tiled:
         across, down = tags[TILE_W][0], tags[TILE_H][0]
         places, sizes = tags[TILES], tags[TILE_BYTES]
     else:
-        across, down = width, min(one(ROWS_PER_STRIP, height), height) or 1
+        across, down = width, min(one(ROWS_PER_STRIP, height), height)
         places, sizes = tags[STRIPS], tags.get(STRIP_BYTES) or (len(data),)
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError("a size isn't positive")
     columns = -(-width // across)
+    count, part_bytes = columns * -(-height // down), down * across * samples * kind.itemsize
+    if len(places) < count or len(sizes) < count or min(*places, *sizes) < 0:
+        raise ValueError("strips or tiles are missing")
+    held = sum(min(size, max(0, len(data) - place)) for place, size in zip(places[:count], sizes, strict=False))
+    if max(height * width * samples * kind.itemsize, part_bytes) > min(most, EXPANSION.get(compression, 1) * held + part_bytes * tiled):
+        raise ValueError("more pixels than the strips or tiles can hold, or than a page may have")
     out = np.zeros((height, width, samples), kind)
-    for k, (place, size) in enumerate(zip(places, sizes, strict=False)):
+    for k, (place, size) in enumerate(zip(places[:count], sizes, strict=False)):
         top, left = k // columns * down, k % columns * across
-        rows = down if TILES in tags else min(down, height - top)
-        flat = np.frombuffer(decoded(data[place : place + size], compression), kind)
-        if top >= height or len(flat) < rows * across * samples:
+        rows = down if tiled else min(down, height - top)
+        need = rows * across * samples
+        raw = decoded(data[place : place + size], compression, need * kind.itemsize)
+        if len(raw) < need * kind.itemsize:
             raise ValueError("a strip or tile is short")
-        part = flat[: rows * across * samples].reshape(rows, across, samples)
+        part = np.frombuffer(raw, kind, need).reshape(rows, across, samples)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
         out[top : top + rows, left : left + across] = part[: height - top, : width - left]
@@ -217,22 +238,25 @@ def picture_feature(pixels: np.ndarray) -> str:
     return f"{flat.mean():.4f}/{flat.std():.4f}/{bits:016x}"
 
 
-def pages_of(data: bytes | None) -> Iterator[tuple]:
-    """Values of PAGES for each page."""
+def pages_of(data: bytes | None, most: int = PAGE_BYTES) -> Iterator[tuple]:
+    """Values of PAGES for each page of at most ``most`` bytes."""
     if not data:
         return
     page = 0
     try:
         for order, tags in directories(data):
-            pixels = page_pixels(data, order, tags)
+            pixels = page_pixels(data, order, tags, most)
             yield page, tags[W][0], tags[H][0], tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0], TILES in tags, pixels.tobytes(), picture_feature(pixels), None
             page += 1
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
         yield page, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
 def tiff_pages(rows: DataFrame, column: str) -> DataFrame:
-    """A row for each page of the files in a binary column: the other columns, and those of PAGES. No shuffle; tasks hold one file at a time."""
+    """A row for each page of the files in a binary column: the other columns, and those of PAGES. No shuffle; tasks hold a page and a few MB at a time.
+
+    A column of rows that is named like one of PAGES raises ValueError: rename it before.
+    """
     others = [f for f in rows.schema.fields if f.name != column]
     if clash := {f.name for f in others} & set(PAGES.names):
         raise ValueError(f"columns exist already: {sorted(clash)}")
@@ -241,11 +265,21 @@ def tiff_pages(rows: DataFrame, column: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in small(batch, column):
-                found = [[*pages_of(x)] for x in part.column(column).to_pylist()]
-                at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
-                values = list(zip(*(p for f in found for p in f), strict=True)) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name).take(at) for f in others), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=names)
+            at, held, size = [], [], 0
+
+            def flush(batch=batch):
+                values = list(zip(*held, strict=True)) or [()] * len(kinds)
+                return pa.RecordBatch.from_arrays([*(batch.column(f.name).take(pa.array(at, pa.int64())) for f in others), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=names)
+
+            for i, file in enumerate(batch.column(column)):
+                for page in pages_of(file.as_py()):
+                    at.append(i)
+                    held.append(page)
+                    size += len(page[6] or b"")
+                    if size >= BATCH_BYTES:
+                        yield flush()
+                        at, held, size = [], [], 0
+            yield flush()
 
     return rows.mapInArrow(run, T.StructType([*others, *PAGES.fields]))
 

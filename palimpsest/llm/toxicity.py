@@ -10,7 +10,7 @@ fitted on a bounded sample of labelled documents (``sample_limit``), with an L1
 features with evidence keep a weight; every document is scored, whole.
 
 Defined results: null, empty and wordless texts have no features, so the severity of the intercepts
-alone, grade 0; repeated rows get equal rows; an empty table gives no rows; without toxic labels, or
+alone, grade 0; repeated rows get equal rows; of texts with one id the fit reads the smallest; an empty table gives no rows; without toxic labels, or
 features that tell them apart, every grade is 0 and severity 0. Extra columns are ignored (or carried through by ``drop_toxic``).
 """
 
@@ -51,9 +51,10 @@ def sparse_features(text: str | None) -> tuple[list[int], list[int]]:
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, toxic, f, c) of the labelled sample: the only texts that the fit depends on."""
+    """(doc_id, toxic, f, c) of the labelled sample: the only texts that the fit depends on. One text for each id, so at most ``limit`` rows."""
     chosen = labelled_sample(labels, F.col("toxic").isNotNull(), limit)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = found.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.min("text").alias("text"))  # of texts with one id always the same
 
     def run(batches):
         for batch in batches:

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -25,8 +26,9 @@ def payload(rnd, n):
 def test_codecs_round_trip(n):
     rnd = random.Random(n)
     for data in (payload(rnd, n), rnd.randbytes(n), b"\0" * n):
-        assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
-        assert tiff.packbits_decode(tiff.packbits_encode(data)) == data
+        assert tiff.lzw_decode(tiff.lzw_encode(data), n + 1) == data
+        assert tiff.packbits_decode(tiff.packbits_encode(data), n + 1) == data
+        assert len(tiff.lzw_decode(tiff.lzw_encode(data), 10)) <= 10 + 4096 and len(tiff.packbits_decode(tiff.packbits_encode(data), 10)) <= 10 + 128
 
 
 def test_files_round_trip_in_every_form():
@@ -51,6 +53,36 @@ def test_colour_with_predictor():
     assert page[6] == image.tobytes()
 
 
+def plain_file(*entries, raw=b"x" * 64):
+    found = {256: 8, 257: 8, 258: 8, 259: 1, 262: 1, 273: 8, 277: 1, 278: 8, 279: len(raw)} | dict(entries)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(raw)) + raw + struct.pack("<H", len(found)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(found.items())) + b"\0" * 4
+
+
+@pytest.mark.parametrize("entries", [((256, 0),), ((257, 0),), ((277, 0),), ((278, 0),), ((256, 1 << 31), (257, 1 << 20)), ((322, 0), (323, 8), (324, 8), (325, 64)), ((322, 1 << 31), (323, 1 << 31), (324, 8), (325, 64)), ((278, 4),), ((259, 7),), ((317, 9),), ((259, 8),), ((273, 1 << 31),)])
+def test_bad_sizes_are_error_rows(entries):
+    (good,) = tiff.pages_of(plain_file())
+    assert good[8] is None and good[6] == b"x" * 64
+    (page,) = tiff.pages_of(plain_file(*entries))
+    assert page[8] and page[6] is None
+
+
+def test_bombs_dont_expand():
+    bomb = zlib.compress(b"\0" * (50 << 20))
+    (page,) = tiff.pages_of(plain_file((259, 8), raw=bomb))
+    assert page[6] == b"\0" * 64
+    (page,) = tiff.pages_of(plain_file((259, 8), (256, 1 << 12), (257, 1 << 13), (278, 1 << 13), raw=bomb), most=1 << 20)
+    assert "more pixels" in page[8]
+
+
+def test_flipped_bytes_never_raise():
+    rnd = random.Random(12)
+    for k in range(2000):
+        data = bytearray(tiff.tiff_bytes(payload(rnd, 64 * rnd.randrange(1, 12))))
+        for _ in range(rnd.randrange(1, 6)):
+            data[rnd.randrange(len(data)) if k % 2 else -rnd.randrange(1, min(len(data), 320))] = rnd.randrange(256)
+        list(tiff.pages_of(bytes(data), 1 << 22))
+
+
 def test_damage_is_reported(spark):
     good = tiff.tiff_bytes(payload(random.Random(4), 6400))
     rows = spark.createDataFrame([(1, bytearray(b"no tiff"), "x"), (2, None, "x"), (3, bytearray(b""), "x"), (4, bytearray(good), "y"), (5, bytearray(good[: len(good) // 2]), "z")], "id long, media binary, other string")
@@ -96,6 +128,75 @@ def test_density_without_marks():
     assert html_text.main_text(f"<body>{links}{body}{links}</body>").startswith("Sentence 0") and "a link number" not in html_text.main_text(f"<body>{links}{body}{links}</body>")
 
 
+def test_nothing_of_an_unmarked_article_is_lost():
+    words = "Two hundred words of an article that goes on and on. " * 20
+    for between in ("<ul class='menu'><li>one<li>two<li>three</ul>", "<div class='ad'>buy now</div>", "<aside>x</aside>", "<form>y</form>"):
+        assert html_text.main_text(f"<body><p>{words}</p>{between}<p>The end.</p></body>") == words.strip() + " The end."
+        assert html_text.main_text(f"<body><p>note</p><article><div><p>{words}</p></div>{between}<div><p>The end.</p></div></article></body>") == words.strip() + " The end."
+
+
+def test_markup_never_leaks():
+    assert html_text.main_text('<article><p title="x>hello there</p>') == "hello there"
+    assert html_text.main_text("<article><p title='a>b' id=\"c>d\">text</p>") == "text"
+    assert html_text.main_text("<article>text<p title=") == "text" and html_text.main_text("<article>a < b, 1 <2 & c") == "a < b, 1 <2 & c"
+    assert html_text.main_text("<article>a<!-- b --><!DOCTYPE x><?php y?></ z>c") == "ac"
+
+
+@pytest.mark.parametrize("piece", ["<p a ", "<a '", "<p '>' ", "<p>", "</b>", "<!-- ", "<script>", "<p a=\"", "<", "&amp;", "<b>x</i>"])
+def test_long_pages_take_linear_time(piece):
+    took = []
+    for n in (1, 4):
+        page = "<article>" + piece * (n * 400_000 // len(piece))
+        began = time.perf_counter()
+        html_text.main_text(page + "'")
+        took.append(time.perf_counter() - began)
+    assert took[1] < max(2, 12 * took[0])
+    if piece == "<p a ":
+        began = time.perf_counter()
+        html_text.main_text(piece * 1_000_000)
+        assert time.perf_counter() - began < 2
+
+
+def plain_text(page, window):
+    """Blocks, surge and dive by their definition, line by line."""
+    lines = html_text.lines_of(page)
+    sums = [sum(length for _, length, _ in lines[i : i + window]) for i in range(len(lines))]
+    inside = [s for s, x in zip(sums, lines, strict=True) if x[2] and x[1]]
+    half = max(inside or sums or [0]) / 2
+    kept = set()
+    for i, s in enumerate(sums):
+        article = lambda k: any(x[2] for x in lines[k : k + window] if x[1])
+        need = min(html_text.SURGE, half) if not inside or article(i) else html_text.SURGE
+        if s and s >= need:
+            a = b = i
+            while a and sums[a - 1]:
+                a -= 1
+            while b + 1 < len(lines) and sums[b + 1]:
+                b += 1
+            while not lines[a][1]:
+                a += 1
+            kept |= set(range(a, b + 1))
+    return " ".join(lines[k][0] for k in sorted(kept) if lines[k][0])
+
+
+def random_page(rnd):
+    parts = []
+    for _ in range(rnd.randrange(12)):
+        text = " ".join(rnd.choices(["word", "another", "of", "text"], k=rnd.choice([1, 3, 30])))
+        tag = rnd.choice(["p", "div", "li", "section", "a", "nav", "article", "span", "div class=ad"])
+        parts.append(f"<{tag}>{text}</{tag.split()[0]}>" if rnd.random() < 0.8 else f"<{tag}><p>{text}</p><a>{text}</a></{tag.split()[0]}>")
+    return "<body>" + "".join(parts) + "</body>"
+
+
+def test_surge_and_dive_equal_their_definition():
+    rnd = random.Random(21)
+    pages = [random_page(rnd) for _ in range(1500)]
+    for window in (1, 2, 3):
+        assert [html_text.main_text(p, window) for p in pages] == [plain_text(p, window) for p in pages]
+    assert sum(html_text.main_text(p) != html_text.main_text(p, 1) for p in pages) > 100  # the windows decide
+    assert sum(html_text.main_text(p) != html_text.main_text(p, surge=0) for p in pages) > 50  # and the threshold
+
+
 def test_pages_query(spark):
     rows = html_text.op3_html_extraction(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(len(r.text) == r.n_chars > 0 for r in rows)
@@ -132,3 +233,47 @@ def test_salvage():
     assert [x[4] for x in warc.salvage(whole[:-5])][-1] == "the member is cut off"
     assert list(warc.salvage(b"garbage")) == [(0, 7, None, b"", "no version line")]
     assert list(warc.salvage(b"")) == []
+
+
+def test_salvage_of_bad_numbers_and_whole_streams():
+    plain = [gzip.decompress(warc.record(i, f"http://{i}", b"text %d " % i * 50)) for i in range(5)]
+    for old, new in ((b"Content-Length: ", b"Content-Length: " + b"9" * 5000), (b"WARC-Payload-Length: ", b"WARC-Payload-Length: abc"), (b"Content-Length: ", "Content-Length: ²".encode())):
+        bad = plain[1].replace(old, new)
+        got = [h["warc-record-id"] if h else why for _, _, h, _, why in warc.salvage(plain[0] + bad + plain[2])]
+        assert got == ["<urn:page:0>", "a length is no number", "<urn:page:2>"]
+    stream = gzip.compress(b"".join(plain), mtime=0)  # one member with all records
+    assert [h["warc-record-id"] for _, _, h, _, _ in warc.salvage(stream)] == [f"<urn:page:{i}>" for i in range(5)]
+    hurt = gzip.compress(plain[0] + plain[1][:-30] + plain[2], mtime=0)
+    assert [bool(h) for _, _, h, _, _ in warc.salvage(hurt)] == [True, False, True]
+    rnd = random.Random(3)
+    noise = [gzip.decompress(warc.record(i, None, rnd.randbytes(3000))) for i in range(5)]
+    cut = gzip.compress(b"".join(noise), mtime=0)[:10_000]
+    parts = list(warc.salvage(cut + warc.record(9, "u", b"after")))
+    assert [h["warc-record-id"] if h else why for _, _, h, _, why in parts] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:2>", parts[3][4], "<urn:page:9>"] and parts[3][4]
+    assert parts[0][:2] == (0, 10_000) and parts[3][:2] == (0, 10_000)
+
+
+def test_salvage_of_flipped_bytes_never_raises():
+    rnd = random.Random(13)
+    whole = b"".join(warc.record(i, f"http://{i}", b"a text of page %d " % i * 9) if i % 3 else gzip.decompress(warc.record(i, None, b"plain %d" % i)) for i in range(6))
+    for _ in range(2000):
+        data = bytearray(whole)
+        for _ in range(rnd.randrange(1, 5)):
+            data[rnd.randrange(len(data))] = rnd.randrange(256)
+        parts = list(warc.salvage(bytes(data)))
+        spans = sorted({p[:2] for p in parts})
+        assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert sum(p[2] is not None for p in parts) >= 1
+
+
+def test_many_plain_records_take_linear_time():
+    one = gzip.decompress(warc.record(1, "u", b"x" * 100))
+    began = time.perf_counter()
+    assert sum(1 for _ in warc.salvage(one * 16_000)) == 16_000
+    assert time.perf_counter() - began < 3
+
+
+def test_groups_beyond_the_broadcast_are_joined(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i % 7}" if i < 30 else str(i)) for i in range(40)], "page_id long, url string, html string")
+    seen = [sorted((r.record_id, r.record_type, str(r.refers_to)) for r in warc.read_archives(warc.write_archives(pages, broadcast_groups=n)).collect()) for n in (3, 100)]
+    assert seen[0] == seen[1] and len(seen[0]) == 40 and sum(t == "revisit" for _, t, _ in seen[0]) == 23

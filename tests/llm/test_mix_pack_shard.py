@@ -135,11 +135,18 @@ def test_mixed_documents_hold_the_words_taken(spark, corpus):
     assert out.filter("n_chars <> length(text)").count() == 0
 
 
-def test_heavier_documents_come_first(spark):
-    texts = ["good words only here"] * 300 + ["$$$ ### *** &&&"] * 300
-    rows = mixing.mixed(docs(spark, texts, ["a", "b", "c"])).filter("target < source_size").collect()
-    good, bad = ([r.taken for r in rows if (r.doc_id < 300) == k] for k in (True, False))
-    assert sum(good) / max(len(good), 1) > sum(bad) / max(len(bad), 1)
+def test_better_documents_come_first(spark):
+    larger = SF.replace("sf0.001", "sf0.01")
+    rows = mixing.mixed(spark.read.parquet(f"{larger}/documents.parquet")).filter("target < source_size").join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").collect()
+    good, bad = ([r.taken / max(r.size, 1) for r in rows if r.quality == k] for k in (1, 0))
+    assert sum(good) / len(good) > 2 * sum(bad) / len(bad)
+
+
+def test_given_weights_order_documents(spark):
+    table = docs(spark, ["four words are here"] * 600, ["a", "b", "c"]).withColumn("light", F.col("doc_id") >= 300)
+    rows = mixing.mixed(table, weight=F.when(F.col("light"), 0.05).otherwise(1.0)).filter("target < source_size").collect()
+    heavy, light = ([r.taken for r in rows if (r.doc_id < 300) == k] for k in (True, False))
+    assert sum(heavy) / max(len(heavy), 1) > sum(light) / max(len(light), 1)
 
 
 def test_mix_odd_rows(spark):
@@ -171,6 +178,34 @@ def test_a_hot_source_is_split(spark):
     assert len(rows) == 8 and max(r["count"] for r in rows) - min(r["count"] for r in rows) <= 8
 
 
+def test_equal_texts_stay_together_unless_they_weigh_too_much(spark):
+    rnd = np.random.default_rng(5)
+    texts = [f"text {i} " + "w" * int(rnd.integers(10, 60)) for i in range(3000) for _ in range(1 + 9 * (i % 10 == 0))] + ["the hot text"] * 4000
+    table = spark.createDataFrame([(i, t, ["en", None][i % 2], f"https://a.source/{i % 13}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    rows = kd_sharding.kd_shards(table).collect()
+    sizes, at = Counter(), {}
+    for r in rows:
+        sizes[r.shard] += r.size
+        at.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(at.pop("the hot text")) > 1 and all(len(x) == 1 for x in at.values())
+    assert len(sizes) == 8 and max(sizes.values()) <= 1.03 * min(sizes.values())
+
+
+def test_ranks_follow_whole_values(spark):
+    values = ["https://a/1", "https://a/10", "https://a/2", "é", "z", "\U0001f600", None, "z"]
+    got = {r.value: r["rank"] for r in kd_sharding.ranks(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+    assert got == {v: i + 1 for i, v in enumerate(sorted({v for v in values if v}))}
+
+
+def test_many_leaves_are_cut_by_batches(spark, corpus, monkeypatch):
+    for name, value in (("LITERALS", 2), ("NODES", 3), ("DRIVER_ROWS", 64), ("LEVELS", 2), ("CODES", 1)):
+        monkeypatch.setattr(kd_sharding, name, value)
+    got = {r.shard: r.n for r in kd_sharding.kd_shards(corpus, shards=6).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    monkeypatch.undo()
+    want = {r.shard: r.n for r in kd_sharding.kd_shards(corpus, shards=6).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    assert set(got) == set(want) == set(range(6)) and sum(got.values()) == sum(want.values())
+
+
 def test_target_bytes_decide_the_number_of_leaves(spark, corpus):
     total = corpus.agg(F.sum(F.octet_length("text") + 1)).first()[0]
     rows = kd_sharding.kd_shards(corpus, target_bytes=-(-total // 5)).select("shard").distinct().collect()

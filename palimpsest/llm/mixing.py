@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Each document gets an exponential key -ln(u) / weight, u a hash of its id, so heavier (better) documents
-come early. A source's target is met by complete epochs of the source first; the rest is a prefix of the
+come early. The weight is the chance that the document is good, by the weak-label model of the quality
+classifier fitted on the votes on all documents, unless the caller gives weights. A source's target is met by complete epochs of the source first; the rest is a prefix of the
 documents by key, up to the word budget, the last of them in part.
 
 The prefix sums need no sort of a whole source: keys fall into BUCKETS ranges, the ranges' sums are
@@ -11,7 +12,7 @@ rows costs no task more than a few ranges.
 Defined results: null texts have size 0; a null source is a source of its own, after all others; ids
 that are null or repeated tie, and ties are ordered by size and text hash; a source without words takes
 none; an empty table gives no rows. Extra columns are ignored (or carried by ``mixed_documents``).
-Words are counted in Arrow batches; all else is DataFrame functions.
+Words and votes are counted in Arrow batches; all else is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import chunks, range_sums, table, with_columns, word_table, written
+from .common import chunks, table, with_columns, word_table, written
+from .quality_classifier import label_model, patterns, shape, votes
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SHARE = 1.5
@@ -30,20 +32,20 @@ WEIGHTS = (3, 1, 2)
 MOST = 2
 BUCKETS = 4096
 SEED = 8
+LEAST = 0.05  # weight of a document that is surely bad
 
+COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("count_words", "vote_pattern")])
 
-COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("count_words", "count_symbols", "count_bytes")])
-_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
-
-def counted(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, text) with words, symbols and bytes of each text: in Arrow batches, as regular expressions would copy every text several times."""
+def counted(docs: DataFrame, voted: bool = True) -> DataFrame:
+    """docs (doc_id, source, text) with the words of each text and the pattern of the quality labellers' votes on it (0 if not ``voted``). In Arrow batches, as regular expressions would copy every text several times."""
 
     def make():
         def work(column):
             out = [[np.zeros(0, np.int64)] for _ in COUNTS]
             for _, _, data, offsets in chunks(column):
-                for o, v in zip(out, (np.diff(word_table(data, offsets)[2]), range_sums(_SYMBOL[data], offsets), np.diff(offsets)), strict=True):
+                words = np.diff(word_table(data, offsets)[2])
+                for o, v in zip(out, (words, patterns(votes(shape(data, offsets))) if voted else 0 * words), strict=True):
                     o.append(v)
             return [np.concatenate(o) for o in out]
 
@@ -52,9 +54,11 @@ def counted(docs: DataFrame) -> DataFrame:
     return with_columns(docs, ["text"], COUNTS, make)
 
 
-def quality_weight() -> Column:
-    """From 0.05 to 1: less for texts with many symbols."""
-    return F.greatest(F.lit(0.05), 1 - 6 * F.col("count_symbols") / F.greatest("count_bytes", F.lit(1)))
+def pattern_weights(sized: DataFrame) -> DataFrame:
+    """(vote_pattern, weight): the weak-label model's P(good), at least LEAST, of the patterns that occur among all documents (at most 3^10, however many documents)."""
+    counts = {r.vote_pattern: r.n for r in sized.groupBy("vote_pattern").agg(F.count("*").alias("n")).collect()}
+    good, _ = label_model(counts)
+    return sized.sparkSession.createDataFrame([(p, round(max(LEAST, float(good[p])), 6)) for p in sorted(counts)], "vote_pattern long, weight double")
 
 
 def targets(sources: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -86,10 +90,11 @@ def mixed(docs: DataFrame, weight: Column | None = None, share: float = SHARE, w
     """doc_id, h (hash of the text), size, source, source_size, target, epochs, taken of every document."""
     h = F.xxhash64("text")
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", *([] if weight is None else [weight.alias("given")]))
-    key = -F.log(u) / (quality_weight() if weight is None else F.col("given"))
-    sized = counted(rows).select("doc_id", "source", h.alias("h"), F.col("count_words").alias("size"), key.alias("key"))
-    sized = written(sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")), "sizes")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", *([] if weight is None else [weight.alias("weight")]))
+    sized = written(counted(rows, weight is None).select("doc_id", "source", h.alias("h"), F.col("count_words").alias("size"), "vote_pattern", (-F.log(u)).alias("key"), *([] if weight is None else ["weight"])), "sizes")
+    if weight is None:
+        sized = sized.join(F.broadcast(pattern_weights(sized)), "vote_pattern")
+    sized = sized.withColumn("key", F.col("key") / F.col("weight")).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")).drop("weight", "vote_pattern")
     sums = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
     goal = written(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), share, weights).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")), "targets")
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

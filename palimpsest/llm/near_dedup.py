@@ -13,11 +13,11 @@ diagonal band. A similarity of 0.8 bounds what is left over on either side, so t
 loses nothing. Groups are the connected components.
 
 Hot groups: equal texts are first collapsed to one representative. In a bucket not every pair is
-compared: first each member with the bucket's best connected member and with its neighbour in order of length;
+compared: first each text with the best connected member of its buckets and with a neighbour in order of length;
 then components are formed, and only pairs of different components in one bucket are still compared,
-each with at least one member outside the bucket's largest component. These are counted by blocks of
-members inside tasks, and only pairs with enough shingles in common are aligned. So a bucket of near
-copies costs its size in rows, and no pair of a bucket that could still join two components is left out.
+each with at least one member outside the bucket's largest component. These are counted and aligned by
+blocks of members inside tasks, and only links that join two components leave a task. So a bucket of
+near copies costs its size in rows, and no pair of a bucket that could still join two components is left out.
 
 Defined results: null texts count as empty; texts without words are near duplicates only of equal
 texts; repeated rows are equal texts; ties go to the smallest doc_id; an empty table gives no rows.
@@ -47,7 +47,9 @@ TABLES = 40
 ORDER = 6
 SHORT = 20  # up to so many shingles, pairs are found with certainty
 SHARED = 3  # shingles in a key of a short text
-BLOCK = 256
+BLOCK = 256  # members of a block
+BLOCK_SHINGLES = 1 << 18  # and their shingles, at about 8 bytes each
+COLUMNS = 4096  # shingles counted at once
 NO_ID = (1 << 63) - 1  # stands for a null doc_id
 _SEEDS = np.random.default_rng(4).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -182,64 +184,106 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """(rep, n, fp): the labelled shingles of each text as 32-bit numbers, for counting common ones."""
+    """(rep, fp): the labelled shingles of each text in text order, as 64-bit numbers."""
 
     def run(batches):
         for batch in batches:
             for part in small(batch, "text"):
-                rows = [_shingles(t) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(r) for r in rows], pa.int32()), pa.array([r.astype(np.uint32).tobytes() for r in rows], pa.binary())], names=["rep", "n", "fp"])
-
-    return texts.mapInArrow(run, "rep long, n int, fp binary")
-
-
-def common_counts(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """How many numbers each text of one block has in common with each of another (at least: 32-bit numbers may collide)."""
-    a, b = ([np.unique(np.frombuffer(x, np.uint32)) for x in side] for side in (left, right))
-    ra, rb = (np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (a, b))
-    va, vb = (np.concatenate(side) if side else np.zeros(0, np.uint32) for side in (a, b))
-    order = np.argsort(vb, kind="stable")
-    vb, rb = vb[order], rb[order]
-    begin, end = np.searchsorted(vb, va, "left"), np.searchsorted(vb, va, "right")
-    out = np.zeros(len(left) * len(right), np.int64)
-    for at in range(0, len(va), 1 << 14):  # bounds the memory of numbers that many texts share
-        n = (end - begin)[at : at + (1 << 14)]
-        total = int(n.sum())
-        if total:
-            place = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at : at + (1 << 14)], n)
-            out += np.bincount(np.repeat(ra[at : at + (1 << 14)], n) * len(right) + rb[place], minlength=len(out))
-    return out.reshape(len(left), len(right))
-
-
-def block_pairs(named: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of one bucket and of different components that have enough shingles in common to be similar.
-
-    named: (key, rep, component, outside). Members are packed in blocks of BLOCK, and blocks of a bucket
-    are joined, so a bucket of n members gives (n / BLOCK)^2 rows and not n^2; within a pair of blocks
-    all pairs are counted at once, and only those that can reach the similarity leave the task.
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([_shingles(t).tobytes() for t in part.column("text")], pa.binary())], names=["rep", "fp"])
+
+    return texts.mapInArrow(run, "rep long, fp binary")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each text of one block has in common with each of another: products of their incidence with the shingles that both blocks hold."""
+    sides = [(np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side) if side else np.zeros(0, np.uint64)) for side in (left, right)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    entries = []
+    for row, value in sides:
+        at = np.searchsorted(both, value)
+        held = both[np.minimum(at, len(both) - 1)] == value if len(both) else np.zeros(len(value), bool)
+        order = np.argsort(at[held], kind="stable")
+        entries.append((row[held][order], at[held][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, len(both), COLUMNS):
+        incidence = []
+        for side, (row, at) in zip((left, right), entries, strict=True):
+            a, b = np.searchsorted(at, [c, c + COLUMNS])
+            x = np.zeros((len(side), min(COLUMNS, len(both) - c)), np.float32)
+            x[row[a:b], at[a:b] - c] = 1
+            incidence.append(x)
+        out += incidence[0] @ incidence[1].T
+    return out.astype(np.int64)
+
+
+def joining_links(left: list[tuple], right: list[tuple], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (a, b) between two blocks (or within one: ``left is right``) that join components, at most one less than there are.
+
+    Members are (rep, component, outside, shingles). Every pair of different components with a member outside
+    is counted; of those with enough shingles in common, most first, a pair is aligned unless links found
+    before have joined its components already. So what leaves a task is bounded by its members.
     """
-    sizes = named.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = named.join(sizes, "key").select("key", "rep", "component", "outside", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    blocks = dealt.join(prints, "rep").groupBy("key", "part").agg(F.collect_list(F.struct("rep", "component", "outside", "n", "fp")).alias("rows"), F.max("outside").alias("any"))
-    left, right = blocks.select("key", F.col("part").alias("p"), F.col("rows").alias("x"), F.col("any").alias("any_x")), blocks.select("key", F.col("part").alias("q"), F.col("rows").alias("y"), F.col("any").alias("any_y"))
-    both = left.join(right, "key").filter("p <= q and (any_x or any_y)").select("x", "y")
+    x, y = [m[3] for m in left], [m[3] for m in right]
+    n, m = np.array([len(s) for s in x], np.int64)[:, None], np.array([len(s) for s in y], np.int64)[None, :]
     low = similarity - 1e-9
+    field = lambda rows, k: np.array([r[k] for r in rows])
+    ok = (field(left, 1)[:, None] != field(right, 1)[None, :]) & (field(left, 2)[:, None] | field(right, 2)[None, :]) & (np.minimum(n, m) >= low * np.maximum(n, m))
+    if left is right:
+        ok &= np.triu(np.ones(ok.shape, bool), 1)
+    if not ok.any():
+        return []
+    common = common_counts(x, y)
+    at, to = np.nonzero(ok & (common >= low * (n + m - common)))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for k in np.argsort(-common[at, to], kind="stable").tolist():
+        one, two = left[at[k]], right[to[k]]
+        a, b = find(one[1]), find(two[1])
+        if a != b and alignment(one[3], two[3], similarity) >= low:
+            root[a] = b
+            out.append((min(one[0], two[0]), max(one[0], two[0])))
+    return out
+
+
+def block_links(named: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) of similar texts of one bucket and of different components: enough of them to join all such components.
+
+    named: (key, rep, n, component, outside). The members of a bucket are packed in blocks of about BLOCK
+    members or BLOCK_SHINGLES shingles, those outside the bucket's largest component apart from the others.
+    A block is copied once for each block it is compared with, and pairs of blocks, not buckets, are dealt
+    to tasks; blocks without a member outside are never paired with each other.
+    """
+    parts = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    sizes = named.groupBy("key").agg(parts(F.col("outside")).alias("outs"), parts(~F.col("outside")).alias("ins"), parts(F.lit(True)).alias("whole"))
+    part = F.when(F.col("whole") == 1, 0).when(F.col("outside"), F.pmod(F.xxhash64("rep"), F.col("outs"))).otherwise(F.col("outs") + F.pmod(F.xxhash64("rep"), F.col("ins")))
+    others = F.when(F.col("whole") == 1, 1).when(F.col("outside"), F.col("outs") + F.col("ins")).otherwise(F.col("outs"))
+    dealt = named.join(sizes, "key").select("key", "rep", "component", "outside", part.cast("int").alias("part"), others.cast("int").alias("others"))
+    blocks = dealt.join(prints, "rep").groupBy("key", "part").agg(F.max("others").alias("others"), F.collect_list(F.struct("rep", "component", "outside", "fp")).alias("rows"))
+    copies = blocks.select("key", "part", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "rows")
+    pairs = copies.groupBy("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list("rows").alias("blocks"))
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = batch.column("x")[i].values, batch.column("y")[i].values
-                get = lambda v, f: v.field(f).to_numpy(zero_copy_only=False)
-                n, m = get(x, "n")[:, None].astype(np.int64), get(y, "n")[None, :].astype(np.int64)
-                ok = (get(x, "component")[:, None] != get(y, "component")[None, :]) & (get(x, "outside")[:, None] | get(y, "outside")[None, :]) & (np.minimum(n, m) >= low * np.maximum(n, m))
-                if not ok.any():
-                    continue
-                common = common_counts(x.field("fp").to_pylist(), y.field("fp").to_pylist())
-                at, to = np.nonzero(ok & (common >= low * (n + m - common)))
-                a, b = get(x, "rep")[at], get(y, "rep")[to]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for both in batch.column("blocks"):
+                sides = []
+                for rows in both.values:
+                    v = rows.values
+                    fp = v.field("fp")
+                    columns = (v.field(f).to_pylist() for f in ("rep", "component", "outside"))
+                    sides.append(list(zip(*columns, (np.frombuffer(x.as_buffer(), np.uint64) for x in fp), strict=True)))
+                links = joining_links(sides[0], sides[-1], similarity)
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("blocks").mapInArrow(run, "a long, b long").distinct()
 
 
 def _shingles(text) -> np.ndarray:
@@ -282,16 +326,17 @@ def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARI
     # the leader of a bucket is its best connected member: of a text and its edited copies, the text
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "rep")
-    leads = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("order"), "n")).alias("top")).select("key", (-F.col("top.order")).alias("lead"), F.col("top.n").alias("lead_n"))
+    leads = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("order"), "n")).alias("top")).select("key", F.col("top.degree").alias("weight"), (-F.col("top.order")).alias("other"), F.col("top.n").alias("m"))
     # the texts of members only, once; both rounds of verification read them here
     wanted = members.select("rep").distinct().join(signs.select("rep", "id", "h"), "rep")
     texts = written(hashed.join(wanted.withColumnRenamed("h", "own"), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id")) & (F.col("h") == F.col("own"))).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    # a text is compared with the best of its leaders and with one neighbour in order of length, in its largest bucket
     by_length = Window.partitionBy("key").orderBy("n", "rep")
-    to_lead = members.join(leads, "key").select(F.col("lead").alias("a"), F.col("lead_n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    to_next = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.lead("rep").over(by_length).alias("b"), F.lead("n").over(by_length).alias("nb"))
-    fits = (F.least("na", "nb") >= low * F.greatest("na", "nb")) & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    first = written(to_lead.unionByName(to_next).filter(fits).select(*ordered).distinct(), "pairs")
+    to_lead = members.join(leads, "key").select("rep", "n", "weight", "other", "m")
+    to_next = members.select("rep", "n", F.col("size").alias("weight"), F.lead("rep").over(by_length).alias("other"), F.lead("n").over(by_length).alias("m"))
+    fits = (F.least("n", "m") >= low * F.greatest("n", "m")) & F.col("other").isNotNull() & (F.col("rep") != F.col("other"))
+    best = [side.filter(fits).groupBy("rep").agg(F.max(F.struct("weight", "other")).alias("best")).select(F.least("rep", "best.other").alias("a"), F.greatest("rep", "best.other").alias("b")) for side in (to_lead, to_next)]
+    first = written(best[0].unionByName(best[1]).distinct(), "pairs")
     links = written(verified(first, texts, similarity), "verified")
     grouped = components(links)
 
@@ -300,8 +345,7 @@ def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARI
     counted = named.groupBy("key", "component").agg(F.count("*").alias("size"))
     top = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top")).filter("parts > 1")
     named = written(named.join(top, "key").select("key", "rep", "n", "component", (F.col("component") != F.col("top.component")).alias("outside")), "named")
-    left = written(block_pairs(named, fingerprints(texts), similarity).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(left, texts, similarity), "verified")
+    more = written(block_links(named, fingerprints(texts), similarity), "more")
     if more.isEmpty():
         return grouped
     return components(links.unionByName(more))

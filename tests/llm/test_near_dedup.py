@@ -82,9 +82,38 @@ def test_groups_equal_components_of_all_pairs(spark):
 
 def test_block_counts_equal_sets():
     rng = np.random.default_rng(6)
-    a, b = ([rng.integers(0, 50, rng.integers(0, 30)).astype(np.uint32) for _ in range(n)] for n in (7, 5))
+    a, b = ([np.unique(rng.integers(0, 50, rng.integers(0, 30)).astype(np.uint64)) for _ in range(n)] for n in (7, 5))
     want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
-    assert nd.common_counts([x.tobytes() for x in a], [y.tobytes() for y in b]).tolist() == want
+    assert nd.common_counts(a, b).tolist() == want
+
+
+def union(links, root):
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return find
+
+
+@pytest.mark.parametrize("block", [3, 16, 256])
+def test_block_links_join_what_all_pairs_join(spark, monkeypatch, block):
+    rnd = random.Random(block)
+    monkeypatch.setattr(nd, "BLOCK", block)
+    base = rnd.choices(WORDS, k=60)
+    texts = [" ".join(edited(rnd, base, rnd.randrange(1, 4))) for _ in range(50)] + [" ".join(rnd.choices(WORDS, k=40)) for _ in range(5)]
+    s = [shingles(t) for t in texts]
+    component = {i: i // 3 * 3 for i in range(len(texts))}  # some are joined already, and the largest component is inside
+    named = spark.createDataFrame([(1, i, len(s[i]), component[i], component[i] != 0) for i in component], "key long, rep long, n int, component long, outside boolean")
+    rows = [(r.a, r.b) for r in nd.block_links(named, nd.fingerprints(spark.createDataFrame(list(enumerate(texts)), "rep long, text string"))).collect()]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if nd.alignment(s[i], s[j]) >= nd.SIMILARITY]
+    assert set(rows) <= set(pairs) and (block < 256 or len(rows) < len(texts))
+    old = [(i, c) for i, c in component.items()]
+    mine, whole = union(old + rows, {}), union(old + [p for p in pairs if component[p[0]] != component[p[1]]], {})
+    assert [mine(i) for i in component] == [whole(i) for i in component]
 
 
 def test_order_matters(spark):

@@ -4,8 +4,8 @@ The writer deals records to archives of bounded size, one gzip member each, and
 rows (archive, content) of a table in the shared folder. Of the records with equal payloads the one with
 the largest page_id is the response; the others are revisits that refer to it and store no payload.
 
-The reader checks every record: the member's own checks, the version line, the headers, the block's
-length and digest. After a failed check it looks for the next place where a whole valid member or record
+The reader checks every record: the member's own checks, the version line, the headers, all lengths, the
+block's digest. A member may hold several records. After a failed check it looks for the next place where a whole valid member or record
 begins, goes on from there, and reports the bytes between as a gap with the reason.
 
 Defined results: null html is an empty payload; a null url has no target line; repeated rows with the
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import small, table, written
 
 ARCHIVE_BYTES = 8 << 20
+BROADCAST_GROUPS = 200_000  # about 30 bytes each
+HEADER_BYTES = 1 << 20  # of one header line
+MEMBER_BYTES = 1 << 30  # an expanded gzip member
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -53,11 +56,22 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
     return gzip.compress("\r\n".join(headers).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def write_archives(pages: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, content) of pages (page_id, url, html), stored in the shared folder."""
+def write_archives(pages: DataFrame, limit: int = ARCHIVE_BYTES, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """(archive, content) of pages (page_id, url, html), stored in the shared folder.
+
+    The html stays where it is: the groups of equal payloads are broadcast, the largest ``broadcast_groups``
+    of them if there are more. Only records of the smaller groups beyond are then joined by payload hash,
+    so that no group of equal payloads meets in one task unless it is small.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("h", F.unhex(F.sha1("html")))
-    groups = rows.groupBy("h").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("h", "last")
-    marked = rows.join(groups, "h", "left").select("page_id", "url", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")).alias("refers_to"), "html")
+    groups = written(rows.groupBy("h").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    many = groups.count() > broadcast_groups
+    largest = groups.orderBy(F.desc("n"), "h").limit(broadcast_groups) if many else groups
+    marked = rows.join(F.broadcast(largest.select("h", "last", F.lit(True).alias("known"))), "h", "left")
+    if many:
+        rest = groups.join(F.broadcast(largest.select("h")), "h", "left_anti").select("h", "last")
+        marked = marked.filter("known").drop("known").unionByName(marked.filter("known is null").drop("known", "last").join(rest, "h", "left").select("h", "page_id", "url", "html", "last"))
+    marked = marked.select("page_id", "url", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")).alias("refers_to"), "html")
 
     def run(batches):
         task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -79,74 +93,116 @@ class Bad(ValueError):
     """A failed check."""
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, bytes used) of the record at the beginning of data."""
-    if not _VERSION.match(data):
+def number(text: str) -> int:
+    if not re.fullmatch(r"[0-9]{1,18}", text):
+        raise Bad("a length is no number")
+    return int(text)
+
+
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """(headers, block, end) of the record that begins at a place."""
+    if not (m := _VERSION.match(data, at)):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise Bad("headers don't end")
-    headers = {}
-    for line in data[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    headers, line_at = {}, m.end()
+    while (to := data.find(b"\r\n", line_at, line_at + HEADER_BYTES)) != line_at:
+        if to < 0:
+            raise Bad("headers don't end")
+        name, colon, value = data[line_at:to].partition(b":")
         if not colon:
             raise Bad("a header without colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    if not headers.get("content-length", "").isdecimal() or "warc-type" not in headers:
+        line_at = to + 2
+    if "content-length" not in headers or "warc-type" not in headers:
         raise Bad("no type or length")
-    begin = end + 4
-    to = begin + int(headers["content-length"])
-    block = data[begin:to]
+    number(headers.get("warc-payload-length", "0"))
+    begin = line_at + 2
+    to = begin + number(headers["content-length"])
     if to > len(data) or data[to : to + 4] != b"\r\n\r\n":
         raise Bad("the block's length is wrong")
+    block = data[begin:to]
     want = headers.get("warc-block-digest", "")
     if want.startswith("sha1:") and want[5:] != digest(block):
         raise Bad("the block's digest is wrong")
     return headers, block, to + 4
 
 
-def record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The record that begins at a place, compressed or not, and where it ends."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        headers, block, used = parse(data[at:] if at else data)
-        return headers, block, at + used
-    stream = zlib.decompressobj(31)
-    plain, to = [], at
+def member(data: bytes, at: int, most: int = MEMBER_BYTES) -> tuple[bytes, int, str]:
+    """(what it holds, end, '') of the gzip member at a place; of a damaged one what came before the damage, and the reason."""
+    for step in (1 << 16, 1 << 8):  # small steps get nearer to the damage
+        stream, plain, size, to, reason = zlib.decompressobj(31), [], 0, at, ""
+        try:
+            while not stream.eof and to < len(data) and size <= most:
+                plain.append(stream.decompress(data[to : to + step], most + 1 - size))
+                while stream.unconsumed_tail and size + len(plain[-1]) <= most:
+                    size += len(plain[-1])
+                    plain.append(stream.decompress(stream.unconsumed_tail, most + 1 - size))
+                size += len(plain[-1])
+                to += step
+        except zlib.error:
+            reason = "the member is damaged"
+        if not reason:
+            reason = "the member is too large" if size > most else "" if stream.eof else "the member is cut off"
+            break
+    return b"".join(plain), min(to, len(data)) - len(stream.unused_data), reason
+
+
+def plain_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """(offset, end, headers, block, '') of the records of uncompressed bytes, (offset, end, None, b'', reason) of gaps."""
+    at = 0
+    while at < len(data):
+        try:
+            headers, block, end = parse(data, at)
+            yield at, end, headers, block, ""
+        except Bad as e:
+            end = next((m.start() for m in _VERSION.finditer(data, at + 1) if valid(data, m.start())), len(data))
+            yield at, end, None, b"", str(e)
+        at = end
+
+
+def valid(data: bytes, at: int) -> bool:
     try:
-        while not stream.eof and to < len(data):
-            plain.append(stream.decompress(data[to : to + 65536]))
-            to += 65536
-        if not stream.eof:
-            raise Bad("the member is cut off")
-    except zlib.error as e:
-        raise Bad("the member is damaged") from e
-    whole = b"".join(plain)
-    headers, block, used = parse(whole)
-    if used != len(whole):
-        raise Bad("bytes after the record in its member")
-    return headers, block, min(to, len(data)) - len(stream.unused_data)
+        return bool(parse(data, at))
+    except Bad:
+        return False
+
+
+Found = list[tuple[dict[str, str] | None, bytes, str]]
+
+
+def records_at(data: bytes, at: int) -> tuple[Found, int, str]:
+    """(records and gaps, end, '') of what begins at a place: a plain record, or a gzip member with all it holds.
+
+    With a reason, nothing whole begins there; of a damaged member, the records whose digest is right come still.
+    """
+    if data[at : at + 2] != b"\x1f\x8b":
+        try:
+            headers, block, end = parse(data, at)
+        except Bad as e:
+            return [], at, str(e)
+        return [(headers, block, "")], end, ""
+    plain, end, reason = member(data, at)
+    found = [(h, block, why) for _, _, h, block, why in plain_records(plain)]
+    if reason:
+        return [x for x in found if x[0] and x[0].get("warc-block-digest", "").startswith("sha1:")], at, reason
+    if not any(h for h, *_ in found):
+        return [], at, found[0][2] if found else "an empty member"
+    return found, end, ""
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
-    """(offset, end, headers, block, '') of valid records and (offset, end, None, b'', reason) of gaps, in order."""
+    """(offset, end, headers, block, '') of valid records and (offset, end, None, b'', reason) of gaps, in order.
+
+    Records and gaps inside one gzip member have the offset and end of the member. Records before the
+    damage in a damaged member, if their digest is right, have those of the gap that follows them.
+    """
     at = 0
     while at < len(data):
-        try:
-            headers, block, end = record_at(data, at)
-        except Bad as e:
-            reason, end, found = str(e), len(data), None
-            for m in _START.finditer(data, at + 1):
-                try:
-                    found = record_at(data, m.start())
-                except Bad:
-                    continue
-                end = m.start()
-                break
-            yield at, end, None, b"", reason
-            if not found:
-                return
-            at, (headers, block, end) = end, found
-        yield at, end, headers, block, ""
+        found, end, reason = records_at(data, at)
+        if reason:
+            end = next((m.start() for m in _START.finditer(data, at + 1) if records_at(data, m.start())[0]), len(data))
+            found.append((None, b"", reason))
+        for headers, block, why in found:
+            yield at, end, headers, block, why
         at = end
 
 
@@ -164,7 +220,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     payload = block.partition(b"\r\n\r\n")[2] if h.get("content-type", "").startswith("application/http") else block
                     stated = h.get("warc-payload-digest", "").removeprefix("sha1:")
                     if h["warc-type"] == "revisit":
-                        length, found = int(h.get("warc-payload-length", 0)), stated
+                        length, found = number(h.get("warc-payload-length", "0")), stated
                     else:
                         length, found = len(payload), digest(payload)
                     strip = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x is not None else None

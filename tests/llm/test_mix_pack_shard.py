@@ -234,3 +234,20 @@ def test_pipeline_stages(spark):
     for r in packed:
         at[r.sequence_id] += r.length
     assert max(at.values()) <= 1024
+
+
+def test_pipeline_odd_rows(spark):
+    import corpus_pipeline
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/odd"
+    more = [(100 + i, f"A plain sentence about the river and the hill number {i} " * 8, "en", "abc"[i % 3], 1, 0.5, 3, "yes") for i in range(30)]
+    table = edge_docs(spark)
+    for rows, name in ((table.unionByName(spark.createDataFrame(more, table.schema)), "some"), (table.limit(0), "none")):
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/documents.parquet")
+        spark.createDataFrame([(100, 1, 0), (101, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/{name}/labels.parquet")
+        docs_ = spark.read.parquet(f"{folder}/{name}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs_, f"{folder}/{name}")
+            assert out.columns == docs_.columns, stage_name
+        packed = corpus_pipeline.run(spark, f"{folder}/{name}").collect()
+        assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and bool(packed) == (name == "some")

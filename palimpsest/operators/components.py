@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the session's checkpoint folder (a temporary one where that is unset), which survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import written
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -27,12 +14,12 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     Each round, every node takes the smallest label among its own, its neighbours' and that label's own
     label (pointer jumping), until no label changes; raises rather than stop early.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(rounds):
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        after = stored(labels.join(seen, "node").join(jump, "component", "left").select("node", F.col("component").alias("old"), F.least("component", "near", "far").alias("component")), "labels")
+        after = written(labels.join(seen, "node").join(jump, "component", "left").select("node", F.col("component").alias("old"), F.least("component", "near", "far").alias("component")), "labels")
         if after.filter("old <> component").isEmpty():
             return after.select("node", "component")
         labels = after.select("node", "component")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as vx
-from .components import components, stored
+from ..shared import written
+from .components import components
 
 HASHES, BAND, THRESHOLD, WIDTH = 64, 4, 0.7, 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -23,12 +24,12 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     neighbours in order of length, then the rest of a band only across components, so a band of copies costs its size.
     """
     texts = rows.groupBy(F.xxhash64("content").alias("h1"), F.md5("content").alias("h2")).agg(F.min("id").alias("rep"))
-    named = stored(rows.join(texts, (F.xxhash64("content") == F.col("h1")) & (F.md5("content") == F.col("h2"))).select("id", "rep", F.col("content")), "texts")
-    signed = stored(sketched(named.filter("id = rep").select("rep", "content")).filter(F.size("g") > 0), "grams")
+    named = written(rows.join(texts, (F.xxhash64("content") == F.col("h1")) & (F.md5("content") == F.col("h2"))).select("id", "rep", F.col("content")), "texts")
+    signed = written(sketched(named.filter("id = rep").select("rep", "content")).filter(F.size("g") > 0), "grams")
     grams = signed.select("rep", "g")
     bands = signed.select("rep", F.size("g").alias("n"), F.posexplode("bands").alias("b", "key"))
     size = F.count("*").over(Window.partitionBy("b", "key"))
-    members = stored(bands.withColumn("size", size).filter("size > 1"), "bands")
+    members = written(bands.withColumn("size", size).filter("size > 1"), "bands")
     ordered = Window.partitionBy("b", "key").orderBy("n", "rep")
     both = members.select("rep", "n", F.first("rep").over(ordered).alias("lead"), F.lead("rep").over(ordered).alias("next"))
     first = both.select(F.col("rep").alias("x"), F.explode(F.array_compact(F.array("lead", "next"))).alias("y")).filter("x <> y")
@@ -73,4 +74,4 @@ def linked(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """The pairs (x, y) with enough shingles in common, as links (a, b)."""
     p = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     ga, gb = grams.select(F.col("rep").alias("a"), F.col("g").alias("ga")), grams.select(F.col("rep").alias("b"), F.col("g").alias("gb"))
-    return stored(p.join(ga, "a").join(gb, "b").filter(vx.jaccard(F.col("ga"), F.col("gb")) >= threshold).select("a", "b"), "verified")
+    return written(p.join(ga, "a").join(gb, "b").filter(vx.jaccard(F.col("ga"), F.col("gb")) >= threshold).select("a", "b"), "verified")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from .components import components, stored
+from ..shared import written
+from .components import components
 
 STRONG, GRAY, MERGE, REJECT = 0.65, 0.45, 0.60, 0.40
 
@@ -57,7 +58,7 @@ def resolved(mentions: DataFrame, entities: DataFrame, strong: float = STRONG, g
         ("first_token", lambda o: o.filter(F.instr("norm", " ") == 0).join(e.withColumn("token", F.split("alias", " ")[0]), F.col("norm") == F.col("token")).select("norm", "entity").unionByName(o.filter(F.instr("norm", " ") > 0).withColumn("token", F.split("norm", " ")[0]).join(e.filter(F.instr("alias", " ") == 0), F.col("token") == F.col("alias")).select("norm", "entity"))),
     ]
     for rule, hit in rules:
-        decided = stored(open_.join(unique(hit(open_), rule), "norm", "left"), "mentions")  # cuts the plan, which would double with each rule
+        decided = written(open_.join(unique(hit(open_), rule), "norm", "left"), "mentions")  # cuts the plan, which would double with each rule
         found.append(decided.filter("rule is not null").select("mention", "norm", "entity", "rule", "similarity"))
         open_ = decided.filter("rule is null").select("mention", "norm")
     near = trigram_pairs(open_.select(F.col("norm").alias("t")), e.select(F.col("alias").alias("t")), "t", gray)

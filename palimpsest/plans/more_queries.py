@@ -11,6 +11,7 @@ from ..operators import beliefs as bl
 from ..operators import evaluate as ev
 from ..operators import retrieve as rt
 from ..operators import vectors as vec
+from ..shared import shared_folder
 from ..sources import io
 from . import views as v
 from .registry import query
@@ -88,7 +89,7 @@ def a17_self_consistency(spark, sf):
 @query()
 def src8_training_set(spark, sf):
     """SRC8, EV6: triples written by split as JSON lines, with counts."""
-    return io.write_training_set(ev.triples(v.turns(spark, sf), 2), f"{io.scratch(spark)}/training-{uuid.uuid4().hex}")
+    return io.write_training_set(ev.triples(v.turns(spark, sf), 2), f"{shared_folder(spark)}/training-{uuid.uuid4().hex}")
 
 
 @query("claims", "select user_id, entity, max(ts) as ts, count(*) as n from claims group by 1, 2")

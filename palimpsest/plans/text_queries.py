@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..operators import dedup
 from ..operators import extract as op
 from ..operators import retrieve as rt
+from ..shared import shared_folder
 from ..sources import io
 from ..streaming import jobs
 from . import views as v
@@ -138,7 +139,7 @@ def a10_entity_synthesis(spark, sf):
 @query("turns", "select conv_id, turn_no, role, text from turns")
 def src1_json_lines(spark, sf):
     """SRC1, SRC3, SRC9: turns written as JSON lines, read back tolerantly; broken lines go to the rejected output."""
-    path = f"{io.scratch(spark)}/turns-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
     v.turns(spark, sf).select(F.to_json(F.struct("conv_id", "turn_no", "role", "text")).alias("value")).unionByName(spark.range(3).select(F.lit("{broken").alias("value"))).write.text(path)
     good, _ = io.read_json_lines(spark, path, "conv_id long, turn_no long, role string, text string")
     return good

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,15 +9,6 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected lines) of JSON lines; blank lines are skipped, invalid ones never fail the read."""
     lines = spark.read.text(path).filter(F.trim("value") != "")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import scratch
+from ..shared import shared_folder
 
 WATERMARK = "10 minutes"
 
@@ -46,7 +46,7 @@ def drained(spark: SparkSession, stream: DataFrame, name: str, complete: bool =
     Complete mode replaces the result in each batch: the last batch's table is the answer. Session windows
     and windows still open at the end are part of it, as nothing is dropped.
     """
-    at = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/result")
@@ -57,7 +57,7 @@ def drained(spark: SparkSession, stream: DataFrame, name: str, complete: bool =
 
 def ingested(spark: SparkSession, claims: DataFrame) -> DataFrame:
     """A snapshot table after the claims were delivered twice: each batch writes the next snapshot (copy on write), by upsert on id."""
-    at = f"{scratch(spark)}/ingest-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     for _ in range(2):
         claims.write.mode("append").parquet(f"{at}/in")
     schema = claims.schema

@@ -39,7 +39,8 @@ TIME_OF_DAY = r"(?i)\b(?:morning|afternoon|evening|night|noon|midnight)\b"
 ABSOLUTE_DATE = r"(?i)\b(?:on\s+)?(?:\d{4}-\d{1,2}-\d{1,2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2}(?:,?\s+\d{4})?|\d{1,2}/\d{1,2}/\d{2,4})\b"
 RELATIVE_TIMES = [
     "yesterday", "today", "tomorrow", "tonight", "this morning", "this afternoon", "this evening", "this week", "last week", "next week", "this month", "last month", "next month", "earlier", "just now", "a moment ago", "recently",
-    *(f"{a} {d}" for a in ("last", "this") for d in "monday tuesday wednesday thursday friday saturday sunday".split()),
+    "last monday", "last tuesday", "last wednesday", "last thursday", "last friday", "last saturday", "last sunday",
+    "this monday", "this tuesday", "this wednesday", "this thursday", "this friday", "this saturday", "this sunday",
 ]
 HINTS = {
     "is_temporal": r"(?i)\b(when|what date|what day|what time|before|after|first|last|recently|earliest|latest|next|previous|how long ago|since|until)\b",
@@ -124,9 +125,16 @@ def has_date(c: Column) -> Column:
     return F.coalesce(F.greatest(*(c.rlike(p) for p in DATE_FORMS)), F.lit(False))
 
 
-_MONTH_KEYS = {k: i + 1 for i, m in enumerate(MONTHS) for k in (m.lower(), m[:3].lower())} | {"sept": 9}
-_DAY_KEYS = {k: i for i, ks in enumerate(("monday mon", "tuesday tue tues", "wednesday wed", "thursday thu thurs", "friday fri", "saturday sat", "sunday sun")) for k in ks.split()}
-_NUMBERS = {w: i + 1 for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split())} | {"a": 1, "an": 1}
+# Names of months, days and numbers.
+_MONTH_KEYS = {
+    "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4, "may": 5, "june": 6, "jun": 6, "july": 7, "jul": 7,
+    "august": 8, "aug": 8, "september": 9, "sept": 9, "sep": 9, "october": 10, "oct": 10, "november": 11, "nov": 11, "december": 12, "dec": 12,
+}
+_DAY_KEYS = {
+    "monday": 0, "mon": 0, "tuesday": 1, "tue": 1, "tues": 1, "wednesday": 2, "wed": 2, "thursday": 3, "thu": 3, "thurs": 3,
+    "friday": 4, "fri": 4, "saturday": 5, "sat": 5, "sunday": 6, "sun": 6,
+}
+_NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
 _UNITS = {"day": 1, "week": 7, "month": 30, "year": 365}
 
 

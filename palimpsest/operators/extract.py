@@ -23,9 +23,13 @@ TECHNOLOGIES = [
     "Qdrant", "Pinecone", "Weaviate", "Milvus", "Chroma", "pgvector", "Kafka", "RabbitMQ", "NATS", "SQS", "PubSub", "S3", "GCS", "R2", "Azure Blob",
     "Upstash", "ElastiCache", "Lambda", "Cloud Run", "Fly.io", "Render", "Vercel", "Netlify", "Heroku", "AWS", "GCP", "Azure",
     "Go", "Rust", "Python", "TypeScript", "JavaScript", "Java", "Kotlin", "Ruby", "PHP", "C#", "C++", "Swift", "Scala", "Elixir",
+    "Anthropic", "OpenAI", "Gemini", "Claude", "DeepSeek", "Qwen", "Llama", "Mistral", "Ollama", "FastEmbed", "BAAI/bge-small-en-v1.5",
     "Node.js", "Node", "Deno", "Bun", "GraphQL", "gRPC", "tRPC", "REST", "Terraform", "Ansible", "Pulumi", "Nginx", "Caddy", "Apache", "HAProxy",
     "Celery", "Sidekiq", "Temporal", "Airflow", "dbt", "Snowflake", "BigQuery", "Databricks", "Spark", "Hadoop", "Flink",
-    "Playwright", "Cypress", "Selenium", "Jest", "Vitest", "Pytest", "Mocha", "Prisma", "SQLAlchemy", "Pandas", "NumPy", "PyTorch", "TensorFlow", "scikit-learn", "Tableau", "Looker",
+    "Tailwind", "Vite", "Webpack", "esbuild", "Turbopack", "Rollup", "Playwright", "Cypress", "Selenium", "Jest", "Vitest", "Pytest", "Mocha",
+    "Prisma", "Drizzle", "SQLAlchemy", "TypeORM", "Sequelize", "Hibernate", "Hasura", "Apollo", "WebSocket", "Socket.IO",
+    "Cloudflare", "Fastly", "Akamai", "DigitalOcean", "Hetzner", "Linode", "MinIO", "Backblaze", "Cohere", "HuggingFace", "LangChain", "LlamaIndex",
+    "Pandas", "NumPy", "PyTorch", "TensorFlow", "scikit-learn", "JAX", "Tableau", "Looker", "Metabase", "Superset", "Plotly",
 ]
 _QUOTED = "|".join(t.replace(".", r"\.").replace("+", r"\+").replace("#", "#") for t in sorted(TECHNOLOGIES, key=lambda t: (-len(t), t)))
 TECHNOLOGY = rf"(?i)\b({_QUOTED})\b"

@@ -5,8 +5,6 @@ A *word* is a maximal run of characters other than space and U+0009..U+000D, eve
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import written  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -28,23 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests) a temporary one, kept for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: later reads survive lost executors and don't recompute."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_columns(df: DataFrame, columns: list[str], new: T.StructType, make: Callable[[], Callable]) -> DataFrame:
     """df with the columns that ``make()(arrays of those columns)`` gives, batch by batch.
 

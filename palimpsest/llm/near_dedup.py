@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.components import components
 from .common import chunks, mix, small, table, windows, word_hashes, word_table, written
 
 SHINGLE = 5
@@ -293,26 +294,6 @@ def _shingles(text) -> np.ndarray:
     return labelled_shingles(word_hashes(data, starts, ends), ranges)[0]
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of the nodes of links (a, b): the smallest node that each reaches.
-
-    In each round a node takes the smallest label among its own, its neighbours' and that of the node
-    its label names (pointer jumping), until no label changes. Labels stay a table in the shared folder.
-    A hot node is only a key of a min, summed before the shuffle, and of joins that can be split.
-    """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "component")
-        jump = labels.select("node", F.col("component").alias("c")).join(labels.select(F.col("node").alias("c"), "component"), "c").select("node", "component")
-        best = seen.unionByName(jump).groupBy("node").agg(F.min("component").alias("best"))
-        after = written(labels.join(best, "node").select("node", F.least("component", "best").alias("component"), (F.col("best") < F.col("component")).alias("moved")), "labels")
-        labels = after.select("node", "component")
-        if after.filter("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
-
-
 def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the representatives that have a near duplicate.
 

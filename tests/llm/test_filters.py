@@ -1,11 +1,13 @@
 """op1, op6, op9: counts against plain loops, separation on held-out rows, defined results of odd rows."""
 
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import quality_classifier, quality_rules, toxicity
 
@@ -74,6 +76,50 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r.severity <= 2 for r in rows) and all((r.grade > 0) == r.toxic for r in rows)
 
 
+def test_scores_equal_plain_loops(spark):
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choices("Calm river $$$ buy *** Mill é FLOWS".split(), k=rnd.randrange(1, 60))) for _ in range(60)] + [None, "", "abc", "x y"]
+    table = docs(spark, [t or "" for t in texts[:60]]).select("doc_id", "text").unionByName(spark.createDataFrame([(60 + i, t) for i, t in enumerate(texts[60:])], "doc_id long, text string"))
+    ratio = np.array([rnd.uniform(-2, 2) for _ in range(quality_rules.BUCKETS)])
+    weights = np.array([rnd.uniform(-3, 3) for _ in range(quality_classifier.BUCKETS + quality_classifier.SHAPES + 1)])
+    words = {w for t in texts if t for w in re.findall(r"[^\W\d_]+", t.lower())}
+    model = {f: rnd.uniform(-0.3, 0.3) for w in sorted(words) for f in toxicity.word_features(w)}, [-0.2, 0.4]
+    one = {r.doc_id: r for r in quality_rules.scored(table, ratio).collect()}
+    nine = {r.doc_id: r for r in quality_classifier.scored(table, weights).collect()}
+    six = {r.doc_id: r for r in toxicity.graded(table, model).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        values = [ratio[quality_rules.ngram_buckets(np.frombuffer(raw[k : k + 4], np.uint8))[0]] for k in range(len(raw) - 3)]
+        assert one[i].score == pytest.approx(sum(values) / len(values) if values else 0.0, abs=1e-8)
+        assert one[i].kept == (not one[i].base_failed and one[i].score >= quality_rules.MIN_SCORE)
+        data = np.frombuffer(raw, np.uint8)
+        z = weights[-1] + 0.1 * sum(weights[k[0]] for k in quality_classifier.shape_tokens(quality_classifier.shape(data, np.array([0, len(raw)]))))
+        values = [weights[quality_rules.ngram_buckets(data[k : k + 3], 3, quality_classifier.BUCKETS)[0]] for k in range(len(raw) - 2)]
+        score = 1 / (1 + math.exp(-z - (sum(values) / len(values) if values else 0.0)))
+        assert nine[i].score == pytest.approx(score, abs=2e-6) and nine[i].kept == (nine[i].score >= 0.5)
+        x = sum(model[0][f] for w in set(re.findall(r"[^\W\d_]+", (text or "").lower())) for f in toxicity.word_features(w))
+        above = [1 / (1 + math.exp(k - x)) for k in model[1]]
+        assert six[i].severity == pytest.approx(sum(above), abs=2e-6) and six[i].grade == sum(p >= 0.5 for p in above) and six[i].toxic == (above[0] >= 0.5)
+
+
+def test_log_ratio_by_its_definition():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 50, 1000)
+    good = rng.binomial(raw, 0.3)
+    prior, total, kept = min(50_000.0, 0.01 * good.sum()), sum(c + 0.1 for c in raw), good.sum()
+    for b, value in enumerate(quality_rules.log_ratio(raw, good)):
+        p = (raw[b] + 0.1) / total
+        assert value == pytest.approx(math.log((good[b] + prior * p) / (kept + prior)) - math.log(p))
+
+
+def test_the_toxic_sample_is_bounded(spark):
+    table = docs(spark, ["same id"] * 9000).withColumn("doc_id", F.when(F.col("doc_id") < 6000, F.col("doc_id") % 2).otherwise(F.col("doc_id")))
+    sample = toxicity.sample_features(table, labels(spark, [(i, 1, i % 2) for i in [0, 1, *range(6000, 6300)]]), 10)
+    assert sample.count() == 10
+    everything = toxicity.sample_features(table, labels(spark, [(0, 1, 0), (1, 1, 1)]), 10).collect()
+    assert sorted((r.doc_id, r.toxic) for r in everything) == [(0, 0), (1, 1)]
+
+
 def test_ordinal_fit_recovers_thresholds():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 2))

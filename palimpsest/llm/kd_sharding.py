@@ -35,7 +35,7 @@ GROUP_SHARE = 0.05
 POPULAR = 2048  # groups with more than this part of all rows are broadcast, the others joined
 LITERALS = 64  # nodes in a literal map; more are a broadcast table
 CODES = 65_536  # values of a dimension that are broadcast; more are joined
-LEVELS = 4  # levels of the tree after which rows are written again
+LEVELS = 1  # levels of the tree after which rows are written again: a node looked up in a node would be worked out several times
 SLOT_GROUPS = 1024
 
 
@@ -140,7 +140,7 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
         rows = placed.withColumn("node", F.when(value >= F.col("cut"), F.col("right")).otherwise(F.col("node"))).drop("d", "cut", "right")
         leaves = {n: k for n, k in leaves.items() if k == 1} | {n: big[n] // 2 for n in nodes} | {right[n]: big[n] - big[n] // 2 for n in nodes}
         level += 1
-        if level % LEVELS == 0:  # the path to a node stays short
+        if level % LEVELS == 0 and any(k > 1 for k in leaves.values()):
             rows = written(rows, "nodes")
     return rows.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"))
 

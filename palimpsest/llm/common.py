@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..shared import written  # noqa: F401
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,7 +52,7 @@ def with_columns(df: DataFrame, columns: list[str], new: T.StructType, make: Cal
     return df.mapInArrow(run, schema)
 
 
-def small(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most limit bytes of the column, or one row: bounds what a task holds, however long the texts."""
     _, offsets = text_bytes(batch.column(column))
     at = 0
@@ -122,7 +122,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of words by value, equal in every run."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(21, int(len(data)).bit_length()))
+    up, down = _powers(max(20, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))

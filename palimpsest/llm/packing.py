@@ -45,46 +45,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """text -> ids of a byte-level BPE file: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
+def library(path: str):
+    """text -> ids by the tokenizers library."""
+    from tokenizers import Tokenizer
 
-    The same vocabulary is run by tiktoken, which gives the same ids several times faster. Texts with the
-    string of a special token, which has an id of its own, or with a run of white space that tiktoken's
-    pattern would follow too deep go to the tokenizers library; so do all where the vocabulary's ids aren't merge ranks.
-    """
+    own = Tokenizer.from_file(path)
+    return lambda text: own.encode(text, add_special_tokens=False).ids
+
+
+def merge_ranks(path: str):
+    """(text -> ids by tiktoken, special tokens) of a byte-level BPE file; KeyError or ValueError where its ids aren't merge ranks."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    own = Tokenizer.from_file(path)
-    library = lambda text: own.encode(text, add_special_tokens=False).ids
+        file = json.load(f)
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
-    special = sorted(t.content for t in own.get_added_tokens_decoder().values())
+    special = sorted(t["content"] for t in file["added_tokens"])
+    ranks = {bytes(shown[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, special
+
+
+def same_ids(path: str) -> bool:
+    """Whether tiktoken gives the library's ids on PROBES; asked once, on the driver."""
     try:
-        ranks = {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast, _ = merge_ranks(path)
     except (KeyError, ValueError):
-        return library
-    if any(fast(probe) != library(probe) for probe in PROBES):
-        return library
+        return False
+    own = library(path)
+    return all(fast(probe) == own(probe) for probe in PROBES)
+
+
+def encoder(path: str, fast: bool | None = None):
+    """text -> ids of a byte-level BPE file: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
+
+    Where ``fast`` (by default: where the probes agree), tiktoken runs the same vocabulary, several times
+    faster. Texts with the string of a special token, which has an id of its own, or with a run of white
+    space that tiktoken's pattern would follow too deep still go to the library, which is loaded for the first of them.
+    """
+    if not (same_ids(path) if fast is None else fast):
+        return library(path)
+    quick, special = merge_ranks(path)
     runs = re.compile(r"\s{64,}")
+    own = None
 
     def encode(text: str) -> list[int]:
+        nonlocal own
         if any(t in text for t in special) or any(m.end() - m.start() >= LONG_RUN for m in runs.finditer(text)):
-            return library(text)
-        return fast(text)
+            own = own or library(path)
+            return own(text)
+        return quick(text)
 
     return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
     """Pieces with their number among the task's pieces of that length."""
+    fast = same_ids(tokenizer)
 
     def run(batches):
-        encode, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        encode, task, seen = encoder(tokenizer, fast), TaskContext.get().partitionId(), {}
         for batch in batches:
             for part in small(batch, "text"):
                 rows = []

@@ -31,7 +31,7 @@ SAMPLE = 12_000
 PREFIXES = (3, 4, 5)
 MAX_FEATURES = 20_000
 MIN_ODDS = 1.0  # features as frequent in toxic as in clean texts say nothing
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 RESULT = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
 

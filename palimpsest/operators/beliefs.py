@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.embed import hash_vector
+
 from ..functions import text as tx
 
 TOUCH, RELATED = 0.97, 0.80
@@ -175,3 +177,8 @@ def validated(claims: DataFrame) -> DataFrame:
     """claims with ``faults``: the integrity rules that each row breaks."""
     rules = {"authority": ~F.col("authority").between(0, 1), "validity": F.col("valid_to") < F.col("valid_from"), "id": F.col("id").isNull(), "user": F.col("user_id").isNull()}
     return claims.withColumn("faults", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items()))))
+
+
+def with_vectors(claims: DataFrame, embed=hash_vector, text: str = "content", vector: str = "embedding") -> DataFrame:
+    """claims with missing vectors filled by ``embed`` (a function of a text column); without text they stay null. No shuffle."""
+    return claims.withColumn(vector, F.coalesce(F.col(vector), F.when(F.col(text).isNotNull(), embed(F.col(text)))))

@@ -98,3 +98,10 @@ def merge_policy(pairs: DataFrame, entities: DataFrame, merge: float = MERGE, re
 def merged(claims: DataFrame, mapping: DataFrame) -> DataFrame:
     """claims with entity_id repointed to the survivor (loser, survivor)."""
     return claims.join(mapping.select(F.col("loser").alias("entity_id"), "survivor"), "entity_id", "left").withColumn("entity_id", F.coalesce("survivor", "entity_id")).drop("survivor")
+
+
+def backfilled(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """claims with an entity_id for those that have an entity and none yet: the entity that the mention resolves to, else the mention itself in normal form. Each mention is resolved once."""
+    open_ = claims.filter("entity is not null and entity_id is null").select(F.col("entity").alias("mention")).distinct()
+    found = resolved(open_, entities).filter("rule <> 'generic'").select(F.col("mention").alias("entity"), F.when(F.col("rule").isin("new", "candidate"), F.col("norm")).otherwise(F.col("entity")).alias("found"))
+    return claims.join(found, "entity", "left").withColumn("entity_id", F.coalesce("entity_id", "found")).select(claims.columns)

@@ -68,6 +68,17 @@ def triples(turns: DataFrame, negatives: int, seed: int = 7) -> DataFrame:
     return pos.join(neg.drop("turn_no"), "conv_id")
 
 
+def distinct_pairs(rows: DataFrame, query: str = "query", positive: str = "positive") -> DataFrame:
+    """The different (query, positive) pairs of triples."""
+    return rows.select(query, positive).distinct()
+
+
+def first_ranks(hits: DataFrame, stale: DataFrame) -> DataFrame:
+    """(qid, first_stale, first_fresh): the best ranks of hits that are among the stale claims (claim_id) and of those that aren't."""
+    rows = hits.join(stale.select("claim_id", F.lit(True).alias("stale")).distinct(), "claim_id", "left")
+    return rows.groupBy("qid").agg(F.min(F.when(F.col("stale"), F.col("rank"))).alias("first_stale"), F.min(F.when(F.col("stale").isNull(), F.col("rank"))).alias("first_fresh"))
+
+
 def hard_negatives(hits: DataFrame, n: int) -> DataFrame:
     """The n best hits of each question that aren't gold (another label than the question's own)."""
     rows = hits.filter("label <> own")

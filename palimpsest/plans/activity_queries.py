@@ -132,11 +132,15 @@ def e1_mention_resolution(spark, sf):
     return _resolved(spark, sf).select("mention", "norm", "entity", "rule", F.round("similarity", 6).alias("similarity"))
 
 
+def mentions_of_parts():
+    """How a part is mentioned: in capitals, with an article, by its first word, or cut short."""
+    name = F.col("p_name")
+    return F.when(F.col("p_partkey") % 4 == 0, F.upper(name)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("The "), name, F.lit("!"))).when(F.col("p_partkey") % 4 == 2, F.split(name, " ")[0]).otherwise(F.left(name, F.length(name) - 1))
+
+
 def _resolved(spark, sf):
     parts = v.read(spark, sf, "part")
-    name = F.col("p_name")
-    mention = F.when(F.col("p_partkey") % 4 == 0, F.upper(name)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("The "), name, F.lit("!"))).when(F.col("p_partkey") % 4 == 2, F.split(name, " ")[0]).otherwise(F.left(name, F.length(name) - 1))
-    return en.resolved(parts.select(mention.alias("mention")).distinct(), parts.select(name.alias("entity")).distinct())
+    return en.resolved(parts.select(mentions_of_parts().alias("mention")).distinct(), parts.select(F.col("p_name").alias("entity")).distinct())
 
 
 @query(sql=_TRI + """, n as (select p_name as name, min(p_partkey) as created, min(p_size) > 2 as provisional from part group by 1),

@@ -259,7 +259,7 @@ def c5_stage_trace(spark, sf):
 
 @query()
 def g3_clusters(spark, sf):
-    """Two principal components and k-means clusters of all vectors, with labels; a seeded model, checked by tests."""
+    """Two principal components and k-means clusters of all vectors, with labels; a seeded model, checked by tests."""
     p, _ = _base(spark, sf)
     return gr.cluster_summary(gr.projected(p), p)
 

@@ -17,17 +17,22 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     return parsed.filter(~bad).select("r.*").drop(CORRUPT), parsed.filter(bad).select("value")
 
 
-def read_claims(spark: SparkSession, path: str, user_id=None, with_vectors: bool = False) -> DataFrame:
-    """The claim table; the tenant and null-vector filters reach the Parquet scan."""
+def _bucket(user_id, buckets: int):
+    return F.pmod(F.xxhash64(user_id), F.lit(buckets)).cast("int")
+
+
+def read_claims(spark: SparkSession, path: str, user_id=None, with_vectors: bool = False, buckets: int = 64) -> DataFrame:
+    """The claim table; a tenant's scan reads its own bucket's folder, and the tenant and null-vector filters reach the Parquet scan."""
     out = spark.read.parquet(path)
     if user_id is not None:
-        out = out.filter(F.col("user_id") == user_id)
+        asked = F.lit(user_id).cast(out.schema["user_id"].dataType)
+        out = out.filter((F.col("tenant_bucket") == _bucket(asked, buckets)) & (F.col("user_id") == asked))
     return out.filter("embedding is not null") if with_vectors else out
 
 
 def append_claims(claims: DataFrame, path: str, buckets: int = 64) -> None:
-    """Appends, partitioned by a bucket of the tenant, so that a tenant's scan reads one folder."""
-    claims.withColumn("tenant_bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("tenant_bucket").parquet(path)
+    """Appends, partitioned by a bucket of the tenant."""
+    claims.withColumn("tenant_bucket", _bucket(F.col("user_id"), buckets)).write.mode("append").partitionBy("tenant_bucket").parquet(path)
 
 
 def without(rows: DataFrame, deletes: DataFrame, keys: list[str]) -> DataFrame:

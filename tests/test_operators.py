@@ -212,3 +212,25 @@ def test_entity_counts_hold_names_and_dates_of_the_texts(spark, tmp_path):
     got = {r.entity: r.n_claims for r in QUERIES["a9_entity_counts"](spark, str(tmp_path)).collect()}
     want = {e: sum(e in t.lower() for t in texts) for e in ("maria lopez", "john smith", "2024-03-05")} | {"web": 3}
     assert {e: got.get(e) for e in want} == want
+
+
+def test_hash_vector_by_its_rule(spark):
+    import hashlib
+    import struct
+
+    from palimpsest.functions.embed import hash_vector
+
+    texts = ["", "a text", "é😀"]
+    for dim in (8, 20, 64):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hash_vector(F.col("t"), dim).alias("v")).collect()
+        for r in rows:
+            raw = b"".join(hashlib.sha256(f"{r.t}|{i}".encode()).digest() for i in range(8))
+            want = [x / 2147483647 for x in struct.unpack(f"<{dim}i", raw[: 4 * dim])]
+            size = sum(x * x for x in want) ** 0.5
+            assert r.v == pytest.approx([x / size for x in want], abs=1e-6)
+
+
+def test_entity_backfill(spark):
+    claims = spark.createDataFrame([(1, "PRIYA SHARMA", None), (2, "the team", "x"), (3, None, None), (4, "Oslo office", None)], "id int, entity string, entity_id string")
+    got = {r.id: r.entity_id for r in entities.backfilled(claims, spark.createDataFrame([("Priya Sharma",)], "entity string")).collect()}
+    assert got == {1: "Priya Sharma", 2: "x", 3: None, 4: "oslo office"}

@@ -30,7 +30,7 @@ def a20_profile(spark, sf):
 
 @query("activity", "select user_id, ts, method, path from activity order by ts desc, user_id, path limit 500")
 def k4_newest(spark, sf):
-    """K4, SS8: newest first, the limit kept within 1 and 500."""
+    """K4: newest first, the limit kept within 1 and 500."""
     n = max(1, min(9999, 500))
     return v.activity(spark, sf).orderBy(F.desc("ts"), "user_id", "path").limit(n).select("user_id", "ts", "method", "path")
 

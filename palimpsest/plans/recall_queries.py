@@ -136,12 +136,15 @@ def r8_neighbour_expansion(spark, sf):
 
 @query()
 def r9_sub_questions(spark, sf):
-    """R9, F13, ST1: lexical retrieval of every sub-question, merged by claim."""
+    """R9, F13, ST1: hybrid retrieval of every sub-question, merged by claim, ranked anew for the question itself."""
     p, q = _base(spark, sf)
     subs = op.sub_questions(q.withColumn("text", F.concat_ws(" and ", F.substring_index("text", " ", 4), F.substring_index("text", " ", -4))))
+    subs = subs.select("qid", "sub_no", "text").join(q.drop("text"), "qid")
     numbered = subs.withColumn("root", F.col("qid")).withColumn("qid", F.col("qid") * 10 + F.col("sub_no"))
-    hits = op.bm25(numbered, p, FIELDS, 20, exclude_self=False).withColumn("qid", F.floor(F.col("qid") / 10))
-    return hits.groupBy("qid", "claim_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+    legs = [vec.nearest(numbered.withColumn("id", F.col("root")), p, 100, 0.2, as_of=True), op.bm25(numbered, p, FIELDS, 100, exclude_self=False)]
+    hits = op.fused(legs, 20).withColumn("qid", F.floor(F.col("qid") / 10)).filter("qid <> claim_id")
+    merged = op.top_k(hits.groupBy("qid", "claim_id").agg(F.max("similarity").alias("similarity")), "similarity", 50)
+    return rr.weighted(merged, p, _now()).select("qid", "claim_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
 @query()
@@ -297,7 +300,7 @@ def ev6_triples(spark, sf):
     return ev.triples(v.turns(spark, sf), 2).groupBy("conv_id").agg(F.count("*").alias("n_triples"))
 
 
-@query()
+@query("passages questions", _DENSE + ", h as (select d.qid, claim_id, row_number() over (partition by d.qid order by d.rank) as nth from dense d join passages p on p.id = claim_id join passages o on o.id = d.qid where d.rank <= 50 and p.label <> o.label) select qid, claim_id, 0 as label from h where nth <= 2 union select qid, qid, 1 from h where nth <= 2")
 def ev7_hard_negatives(spark, sf):
     """EV7, EV9: the two most similar hits of another label, as binary examples."""
     p, q = _base(spark, sf)

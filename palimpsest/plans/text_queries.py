@@ -138,7 +138,7 @@ def a10_entity_synthesis(spark, sf):
 
 @query("turns", "select conv_id, turn_no, role, text from turns")
 def src1_json_lines(spark, sf):
-    """SRC1, SRC3, SRC9: turns written as JSON lines, read back tolerantly; broken lines go to the rejected output."""
+    """SRC1: turns written as JSON lines, read back tolerantly; broken lines go to the rejected output."""
     path = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
     v.turns(spark, sf).select(F.to_json(F.struct("conv_id", "turn_no", "role", "text")).alias("value")).unionByName(spark.range(3).select(F.lit("{broken").alias("value"))).write.text(path)
     good, _ = io.read_json_lines(spark, path, "conv_id long, turn_no long, role string, text string")
@@ -179,5 +179,5 @@ def ss9_stream_telemetry(spark, sf):
 
 @query("claims", "select id, ts from claims")
 def ss5_stream_upsert(spark, sf):
-    """SS5-SS7: claims streamed twice into a snapshot table; redelivery inserts nothing."""
+    """SS5, SS6: claims streamed twice into a snapshot table; redelivery inserts nothing."""
     return jobs.ingested(spark, v.claims(spark, sf).select("id", "ts")).select("id", "ts")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..shared import written
 
 WORD = r"[\p{L}\p{N}_]+"
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+#: A term's postings are dealt over so many keys, as a frequent one may hold a third of all rows.
+SALT = 16
 HELPER_SOURCES = ["message-window", "entity-synthesis"]
 FIELD_WEIGHTS = {"content": 1.0, "entity": 0.4, "value": 0.4, "attribute": 0.2}
 
@@ -20,9 +23,9 @@ def tokens(c: Column) -> Column:
 
 
 def postings(claims: DataFrame, fields: list[str]) -> DataFrame:
-    """(id, term, tf, dl): terms of the fields together; dl is the claim's number of tokens."""
-    words = tokens(F.concat_ws(" ", *fields))
-    return claims.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, user_id, dl, term, tf): terms of the fields together; dl is the claim's number of tokens."""
+    rows = claims.select("id", "user_id", tokens(F.concat_ws(" ", *fields)).alias("words"))
+    return rows.select("id", "user_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "user_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_statistics(p: DataFrame) -> DataFrame:
@@ -31,18 +34,21 @@ def corpus_statistics(p: DataFrame) -> DataFrame:
 
 
 def bm25(questions: DataFrame, claims: DataFrame, fields: list[str], k: int = 100, exclude_self: bool = True) -> DataFrame:
-    """Okapi BM25, k1 1.5, b 0.75; terms in over half of all claims count a quarter of the mean idf. Scores over 0 only, divided by the question's best."""
-    p = postings(claims, fields)
-    lengths = p.groupBy("id").agg(F.sum("tf").alias("dl"))
-    size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    """Okapi BM25, k1 1.5, b 0.75; terms in over half of all claims count a quarter of the mean idf. Scores over 0 only, divided by the question's best.
+
+    The postings are stored once, in the shared folder; the questions' terms, copied SALT times, meet them by tenant, term and salt.
+    """
+    p = written(postings(claims, fields), "postings")
+    size = p.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = corpus_statistics(p).crossJoin(size).withColumn("raw_idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
     mean = df.agg(F.avg("raw_idf").alias("mean_idf"))
     idf = df.crossJoin(mean).select("term", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"), "avgdl")
     asked = questions.select("qid", "user_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "user_id", "term").agg(F.count("*").alias("qtf"))
-    # the questions' terms only: the join below reads no other postings
-    wanted = asked.join(idf, "term")
+    # the questions' terms only: the join below keeps no other postings
+    salts = F.array(*(F.lit(i).cast("long") for i in range(SALT)))
+    wanted = asked.join(idf, "term").withColumn("salt", F.explode(salts))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = p.join(claims.select("id", F.col("user_id").alias("owner")), "id").join(wanted, (F.col("owner") == F.col("user_id")) & (p.term == wanted.term)).join(lengths, "id")
+    scored = p.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT))).join(wanted, ["user_id", "term", "salt"])
     if exclude_self:
         scored = scored.filter("id <> qid")
     total = scored.groupBy("qid", F.col("id").alias("claim_id")).agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score")).filter("score > 0")

@@ -11,6 +11,7 @@ from ..operators import graph as gr
 from ..operators import rerank as rr
 from ..operators import retrieve as op
 from ..operators import vectors as vec
+from ..shared import written
 from . import views as v
 from .registry import query
 
@@ -62,7 +63,7 @@ def r2_bm25(spark, sf):
 
 
 @query("passages questions", f"""+ w as (select id, user_id, unnest({_TOK.format('content')}) as term, 1.0 as w from passages union all select id, user_id, unnest({_TOK.format('entity')}), 0.4 from passages union all select id, user_id, unnest({_TOK.format('attribute')}), 0.2 from passages),
- ask as (select qid, user_id, unnest(list_slice(list_distinct({_TOK.format('text')}), 1, 99)) as term from questions), need as (select qid, count(*) as need from ask group by 1),
+ ask as (select qid, user_id, unnest(list_distinct({_TOK.format('text')})) as term from questions), need as (select qid, count(*) as need from ask group by 1),
  f as (select qid, id as claim_id, count(distinct term) as terms, sum(w)::double as score from w join ask using (user_id, term) group by 1, 2), g as (select * from f join need using (qid) where terms = need)
  select qid, claim_id, round(case when max(score) over (partition by qid) = min(score) over (partition by qid) then 1.0 else (score - min(score) over (partition by qid)) / (max(score) over (partition by qid) - min(score) over (partition by qid)) end, 6) as similarity from g""")
 def r3_all_terms(spark, sf):
@@ -97,9 +98,10 @@ def r5_multi_list(spark, sf):
 def r6_entity_boost(spark, sf):
     """Hits under the question's own entity rise by 0.15."""
     p, q = _base(spark, sf)
-    own = q.join(p.select(F.col("id").alias("qid"), "entity"), "qid").select("qid", "entity", "user_id")
-    matched = own.join(p.select("entity", "user_id", F.col("id").alias("claim_id")), ["entity", "user_id"]).select("qid", "claim_id")
-    return op.boosted(dense(p, q, 30), matched).select("qid", "claim_id", F.round("similarity", 6).alias("similarity"), "rank")
+    hits = written(dense(p, q, 30), "hits")
+    own, named = p.select(F.col("id").alias("qid"), F.col("entity").alias("own")), p.select(F.col("id").alias("claim_id"), "entity")
+    matched = hits.join(own, "qid").join(named, "claim_id").filter("entity = own").select("qid", "claim_id")
+    return op.boosted(hits, matched).select("qid", "claim_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query()
@@ -127,7 +129,9 @@ def g6_relationships(spark, sf):
     return gr.relationships(p, vec.knn_edges(p))
 
 
-@query()
+@query("passages questions", _DENSE + ", " + _G1.removeprefix("+ ") + """, both_ as (select src, dst, weight from edges union all select dst, src, weight from edges), near as (select *, row_number() over (partition by src order by weight desc, dst) as nth from both_ qualify nth <= 3),
+ new as (select d.qid, n.dst as claim_id, max(weight) as similarity from dense d join near n on n.src = d.claim_id where d.rank <= 3 and n.dst <> d.qid group by 1, 2)
+ select qid, claim_id, round(similarity, 6) as similarity, 0 as pool from dense where rank <= 10 union all select qid, claim_id, round(similarity, 6), 1 from new where not exists (select 1 from dense d where d.rank <= 10 and d.qid = new.qid and d.claim_id = new.claim_id)""")
 def r8_neighbour_expansion(spark, sf):
     """R8, ST2: neighbours of the three best hits."""
     p, q = _base(spark, sf)
@@ -136,9 +140,11 @@ def r8_neighbour_expansion(spark, sf):
 
 @query()
 def r9_sub_questions(spark, sf):
-    """R9, F13, ST1: hybrid retrieval of every sub-question, merged by claim, ranked anew for the question itself."""
+    """R9, F13, ST1: hybrid retrieval of every sub-question (the halves of a text), merged by claim, ranked anew for the question itself."""
     p, q = _base(spark, sf)
-    subs = op.sub_questions(q.withColumn("text", F.concat_ws(" and ", F.substring_index("text", " ", 4), F.substring_index("text", " ", -4))))
+    words = F.split("text", " ")
+    half = F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))
+    subs = op.sub_questions(q.withColumn("text", F.concat_ws(" and ", F.array_join(F.slice(words, 1, half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "))))
     subs = subs.select("qid", "sub_no", "text").join(q.drop("text"), "qid")
     numbered = subs.withColumn("root", F.col("qid")).withColumn("qid", F.col("qid") * 10 + F.col("sub_no"))
     legs = [vec.nearest(numbered.withColumn("id", F.col("root")), p, 100, 0.2, as_of=True), op.bm25(numbered, p, FIELDS, 100, exclude_self=False)]
@@ -246,7 +252,7 @@ def c2_context(spark, sf):
     """Budget, greedy packing and rendering of the ten best claims; packing is tested against a plain loop."""
     p, q = _base(spark, sf)
     ranked = rr.weighted(hybrid(p, q), p, _now(), 50)
-    asked = q.select("qid", "text", F.lit(4000).alias("context_window"), F.lit(None).cast("int").alias("output_reserve"), F.element_at(F.lit(list(cx.LAYOUTS)), (F.col("qid") % 5 + 1).cast("int")).alias("layout"))
+    asked = q.select("qid", "text", F.lit(16000).alias("context_window"), F.lit(None).cast("int").alias("output_reserve"), F.element_at(F.lit(list(cx.LAYOUTS)), (F.col("qid") % 5 + 1).cast("int")).alias("layout"))
     return cx.assembled(asked, ranked, p.withColumn("summary_medium", F.left("content", F.lit(400))).withColumn("summary_short", F.left("content", F.lit(120)))).select("qid", "budget_total", "budget_remaining", "n_selected", "dropped", F.md5("rendered").alias("rendered_md5"))
 
 
@@ -280,8 +286,9 @@ def ev_gold_documents(spark, sf):
 def a12_hits_by_category(spark, sf):
     """EV4, A12: share of questions with a hit of their own label among the first k, by language and over all."""
     p, q = _base(spark, sf)
-    hits = dense(p, q, 20)
-    gold = q.join(p.select(F.col("id").alias("qid"), "label"), "qid").join(p.select("label", F.col("id").alias("claim_id")), "label").select("qid", "claim_id")
+    hits = written(dense(p, q, 20), "hits")
+    own, named = p.select(F.col("id").alias("qid"), F.col("label").alias("own")), p.select(F.col("id").alias("claim_id"), "label")
+    gold = hits.join(own, "qid").join(named, "claim_id").filter("label = own").select("qid", "claim_id")
     scores = ev.hit_at(hits, gold, [5, 20]).join(p.select(F.col("id").alias("qid"), F.col("attribute").alias("category")), "qid")
     return ev.by_category(scores, ["hit_at_5", "hit_at_20"])
 

@@ -45,8 +45,8 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(p: DataFrame) -> DataFrame:
-    """Every passage whose id is divisible by 50 asks: its first words and its vector."""
-    return p.filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "user_id", F.array_join(F.slice(F.filter(F.split("content", "[ \\n\\t\\r]+"), lambda w: w != ""), 1, 12), " ").alias("text"), F.col("embedding").alias("vector"), F.expr("timestamp'2024-02-01 00:00:00'").alias("as_of"))
+    """Every passage whose id is divisible by 50 asks: its whole text, white space made one, and its vector."""
+    return p.filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "user_id", F.array_join(F.filter(F.split("content", "[ \\n\\t\\r]+"), lambda w: w != ""), " ").alias("text"), F.col("embedding").alias("vector"), F.expr("timestamp'2024-02-01 00:00:00'").alias("as_of"))
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +77,7 @@ SQL = {
         timestamp '2024-01-01' + to_hours((doc_id % 4000)::int) as ts, timestamp '2024-01-01' + to_hours((doc_id % 4000)::int) as valid_from,
         case when doc_id % 11 = 0 then timestamp '2024-01-01' + to_hours((doc_id % 4000)::int) + interval 500 hours end as valid_to, doc_id % 97 = 0 as pinned, embedding, label
         from documents join embeddings on doc_id = vec_id left join (select doc_id, max(quality) as quality from labels group by 1) using (doc_id)""",
-    "questions": """select id as qid, user_id, array_to_string(list_slice(list_filter(regexp_split_to_array(content, '[ \\n\\t\\r]+'), lambda w: w <> ''), 1, 12), ' ') as text, embedding as vector, timestamp '2024-02-01' as as_of from passages where id % 50 = 0""",
+    "questions": """select id as qid, user_id, array_to_string(list_filter(regexp_split_to_array(content, '[ \\n\\t\\r]+'), lambda w: w <> ''), ' ') as text, embedding as vector, timestamp '2024-02-01' as as_of from passages where id % 50 = 0""",
     "turns": "select conv_id, turn as turn_no, role, text, timestamp '2024-01-01' + to_days((conv_id % 1000)::int) + to_minutes(turn::int) as ts from conversations",
     "said": """select o_custkey as conv_id, o_orderkey as turn_no, case when o_orderkey % 2 = 0 then 'User' else 'assistant' end as role,
         'We use ' || ['Redis','Kafka','PostgreSQL','Flask','Heroku','Docker'][o_orderkey % 6 + 1] || ' ' || (o_orderkey % 9 + 1) || '.' || (o_custkey % 5) || ' on port ' || (o_custkey % 8000 + 1000) || '. The billing-svc no longer runs ' || ['MySQL','Jenkins','Rails'][o_orderkey % 3 + 1]

@@ -101,33 +101,46 @@ def prompts(questions: DataFrame, evidence: DataFrame) -> DataFrame:
 def voted(candidates: DataFrame) -> DataFrame:
     """(qid, answer) of candidates (qid, n, answer): the most frequent normalized answer; if all differ, the one most like the others."""
     norm = F.regexp_replace(F.regexp_replace(F.lower(F.trim("answer")), r"[.,;:!?]+$", ""), r"\s+", " ")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("answer"), F.lit(r"(?U)\w+"), F.lit(0)))
     rows = candidates.withColumn("norm", norm)
     counts = rows.groupBy("qid", "norm").agg(F.count("*").alias("votes"), F.min(F.struct("n", "answer")).alias("first"))
     top = counts.groupBy("qid").agg(F.max(F.struct("votes", (-F.col("first.n")).alias("order"), F.col("first.answer").alias("answer"))).alias("top"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("answer"), F.lit(r"(?U)\w+"), F.lit(0)))
-    a, b = rows.select("qid", F.col("n").alias("i"), "answer", words.alias("wa")), rows.select("qid", F.col("n").alias("j"), words.alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    f1 = F.when(shared == 0, 0.0).otherwise(2 * shared / (F.size("wa") + F.size("wb")))
-    central = a.join(b, "qid").filter("i <> j").groupBy("qid", "i", "answer").agg(F.avg(f1).alias("f1")).groupBy("qid").agg(F.max_by("answer", F.struct("f1", -F.col("i"))).alias("central"))
+    undecided = rows.join(top.filter("top.votes = 1").select("qid"), "qid", "left_semi").select("qid", "n", "answer", words.alias("words")).withColumn("m", F.size("words"))
+    # the sum of F1 against all others without pairs: by shared word, how many answers of each length hold it
+    said = undecided.select("qid", "n", "m", F.explode("words").alias("word"))
+    held = said.groupBy("qid", "word", F.col("m").alias("other")).agg(F.count("*").alias("holders"))
+    likeness = said.join(held, ["qid", "word"]).groupBy("qid", "n").agg(F.sum(2 * F.col("holders") / (F.col("m") + F.col("other"))).alias("total"))
+    # an answer with words is wholly like itself: 1 of the total
+    scored = undecided.join(likeness, ["qid", "n"], "left").withColumn("f1", F.round(F.coalesce(F.col("total") - 1, F.lit(0.0)), 9))
+    central = scored.groupBy("qid").agg(F.max_by("answer", F.struct("f1", -F.col("n"))).alias("central"))
     return top.join(central, "qid", "left").select("qid", F.when((F.col("top.votes") > 1) | F.col("central").isNull(), F.col("top.answer")).otherwise(F.col("central")).alias("answer"))
 
 
 def containing(needles: DataFrame, texts: DataFrame, words: int = ANCHOR_WORDS) -> DataFrame:
-    """(qid, id) of texts that contain a needle: joined on the hash of the needle's first words, then checked exactly.
+    """(qid, id) of texts that contain a needle: joined on a hash of a part of it, then checked exactly.
 
-    Each text gives one row for each window of words, hashed; the needles' side is what they have. Needles of fewer words are compared with all texts.
+    The part is the needle's words but the first and the last, which may be cut from longer ones in the text, up to
+    ``words`` of them; of needles of one or two words, their first three characters. Texts give one row for each
+    different window of the lengths that the needles have. An empty needle is in every text.
     """
     split = F.filter(F.split("text", r"[\s]+"), lambda w: w != "")
-    key = lambda a, i: F.xxhash64(F.array_join(F.slice(a, i, words), " "))
-    # the needle's first word may be the end of a longer one in the text, and its last the beginning: the anchor leaves both out
-    n = needles.withColumn("w", split)
-    long_ = n.filter(F.size("w") >= words + 2).select("qid", F.col("text").alias("needle"), key(F.col("w"), F.lit(2)).alias("k"))
-    t = texts.withColumn("w", split).filter(F.size("w") >= words)
-    anchors = t.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: key(F.col("w"), i)))).alias("k"))
-    hits = anchors.join(long_, "k").select("id", "qid", "needle").distinct().join(texts, "id").filter(F.contains("text", "needle")).select("qid", "id")
-    short = n.filter(F.size("w") < words + 2).select("qid", F.col("text").alias("needle"))
-    few = texts.join(short, F.contains(F.col("text"), F.col("needle"))).select("qid", "id")
-    return hits.unionByName(few)
+    key = lambda a, i, n: F.xxhash64(F.slice(a, i, n))
+    n = needles.withColumn("w", split).withColumn("inner", F.least(F.size("w") - 2, F.lit(words)))
+    long_ = n.filter("inner > 0").select("qid", F.col("text").alias("needle"), F.col("inner").alias("len"), key(F.col("w"), F.lit(2), F.col("inner")).alias("k"))
+    few = F.least(F.length("text"), F.lit(3))
+    short = n.filter("inner <= 0").select("qid", F.col("text").alias("needle"), (-few).alias("len"), F.xxhash64(F.left("text", few)).alias("k"))
+    asked = long_.unionByName(short)
+    lengths = asked.agg(F.collect_set("len").alias("lengths"))  # one row of at most ``words`` + 4 numbers
+    t = texts.select("id", "text", split.alias("w")).crossJoin(lengths)
+    none = F.array().cast("array<bigint>")
+
+    def windows(n):
+        of_words = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: key(F.col("w"), i, n))).otherwise(none)
+        of_chars = F.when(F.length("text") >= -n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") + n + 1)), lambda i: F.xxhash64(F.substring("text", i, -n)))).otherwise(none)
+        return F.when(n > 0, of_words).otherwise(of_chars)
+
+    anchors = t.select("id", F.explode(F.array_distinct(F.flatten(F.transform("lengths", windows)))).alias("k"))
+    return anchors.join(asked, "k").select("id", "qid", "needle").distinct().join(texts.select("id", "text"), "id").filter(F.contains("text", "needle")).select("qid", "id")
 
 
 def audit(hits: DataFrame, claims: DataFrame, structured: DataFrame) -> DataFrame:

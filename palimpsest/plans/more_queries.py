@@ -14,6 +14,7 @@ from ..operators import vectors as vec
 from ..shared import shared_folder
 from ..sources import io
 from . import views as v
+from .recall_queries import _DENSE, dense
 from .registry import query
 
 
@@ -44,12 +45,13 @@ def st4_signal_sets(spark, sf):
     return new.join(old, "user_id").select("user_id", F.array_sort(F.array_intersect("new", "old")).alias("both"), F.array_sort(F.array_except("new", "old")).alias("only_new"), (F.col("new") == F.col("old")).alias("equal"))
 
 
-@query("passages questions", "select q.qid, p.id, contains(lower(q.text), lower(p.entity)) as named from questions q join passages p on q.user_id = p.user_id and q.qid <> p.id where p.label = (select label from passages x where x.id = q.qid)")
+@query("passages questions", _DENSE + " select d.qid, p.id, contains(lower(q.text), lower(p.entity)) as named from dense d join questions q using (qid) join passages p on p.id = d.claim_id where d.rank <= 20")
 def pf15_why_matched(spark, sf):
-    """PF15: whether a question names a claim's entity, for claims of its own label."""
+    """PF15: whether a question names the entity of its hits."""
     p = v.passages(spark, sf)
-    q = v.questions(p).join(p.select(F.col("id").alias("qid"), "label"), "qid")
-    return q.join(p.select("user_id", "label", "id", "entity"), ["user_id", "label"]).filter("qid <> id").select("qid", "id", F.contains(F.lower("text"), F.lower("entity")).alias("named"))
+    q = v.questions(p)
+    hits = dense(p, q, 20).select("qid", F.col("claim_id").alias("id"))
+    return hits.join(q.select("qid", "text"), "qid").join(p.select("id", "entity"), "id").select("qid", "id", F.contains(F.lower("text"), F.lower("entity")).alias("named"))
 
 
 @query()
@@ -78,11 +80,14 @@ def a17_vote_counts(spark, sf):
     return c.groupBy("qid", "answer").agg(F.count("*").alias("v")).groupBy("qid").agg(F.max("v").alias("votes"))
 
 
-@query()
+@query("turns", r"""+ c as (select conv_id as qid, turn_no as n, text as answer, regexp_replace(regexp_replace(lower(trim(text)), '[.,;:!?]+$', ''), '\s+', ' ', 'g') as norm, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) as w from turns),
+ k as (select qid, norm, count(*) as votes, min(n) as first_n, arg_min(answer, n) as answer from c group by 1, 2), top as (select qid, max(votes) as votes, first(answer order by votes desc, first_n) as answer from k group by 1),
+ f as (select a.qid, a.n, a.answer, round(sum(coalesce(2.0::double * len(list_intersect(a.w, b.w)) / nullif(len(a.w) + len(b.w), 0), 0)), 9) as f1 from c a join c b on a.qid = b.qid and a.n <> b.n group by all),
+ central as (select qid, first(answer order by f1 desc, n) as answer from f group by 1) select qid, case when votes > 1 or central.answer is null then top.answer else central.answer end as answer from top left join central using (qid)""")
 def a17_self_consistency(spark, sf):
-    """The chosen answer among a conversation's turns, cut to their first words."""
+    """The chosen answer among a conversation's turns."""
     t = v.turns(spark, sf)
-    c = t.select(F.col("conv_id").alias("qid"), F.col("turn_no").cast("int").alias("n"), F.substring_index("text", " ", 3).alias("answer"))
+    c = t.select(F.col("conv_id").alias("qid"), F.col("turn_no").cast("int").alias("n"), F.col("text").alias("answer"))
     return ev.voted(c)
 
 

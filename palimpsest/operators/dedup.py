@@ -21,7 +21,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component, keep) of rows (id, content): pairs of a band with Jaccard of at least ``threshold`` are linked; a component's longest text is kept, of equal ones the smallest id.
 
     Equal texts are collapsed first, and a band's texts are compared with its first text and their
-    neighbours in order of length, then the rest of a band only across components, so a band of copies costs its size.
+    neighbours in order of length, then the rest of a band only across components, each pair with at least one text
+    outside the band's largest component, so a band of copies costs its size.
     """
     texts = rows.groupBy(F.xxhash64("content").alias("h1"), F.md5("content").alias("h2")).agg(F.min("id").alias("rep"))
     named = written(rows.join(texts, (F.xxhash64("content") == F.col("h1")) & (F.md5("content") == F.col("h2"))).select("id", "rep", F.col("content")), "texts")
@@ -36,10 +37,12 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = linked(first, grams, threshold)
     groups = components(links)
     placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("b", "key").agg(F.count_distinct("component").alias("parts")).filter("parts > 1")
-    rest = placed.join(mixed, ["b", "key"]).select("b", "key", "rep", "n", "component")
+    parts = placed.groupBy("b", "key", "component").agg(F.count("*").alias("held"))
+    mixed = parts.groupBy("b", "key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("held", "component")).alias("largest")).filter("parts > 1")
+    rest = written(placed.join(mixed, ["b", "key"]).select("b", "key", "rep", "n", "component", "largest"), "mixed")
     other = rest.select("b", "key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"))
-    across = rest.join(other, ["b", "key"]).filter((F.col("rep") < F.col("other")) & (F.col("component") != F.col("part")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select(F.col("rep").alias("x"), F.col("other").alias("y"))
+    once = (F.col("part") == F.col("largest")) | (F.col("rep") < F.col("other"))
+    across = rest.filter("component <> largest").join(other, ["b", "key"]).filter(once & (F.col("component") != F.col("part")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select(F.col("rep").alias("x"), F.col("other").alias("y"))
     groups = components(links.unionByName(linked(across, grams, threshold)))
     out = named.select("id", "rep", F.length("content").alias("length")).join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     best = out.groupBy("component").agg(F.max(F.struct("length", (-F.col("id")).alias("order"))).alias("top"))

@@ -31,7 +31,9 @@ TECHNOLOGIES = [
     "Cloudflare", "Fastly", "Akamai", "DigitalOcean", "Hetzner", "Linode", "MinIO", "Backblaze", "Cohere", "HuggingFace", "LangChain", "LlamaIndex",
     "Pandas", "NumPy", "PyTorch", "TensorFlow", "scikit-learn", "JAX", "Tableau", "Looker", "Metabase", "Superset", "Plotly",
 ]
-_QUOTED = "|".join(t.replace(".", r"\.").replace("+", r"\+").replace("#", "#") for t in sorted(TECHNOLOGIES, key=lambda t: (-len(t), t)))
+#: The terms by first letter, each group behind a look at that letter, so that most words are left after a few comparisons; longer terms first.
+_BY_LETTER = {a: [t for t in sorted(TECHNOLOGIES, key=lambda t: (-len(t), t)) if t[0].lower() == a] for a in sorted({t[0].lower() for t in TECHNOLOGIES})}
+_QUOTED = "|".join(f"(?={a})(?:" + "|".join(t.replace(".", r"\.").replace("+", r"\+") for t in terms) + ")" for a, terms in _BY_LETTER.items())
 TECHNOLOGY = rf"(?i)\b({_QUOTED})\b"
 VERSION = r"\bv?(\d+\.\d+(?:\.\d+)?)\b"
 PORT = r"(?i)\bport\s+(\d{2,5})\b"

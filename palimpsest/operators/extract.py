@@ -1,7 +1,7 @@
 """Claim extraction: turns -> typed, scored claims, by patterns in column expressions.
 
 Each turn becomes clauses (exploded), each clause an array of findings (category, value, subject,
-attribute), so the whole chain is one pass without Python; only the per-turn de-duplication shuffles.
+attribute), so the whole chain is one pass without Python; turns are shuffled once, by conversation and number.
 """
 
 from __future__ import annotations
@@ -148,7 +148,8 @@ def extracted(turns: DataFrame) -> DataFrame:
     Of equal findings of a turn (category, value, subject, case ignored) the first stays. A value that is
     named in a departure becomes a retraction with a supersession hint.
     """
-    t = normalized_turns(turns)
+    # the only shuffle: all that follows is by turn
+    t = normalized_turns(turns.repartition("conv_id", "turn_no"))
     clauses = t.select("conv_id", "turn_no", "role", "ts", F.posexplode(tx.split_clauses(F.col("text"))).alias("clause_no", "span"))
     found = clauses.select("*", F.posexplode(findings(F.col("span"))).alias("nth", "f")).select("conv_id", "turn_no", "role", "ts", "clause_no", "nth", "span", "f.*")
     first = F.row_number().over(Window.partitionBy("conv_id", "turn_no", "category", F.lower("value"), F.lower(F.coalesce("subject", F.lit("")))).orderBy("clause_no", "nth"))

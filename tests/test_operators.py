@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,28 @@ def test_entity_backfill(spark):
     claims = spark.createDataFrame([(1, "PRIYA SHARMA", None), (2, "the team", "x"), (3, None, None), (4, "Oslo office", None)], "id int, entity string, entity_id string")
     got = {r.id: r.entity_id for r in entities.backfilled(claims, spark.createDataFrame([("Priya Sharma",)], "entity string")).collect()}
     assert got == {1: "Priya Sharma", 2: "x", 3: None, 4: "oslo office"}
+
+
+def test_containing_equals_all_pairs(spark):
+    texts = ["alpha beta gamma delta", "xalpha betax", "a", "", None, "one two three four five six seven eight nine ten eleven", "café über naïve", "gamma  delta", "alpha beta gamma delta " * 50]
+    needles = ["", "a", "ha be", "beta", "beta gamma delta", "pha beta gam", "two three four five six seven eight nine ten", "é ü", "nothing here", "missing words in it", "gamma  delta"]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    n = spark.createDataFrame(list(enumerate(needles)), "qid long, text string")
+    got = sorted(tuple(r) for r in evaluate.containing(n, t).select("qid", "id").collect())
+    assert got == sorted((q, i) for q, needle in enumerate(needles) for i, text in enumerate(texts) if text is not None and needle in text)
+
+
+def test_hot_tenant_has_a_key_for_each_block(spark, monkeypatch):
+    from palimpsest.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(60, 4))
+    rows = [(i, 1 if i % 6 else 2, [float(x) for x in points[i]]) for i in range(60)]
+    claims = spark.createDataFrame(rows, "id long, user_id long, embedding array<double>")
+    asked = claims.withColumnRenamed("embedding", "vector")
+    got = {(r.qid, r["rank"]): r.claim_id for r in vectors.nearest(asked, claims, 3).collect()}
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    for i, tenant, _ in rows:
+        others = sorted((j for j, u, _ in rows if u == tenant and j != i), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))
+        assert [got[i, k] for k in (1, 2, 3)] == others[:3]

@@ -38,84 +38,83 @@ BATCH_BYTES = 8 << 20
 PAGES = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("compression", T.IntegerType()), T.StructField("predictor", T.IntegerType()), T.StructField("tiled", T.BooleanType()), T.StructField("pixels", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())])
 
 
+# How many codes after a clear code have 9, 10, 11 and 12 bits in TIFF's LZW, a clear code at the end included.
+LZW_RUNS = ((9, 254), (10, 512), (11, 1024), (12, 2050))
+LZW_FULL = 3836  # codes between two clear codes of the writer
+_LZW_BITS = np.repeat([w for w, _ in LZW_RUNS], [n for _, n in LZW_RUNS])[: LZW_FULL + 1]
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """TIFF's LZW: codes from the highest bit, one code earlier wider than needed, 9 to 12 bits."""
+    """TIFF's LZW: codes from the highest bit, one code earlier wider than needed, 9 to 12 bits.
+
+    A code's width follows from its place after the last clear code, so codes are listed first and packed at once.
+    """
     codes: dict[int, int] = {}
-    out, held, bits, width, free = bytearray(), 256, 9, 9, 258
-    prefix = -1
+    out, free, prefix = [256], 258, -1
     for byte in data:
-        if prefix < 0:
-            prefix = byte
-            continue
         key = prefix << 8 | byte
-        code = codes.get(key)
-        if code is not None:
-            prefix = code
-            continue
-        held, bits = held << width | prefix, bits + width
-        prefix = byte
-        codes[key] = free
-        free += 1
-        if free == 4094:
-            held, bits = held << width | 256, bits + width
-            codes.clear()
-            free, width = 258, 9
-        elif free + 1 > 1 << width:
-            width += 1
-        if bits >= 4096:
-            rest = bits & 7
-            out += (held >> rest).to_bytes(bits >> 3, "big")
-            held, bits = held & ((1 << rest) - 1), rest
+        if key in codes:
+            prefix = codes[key]
+        elif prefix < 0:
+            prefix = byte
+        else:
+            out.append(prefix)
+            prefix = byte
+            codes[key] = free
+            free += 1
+            if free == 258 + LZW_FULL:
+                out.append(256)
+                codes.clear()
+                free = 258
     if prefix >= 0:
-        held, bits = held << width | prefix, bits + width
-        free += 1
-        if free + 1 > 1 << width and width < 12:
-            width += 1
-    held, bits = held << width | 257, bits + width
-    pad = -bits % 8
-    return bytes(out) + (held << pad).to_bytes((bits + pad) >> 3, "big")
+        out.append(prefix)
+    out.append(257)
+    widths = np.concatenate(([9], np.resize(_LZW_BITS, len(out) - 1)))
+    shift = widths[:, None] - 1 - np.arange(12)
+    return np.packbits((np.array(out)[:, None] >> np.maximum(shift, 0) & 1).astype(np.uint8)[shift >= 0]).tobytes()
+
+
+def lzw_codes(data: np.ndarray, at: int, width: int, count: int) -> np.ndarray:
+    """Up to ``count`` codes of ``width`` bits from bit ``at`` on. Two zero bytes follow the data."""
+    place = at + width * np.arange(min(count, (8 * (len(data) - 2) - at) // width))
+    byte = place >> 3
+    return (data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]) >> 24 - width - (place & 7) & (1 << width) - 1
 
 
 def lzw_decode(data: bytes, most: int) -> bytes:
     """At most about ``most`` bytes of LZW data."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    known, out, last = list(first), [], b""
-    held = bits = at = made = 0
-    width = 9
-    while made < most:
-        while bits < width:
-            if at >= len(data):
-                return b"".join(out)
-            step = data[at : at + 6]
-            held, bits, at = held << 8 * len(step) | int.from_bytes(step, "big"), bits + 8 * len(step), at + len(step)
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code < 256 or code > 257:
-            if last:
+    padded = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int32)
+    out, at, made, stop = [], 0, 0, 256
+    while stop == 256 and made < most:
+        known, last = list(first), b""
+        for width, count in LZW_RUNS:
+            codes = lzw_codes(padded, at, width, count)
+            ends = np.flatnonzero((codes == 256) | (codes == 257))
+            whole = not len(ends)
+            stop = -1 if whole else int(codes[ends[0]])
+            read = len(codes) if whole else int(ends[0])
+            at += width * (read + (not whole))
+            for code in codes[:read].tolist():
                 if code < len(known):
                     now = known[code]
-                    known.append(last + now[:1])
-                elif code == len(known) and code < 4096:
+                elif code == len(known) and last:
                     now = last + last[:1]
-                    known.append(now)
                 else:
                     raise ValueError("LZW code out of range")
-                if len(known) + 1 >= 1 << width and width < 12:
-                    width += 1
-            else:
-                if code > 255:
+                if last:
+                    known.append(last + now[:1])
+                elif code > 255:
                     raise ValueError("LZW code out of range")
-                now = known[code]
-            if len(known) > 4096:
-                raise ValueError("LZW table is full")
-            out.append(now)
-            made += len(now)
-            last = now
-        elif code == 256:
-            known, last, width = list(first), b"", 9
+                out.append(now)
+                last = now
+                made += len(now)
+                if made >= most:
+                    return b"".join(out)
+            if not whole or read < count:
+                break
         else:
-            break
+            raise ValueError("LZW table is full")
     return b"".join(out)
 
 
@@ -234,7 +233,8 @@ def picture_feature(pixels: np.ndarray) -> str:
     flat = pixels.reshape(pixels.shape[0], -1).astype(np.float64)
     rows = np.add.reduceat(flat, np.arange(8) * flat.shape[0] // 8, axis=0)
     cells = np.add.reduceat(rows, np.arange(8) * flat.shape[1] // 8, axis=1)
-    bits = int("".join("1" if x else "0" for x in (cells > np.median(cells)).ravel()), 2)
+    middle = np.sort(cells, axis=None)[31:33].mean()
+    bits = int.from_bytes(np.packbits(cells > middle).tobytes(), "big")
     return f"{flat.mean():.4f}/{flat.std():.4f}/{bits:016x}"
 
 

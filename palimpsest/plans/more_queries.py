@@ -14,7 +14,7 @@ from ..operators import vectors as vec
 from ..shared import shared_folder
 from ..sources import io
 from . import views as v
-from .recall_queries import _DENSE, dense
+from .recall_queries import _DENSE, _has, dense
 from .registry import query
 
 
@@ -54,9 +54,13 @@ def pf15_why_matched(spark, sf):
     return hits.join(q.select("qid", "text"), "qid").join(p.select("id", "entity"), "id").select("qid", "id", F.contains(F.lower("text"), F.lower("entity")).alias("named"))
 
 
-@query()
+@query("passages questions", f"""+ sims as (select q.qid, p.id as claim_id, p.source, greatest(-1, least(1, list_cosine_similarity(q.vector::double[], p.embedding::double[]))) as similarity from questions q join passages p on q.user_id = p.user_id and p.id <> q.qid),
+ near as (select *, row_number() over (partition by qid order by similarity desc, claim_id) as nth from sims qualify nth <= 40),
+ hints as (select qid, {_has("text", tx.HINTS["is_multi_hop"])} as hop, hop or {_has("text", tx.LIST_QUESTION)} as wide, case when {_has("text", tx.HINTS["is_count"])} then 20 when hop or {_has("text", tx.HINTS["is_temporal"])} then 15 else 10 end as k from questions),
+ gated as (select n.*, k, row_number() over (partition by qid order by similarity desc, claim_id) as rank from near n join hints using (qid) where wide or source not in ('src1', 'src2'))
+ select qid, claim_id, round(similarity, 6) as similarity, rank from gated where rank <= k""")
 def pf6_source_gate(spark, sf):
-    """PF6, K3: helper sources only for wide questions, a wider top-k by hints; the rules are tested by value."""
+    """PF6, K3: helper sources only for wide questions, a wider top-k by hints."""
     p = v.passages(spark, sf)
     q = v.questions(p)
     hits = vec.nearest(q.withColumn("id", F.col("qid")), p, 40).drop("rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import beliefs as bl
 from ..operators import context as cx
 from ..operators import evaluate as ev
@@ -31,6 +32,31 @@ _FUSED = """, legs as (select qid, claim_id, 1.0::double / (60 + rank) as share
 _SCORE = "0.6 * similarity + 0.2 * least(1, pow(0.5, epoch_us(timestamp '2024-03-01' - ts) / 86400e6 / 30)) + 0.15 * authority + 0.05 * pinned::int"
 
 
+def _has(text: str, pattern: str) -> str:
+    """SQL: whether the text has the pattern; false for null."""
+    quoted = pattern.replace("'", "''")
+    return f"coalesce(regexp_matches({text}, '{quoted}'), false)"
+
+
+def _tokens(text: str) -> str:
+    """SQL: the word tokens that evaluation counts."""
+    stop = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+    return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda w: length(w) > 1 and not list_contains([{stop}], w))"
+
+
+def _bare_tokens(text: str) -> str:
+    """SQL: tokens without articles and punctuation. Words are put between marks first, as the engine's own word bounds know ASCII only."""
+    marked = f"regexp_replace(lower(coalesce({text}, '')), '([\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+)', chr(1) || '\\1' || chr(1), 'g')"
+    bare = f"regexp_replace(replace(regexp_replace({marked}, '\\x01(a|an|the)\\x01', ' ', 'g'), chr(1), ''), '[!-/:-@\\[-`{{-~]', '', 'g')"
+    return f"list_filter(regexp_split_to_array({bare}, '[\\s\\p{{Z}}]+'), lambda w: w <> '')"
+
+
+def _ranked(hits: int, keep: int) -> str:
+    """SQL: the weighted ranking of the best hits as a WITH table."""
+    return f""", ranked as (select d.qid, claim_id, {_SCORE} as f, row_number() over (partition by d.qid order by {_SCORE} desc, claim_id) as nth
+ from dense d join passages p on p.id = claim_id where d.rank <= {hits} qualify nth <= {keep})"""
+
+
 def _now():
     return F.expr("timestamp'2024-03-01 00:00:00'")
 
@@ -104,9 +130,11 @@ def r6_entity_boost(spark, sf):
     return op.boosted(hits, matched).select("qid", "claim_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query()
+@query("passages questions", _DENSE + f"""
+ select d.qid, claim_id, round(case when {_has("'when did ' || q.text", tx.HINTS["is_temporal"])} and ({" or ".join(_has("p.content", form) for form in tx.DATE_FORMS)}) then least(1.0, similarity + 0.15) else similarity end, 6) as similarity
+ from dense d join passages p on p.id = claim_id join questions q on q.qid = d.qid where rank <= 30""")
 def r7_date_boost(spark, sf):
-    """R7 and RK7; the rules are tested on fixtures."""
+    """R7 and RK7."""
     p, q = _base(spark, sf)
     asked = q.withColumn("text", F.concat(F.lit("when did "), "text"))
     return op.date_boosted(dense(p, q, 30), asked, p).select("qid", "claim_id", F.round("similarity", 6).alias("similarity"))
@@ -153,7 +181,10 @@ def r9_sub_questions(spark, sf):
     return rr.weighted(merged, p, _now()).select("qid", "claim_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
-@query()
+@query("passages questions", _DENSE + f""",
+ again as (select q.qid, q.user_id, concat_ws(' ', q.text, left(p.content, 160), p.entity, p.attribute) as text
+ from questions q join dense d on d.qid = q.qid and d.rank = 1 join passages p on p.id = d.claim_id where {_has("q.text", tx.HINTS["is_multi_hop"])} or d.similarity < 0.9)"""
+ + _LEX.replace("from questions", "from again") + " select qid, claim_id, round(similarity, 6) as similarity, rank from lex where rank <= 20")
 def r10_second_pass(spark, sf):
     """Weak questions are asked again with their best hit's words."""
     p, q = _base(spark, sf)
@@ -199,7 +230,12 @@ def rk8_order_repair(spark, sf):
     return rr.order_repaired(hits, order.unionByName(bad))
 
 
-@query()
+@query("passages questions", _DENSE + f""",
+ one as (select qid, claim_id, row_number() over (partition by qid order by 1 / (1 + exp(-4 * (similarity - 0.5))) desc, claim_id) as nth from dense where rank <= 40 qualify nth <= 20),
+ two as (select qid, claim_id, row_number() over (partition by qid order by claim_id % 7, nth) as position from one qualify position <= 15),
+ three as (select qid, claim_id, 1 - (position - 1) / count(*) over (partition by qid) as similarity from two),
+ four as (select qid, claim_id, {_SCORE} as f, row_number() over (partition by qid order by {_SCORE} desc, claim_id) as rank from three join passages p on p.id = claim_id)
+ select qid, claim_id, round(f, 6) as final_score, rank from four where rank <= 10""")
 def rk4_three_stage(spark, sf):
     p, q = _base(spark, sf)
     hits = dense(p, q, 40)
@@ -208,14 +244,20 @@ def rk4_three_stage(spark, sf):
     return rr.three_stage(hits, scores, order, p, _now()).select("qid", "claim_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
-@query()
+@query("passages questions", _DENSE + _ranked(30, 10) + f""",
+ a as (select r.qid, claim_id, case when {_has("q.text", tx.NEGATION)} = {_has("p.content", tx.NEGATION)} then least(1.0, f * 1.05) else f * 0.7 end as g
+ from ranked r join questions q on q.qid = r.qid join passages p on p.id = claim_id)
+ select qid, claim_id, round(g, 6) as final_score, row_number() over (partition by qid order by g desc, claim_id) as rank from a""")
 def rk6_polarity(spark, sf):
     p, q = _base(spark, sf)
     ranked = rr.weighted(dense(p, q, 30), p, _now())
     return op.top_k(rr.polarity_adjusted(ranked, q, p).drop("rank"), "final_score", 10).select("qid", "claim_id", F.round("final_score", 6).alias("final_score"), "rank")
 
 
-@query()
+@query("passages questions", _DENSE + f""",
+ pairs as (select sha1(concat_ws(chr(31), q.text, p.content)) as pair_key, rank, list_distinct({_tokens("q.text")}) as asked, {_tokens("p.content")} as held
+ from dense d join questions q on q.qid = d.qid join passages p on p.id = claim_id where rank <= 20)
+ select pair_key, case when min(rank) <= 5 then 0.5 when len(any_value(asked)) = 0 then 0 else len(list_intersect(any_value(asked), any_value(held))) / len(any_value(asked)) end::double as score from pairs group by 1""")
 def rk9_pair_reuse(spark, sf):
     """RK9, U2: cached pair scores are reused, the others scored by lexical overlap."""
     p, q = _base(spark, sf)
@@ -224,7 +266,14 @@ def rk9_pair_reuse(spark, sf):
     return rr.scored_with_cache(pairs.dropDuplicates(["pair_key"]), cache, rr.lexical_overlap(F.col("question"), F.col("content")))
 
 
-@query()
+@query("passages questions", _DENSE + _ranked(30, 10) + f""",
+ groups as (select qid, count(distinct coalesce(label::varchar, '')) as n from ranked join passages p on p.id = claim_id where entity is not null and attribute is not null group by qid, entity, attribute),
+ clash as (select qid, max(n) > 1 as clash from groups group by 1),
+ top as (select qid, max(f) filter (nth = 1) as first, max(f) filter (nth = 2) as second from ranked group by 1),
+ r as (select q.qid, first - second as gap, case when first is null then 'no ranked hits' when {_has("q.text", tx.HINTS["is_multi_hop"])} then 'multi-hop question' when {_has("q.text", tx.HINTS["is_temporal"])} then 'temporal question'
+ when {_has("q.text", tx.LIST_QUESTION)} then 'list question' when first < 0.70 then 'low confidence' when first - second < 0.15 then 'ambiguous' when clash then 'value conflict' else 'unambiguous' end as reason
+ from questions q left join top using (qid) left join clash using (qid))
+ select qid, reason in ('multi-hop question', 'temporal question', 'list question', 'unambiguous') as skip, reason, round(gap, 6) as gap from r""")
 def b8_skip_resolution(spark, sf):
     p, q = _base(spark, sf)
     ranked = rr.weighted(dense(p, q, 30), p, _now())
@@ -240,7 +289,11 @@ def b6_conflicts_in_hits(spark, sf):
     return bl.conflicts(kept, ["qid"]).withColumn("penalty", F.round("penalty", 6))
 
 
-@query()
+@query("passages questions", _DENSE + _ranked(50, 50) + """,
+ kept as (select qid, p.id, entity, attribute, ts, f from ranked join passages p on p.id = claim_id),
+ fair as (select qid from kept group by 1 having 2 * count(*) filter (id % 3 = 0) <= count(*))
+ select a.qid, a.id, first(b.id order by b.f desc, b.id) as winner from kept a join kept b using (qid, entity, attribute)
+ where a.qid in (from fair) and a.id % 3 = 0 and b.id % 3 <> 0 and b.ts > a.ts group by 1, 2""")
 def b7_valid_drops(spark, sf):
     p, q = _base(spark, sf)
     kept = rr.weighted(dense(p, q, 50), p, _now(), 50).join(p.select(F.col("id").alias("claim_id"), F.col("id"), "entity", "attribute"), "claim_id").select("qid", "id", "entity", "attribute", "ts", "final_score")
@@ -293,7 +346,15 @@ def a12_hits_by_category(spark, sf):
     return ev.by_category(scores, ["hit_at_5", "hit_at_20"])
 
 
-@query()
+@query("passages questions", _DENSE + f""",
+ t as (select d.qid, {_tokens("p.content")} as p, {_tokens("q.text")} as g, {_bare_tokens("p.content")} as bp, {_bare_tokens("q.text")} as bg
+ from dense d join questions q on q.qid = d.qid join passages p on p.id = claim_id where rank = 1),
+ n as (select qid, p, g, bp, bg, len(list_distinct(p)) as np, len(list_distinct(g)) as ng, len(list_intersect(p, g)) as both_,
+ coalesce(list_sum(list_transform(list_intersect(bp, bg), lambda w: least(len(list_filter(bp, lambda x: x = w)), len(list_filter(bg, lambda x: x = w))))), 0) as bag from t)
+ select qid, round(case when len(g) = 0 then 1 else len(list_filter(g, lambda w: list_contains(p, w))) / len(g) end, 6)::double as context_recall,
+ round(case when np = 0 and ng = 0 then 1 when both_ = 0 then 0 else 2 * both_ / (np + ng) end, 6)::double as f1_set,
+ round(case when len(bp) = 0 and len(bg) = 0 then 1 when bag = 0 then 0 else 2 * bag / (len(bp) + len(bg)) end, 6)::double as f1_bag,
+ (array_to_string(bp, ' ') = array_to_string(bg, ' '))::int::double as exact from n""")
 def ev2_answer_scores(spark, sf):
     """EV1-EV3: recall and both F1 of each question's words against its best hit; formulas are tested by value."""
     p, q = _base(spark, sf)
@@ -324,7 +385,13 @@ def ev5_ranking_accuracy(spark, sf):
     return ev.ranking_accuracy(pos.join(hits.filter("rank = 10").select("qid", F.col("similarity").alias("neg")), "qid"))
 
 
-@query()
+@query("passages questions", _DENSE + f""", claims as ({v.SQL["claims"]}),
+ named as (select d.qid, md5(content) as m, length(content) as len from dense d join passages p on p.id = claim_id where rank <= 20),
+ probes as (select 'duplicates_in_hits' as probe, 5 as most, count(*)::double as x from (select 1 from named group by qid, m having count(*) > 1)
+ union all select 'noise_share', 0.2, count(*) filter (len < 20) / count(*) from named
+ union all select 'one_current_belief', 0, count(*) from (select 1 from claims where valid_to is null group by user_id, entity having count(*) <> 1)
+ union all select 'closed_when_superseded', 0, count(*) from claims where superseded_by is not null and valid_to is null)
+ select probe, x <= most as passed, round(x, 6) as evidence from probes""")
 def ev10_audit(spark, sf):
     """EV10: duplicates among hits, noise share, time travel and identity probes as assertions."""
     p, q = _base(spark, sf)

@@ -7,13 +7,14 @@ the order of rows; where several rows close one belief, the link goes to the sma
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.embed import hash_vector
-
 from ..functions import text as tx
+from ..functions.embed import hash_vector
 
 TOUCH, RELATED = 0.97, 0.80
 FULL_PENALTY_DAYS, DROP_PENALTY = 90.0, 0.8
@@ -67,6 +68,17 @@ def conflicts(claims: DataFrame, group: list[str] | None = None, drop: float = D
     return found.select(*keys, "id", F.least(F.lit(1.0), age / FULL_PENALTY_DAYS).alias("penalty"), (-F.col("rival.order")).alias("winner")).withColumn("dropped", F.col("penalty") >= drop)
 
 
+def keep_all(claims: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """A resolver that drops nothing."""
+    return conflicts(claims, group).filter(F.lit(False))
+
+
+def resolved(claims: DataFrame, group: list[str] | None = None, resolver: Callable[[DataFrame, list[str] | None], DataFrame] = conflicts) -> DataFrame:
+    """claims without those that the resolver drops. A resolver maps (claims, group) to (the group's columns, id, dropped, ...)."""
+    keys = [*(group or ["user_id"]), "id"]
+    return claims.join(resolver(claims, group).filter("dropped").select(*keys), keys, "left_anti")
+
+
 def unresolved(claims: DataFrame, group: list[str]) -> DataFrame:
     """Groups (entity, attribute) that still hold more than one value."""
     value = F.lower(F.trim(F.coalesce("value", F.lit(""))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,11 +86,11 @@ def lexical_overlap(question: Column, content: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tx.scored_tokens(content))) / F.size(q))
 
 
-def skip_resolution(ranked: DataFrame, questions: DataFrame, claims: DataFrame, threshold: float = 0.70, gap: float = 0.15) -> DataFrame:
+def skip_resolution(ranked: DataFrame, questions: DataFrame, claims: DataFrame, threshold: float = 0.70, gap: float = 0.15, classify: Callable[[Column], Column] = tx.classify_query) -> DataFrame:
     """(qid, skip, reason): whether conflict resolution can be left out for a question."""
     values = ranked.join(claims.select(F.col("id").alias("claim_id"), "entity", "attribute", "value"), "claim_id").filter("entity is not null and attribute is not null")
     clash = values.groupBy("qid", "entity", "attribute").agg(F.count_distinct(F.coalesce("value", F.lit(""))).alias("n")).groupBy("qid").agg((F.max("n") > 1).alias("clash"))
     top = ranked.groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.col("final_score"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("final_score"))).alias("second"))
-    rows = questions.select("qid", tx.classify_query(F.col("text")).alias("h"), tx.is_list_question(F.col("text")).alias("list")).join(top, "qid", "left").join(clash, "qid", "left")
+    rows = questions.select("qid", classify(F.col("text")).alias("h"), tx.is_list_question(F.col("text")).alias("list")).join(top, "qid", "left").join(clash, "qid", "left")
     reason = F.when(F.col("first").isNull(), "no ranked hits").when(F.col("h.is_multi_hop"), "multi-hop question").when(F.col("h.is_temporal"), "temporal question").when(F.col("list"), "list question").when(F.col("first") < threshold, "low confidence").when(F.col("first") - F.col("second") < gap, "ambiguous").when(F.col("clash"), "value conflict").otherwise("unambiguous")
     return rows.select("qid", reason.isin("multi-hop question", "temporal question", "list question", "unambiguous").alias("skip"), reason.alias("reason"), (F.col("first") - F.col("second")).alias("gap"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,9 +84,9 @@ def top_k(rows: DataFrame, score: str, k: int | Column, key: str = "claim_id") -
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(score), key))).filter(F.col("rank") <= k)
 
 
-def widened(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """top-k where temporal, multi-hop and counting questions get a larger k."""
-    hints = questions.select("qid", tx.classify_query(F.col("text"))["top_k_multiplier"].alias("m"))
+def widened(rows: DataFrame, questions: DataFrame, k: int, classify: Callable[[Column], Column] = tx.classify_query) -> DataFrame:
+    """top-k where temporal, multi-hop and counting questions get a larger k. ``classify`` gives a struct with top_k_multiplier."""
+    hints = questions.select("qid", classify(F.col("text"))["top_k_multiplier"].alias("m"))
     return top_k(rows.join(hints, "qid"), "similarity", F.floor(F.col("m") * k)).drop("m")
 
 
@@ -120,17 +122,17 @@ def boosted(hits: DataFrame, matched: DataFrame, boost: float = 0.15) -> DataFra
     return hits.join(m, ["qid", "claim_id"], "left").withColumn("similarity", F.least(F.lit(1.0), F.col("similarity") + F.coalesce("boost", F.lit(0.0)))).drop("boost")
 
 
-def date_boosted(hits: DataFrame, questions: DataFrame, claims: DataFrame, score: str = "similarity", boost: float = 0.15) -> DataFrame:
+def date_boosted(hits: DataFrame, questions: DataFrame, claims: DataFrame, score: str = "similarity", boost: float = 0.15, classify: Callable[[Column], Column] = tx.classify_query) -> DataFrame:
     """For temporal questions, hits whose text names a date are raised."""
-    temporal = questions.select("qid", tx.classify_query(F.col("text"))["is_temporal"].alias("temporal"))
+    temporal = questions.select("qid", classify(F.col("text"))["is_temporal"].alias("temporal"))
     dated = claims.select(F.col("id").alias("claim_id"), tx.has_date(F.col("content")).alias("dated"))
     up = F.when(F.col("temporal") & F.col("dated"), F.least(F.lit(1.0), F.col(score) + boost)).otherwise(F.col(score))
     return hits.join(temporal, "qid").join(dated, "claim_id").withColumn(score, up).drop("temporal", "dated")
 
 
-def source_gate(hits: DataFrame, questions: DataFrame, claims: DataFrame, helpers: list[str] | None = None) -> DataFrame:
+def source_gate(hits: DataFrame, questions: DataFrame, claims: DataFrame, helpers: list[str] | None = None, classify: Callable[[Column], Column] = tx.classify_query) -> DataFrame:
     """Helper sources stay only for multi-hop and list questions."""
-    wide = questions.select("qid", (tx.classify_query(F.col("text"))["is_multi_hop"] | tx.is_list_question(F.col("text"))).alias("wide"))
+    wide = questions.select("qid", (classify(F.col("text"))["is_multi_hop"] | tx.is_list_question(F.col("text"))).alias("wide"))
     return hits.join(claims.select(F.col("id").alias("claim_id"), "source"), "claim_id").join(wide, "qid").filter(F.col("wide") | ~F.col("source").isin(helpers or HELPER_SOURCES)).drop("wide", "source")
 
 
@@ -161,9 +163,9 @@ def sub_questions(questions: DataFrame, most: int = 3) -> DataFrame:
     return questions.select("qid", "user_id", F.posexplode(tx.decompose(F.col("text"), most)).alias("sub_no", "text"))
 
 
-def second_pass_text(questions: DataFrame, hits: DataFrame, claims: DataFrame, low: float = 0.45) -> DataFrame:
+def second_pass_text(questions: DataFrame, hits: DataFrame, claims: DataFrame, low: float = 0.45, classify: Callable[[Column], Column] = tx.classify_query) -> DataFrame:
     """For multi-hop questions and weak best hits: the question followed by the best hit's beginning and its entity and attribute."""
     best = hits.filter("rank = 1").join(claims.select(F.col("id").alias("claim_id"), "content", "entity", "attribute"), "claim_id")
-    hop = tx.classify_query(F.col("text"))["is_multi_hop"]
+    hop = classify(F.col("text"))["is_multi_hop"]
     text = F.concat_ws(" ", "text", F.left("content", F.lit(160)), "entity", "attribute")
     return questions.join(best.select("qid", "content", "entity", "attribute", "similarity"), "qid").filter(hop | (F.col("similarity") < low)).select("qid", "user_id", text.alias("text"))

@@ -45,14 +45,26 @@ def j4_close_by_link(spark, sf):
     return op.backfilled_times(v.claims(spark, sf).withColumn("valid_from", F.lit(None).cast("timestamp"))).select("id", "user_id", "entity", "valid_to", "superseded_by")
 
 
-@query("claims", """+ r as (select user_id, entity, attribute, id, ts, lower(trim(coalesce(value, ''))) as val from claims),
- p as (select a.user_id, a.entity, a.attribute, a.id, b.id as other, b.ts as bts, least(1.0, epoch_us(b.ts - a.ts) / 86400e6 / 90.0) as penalty from r a join r b on a.user_id = b.user_id and a.entity = b.entity and a.attribute = b.attribute and a.ts < b.ts and a.val <> b.val)
+_RIVALS = """+ r as (select user_id, entity, attribute, id, ts, lower(trim(coalesce(value, ''))) as val from claims),
+ p as (select a.user_id, a.entity, a.attribute, a.id, b.id as other, b.ts as bts, least(1.0, epoch_us(b.ts - a.ts) / 86400e6 / 90.0) as penalty from r a join r b on a.user_id = b.user_id and a.entity = b.entity and a.attribute = b.attribute and a.ts < b.ts and a.val <> b.val)"""
+
+
+@query("claims", _RIVALS + """
  select user_id, entity, attribute, id, round(max(penalty), 6) as penalty, first(other order by bts desc, other) as winner, max(penalty) >= 0.8 as dropped from p group by 1, 2, 3, 4""")
 def b6_conflicts(spark, sf):
     """Older claims with a newer one of another value."""
     return op.conflicts(v.claims(spark, sf)).withColumn("penalty", F.round("penalty", 6))
 
 
+@query("claims", _RIVALS + ", d as (select id from p group by 1 having max(penalty) >= 0.8) select user_id, count(*) as n, count(*) filter (id not in (from d)) as n_kept from claims group by 1")
+def u3_resolvers(spark, sf):
+    """Claims left by a resolver that keeps all, and by the rule of B6."""
+    c = v.claims(spark, sf)
+    every = op.resolved(c, resolver=op.keep_all).groupBy("user_id").agg(F.count("*").alias("n"))
+    kept = op.resolved(c).groupBy("user_id").agg(F.count("*").alias("n_kept"))
+    return every.join(kept, "user_id")
+
+
 @query("claims", "select user_id, lower(entity) as entity, lower(attribute) as attribute, count(distinct lower(trim(value))) as n_values, 'unresolved_values:' || lower(entity) || '/' || lower(attribute) as reason from claims group by 1, 2, 3 having count(distinct lower(trim(value))) > 1")
 def a11_unresolved(spark, sf):
     return op.unresolved(v.claims(spark, sf), ["user_id"])

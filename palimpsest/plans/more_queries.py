@@ -68,6 +68,15 @@ def pf6_source_gate(spark, sf):
     return rt.widened(gated, q, 10).select("qid", "claim_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("passages questions", _DENSE + " select d.qid, claim_id, rank from dense d join questions q on q.qid = d.qid where rank <= case when length(q.text) > 500 then 20 else 10 end")
+def u5_classifier(spark, sf):
+    """A caller's classifier decides how many hits a question gets, here by its length."""
+    p = v.passages(spark, sf)
+    q = v.questions(p)
+    by_length = lambda c: F.struct(F.when(F.length(c) > 500, 2.0).otherwise(1.0).alias("top_k_multiplier"))
+    return rt.widened(dense(p, q).drop("rank"), q, 10, by_length).select("qid", "claim_id", "rank")
+
+
 @query("turns", "+ u as (select conv_id as qid, first(text order by turn_no) as question from turns where role = 'user' group by 1), a as (select conv_id as qid, first(text order by turn_no) as answer, string_agg('<memory>' || text || '</memory>', chr(10) order by turn_no, text) as lines from turns where role = 'assistant' group by 1) select qid, lines || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' as prompt, ' ' || answer as completion from u join a using (qid)")
 def ev8_prompts(spark, sf):
     """EV8, J10: prompts of each conversation's assistant lines and its first question."""

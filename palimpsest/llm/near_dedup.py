@@ -1,16 +1,17 @@
 """MinHash near-dedup with Order MinHash, verified by banded alignment.
 
-A text is the sequence of its five-word shingles, each labelled with how often it has occurred before
+For the sketch a text is the sequence of its five-word shingles, each labelled with how often it has occurred before
 (fewer than five words: one shingle). For each of TABLES hash functions the ORDER smallest labelled
 shingles are sampled and kept in text order; their hash is a bucket key, so a shared bucket needs equal
 shingles in equal order, which makes the sketch sensitive to edit similarity and not only to sets.
-Texts of at most SHORT shingles have keys that every similar pair of them shares with certainty; those
-that may also be similar to a longer text have both kinds.
+Texts of at most SHORT shingles have further keys, so that any two of them with a similarity of 0.8 by shingles
+share one with certainty.
 
-Two texts are near duplicates if their similarity m / (a + b - m) is 0.8 or more, where a and b are
-their numbers of labelled shingles and m the longest common subsequence of both sequences within a
-diagonal band. A similarity of 0.8 bounds what is left over on either side, so the band of that width
-loses nothing. Groups are the connected components.
+Candidates are aligned word by word. Two texts are near duplicates if their edit similarity 2m / (a + b) is 0.8 or
+more, where a and b are their numbers of words and m is the longest common subsequence of words within a
+diagonal band: what one insertion or deletion of a word costs is one word, not the five shingles around it. A
+similarity of 0.8 bounds what is left over on either side, so the band of that width loses nothing. Whatever shares
+0.8 of its labelled shingles in order is similar by words too. Groups are the connected components.
 
 Hot groups: equal texts are first collapsed to one representative. In a bucket not every pair is
 compared: first each text with the best connected member of its buckets and with a neighbour in order of length;
@@ -28,7 +29,6 @@ under none, are different documents; equal ids alone never join groups. Extra co
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from functools import lru_cache
 from itertools import combinations
 
@@ -45,12 +45,13 @@ from .common import chunks, mix, small, table, windows, word_hashes, word_table,
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 40
-ORDER = 6
+ORDER = 3
 SHORT = 20  # up to so many shingles, pairs are found with certainty
 SHARED = 3  # shingles in a key of a short text
 BLOCK = 256  # members of a block
-BLOCK_SHINGLES = 1 << 18  # and their shingles, at about 8 bytes each
-COLUMNS = 4096  # shingles counted at once
+BLOCK_WORDS = 1 << 18  # and their words, at about 8 bytes each
+COLUMNS = 4096  # words counted at once
+NEIGHBOURS = 1024  # members of a bucket that are put in order of length together
 NO_ID = (1 << 63) - 1  # stands for a null doc_id
 _SEEDS = np.random.default_rng(4).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -126,31 +127,44 @@ def bucket_keys(shingles: np.ndarray, similarity: float = SIMILARITY) -> list[in
 
 
 def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
-    """m / (len a + len b - m), m the longest common subsequence in the band; 0 where it can't reach ``similarity``.
+    """2m / (len a + len b), m the longest common subsequence of words in the band; 0 where it can't reach ``similarity``.
 
-    Labelled shingles are unique within a text, so the alignment is sparse: the longest rising chain of
-    equal shingles' places, among those no further from the diagonal than the band allows.
+    One row of the dynamic programme is one integer, a bit for each word of a inside the band: a bit is 0 where the
+    subsequence gets longer. A word of b costs a few operations on the band's bits.
     """
     n, k = len(a), len(b)
-    need = similarity * (n + k) / (1 + similarity)
-    if not n or not k or min(n, k) < need - 1e-9:
-        return 0.0
-    both, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(both) < need - 1e-9:
+    need = math.ceil(similarity * (n + k) / 2 - 1e-9)
+    if not n or not k or min(n, k) < need or common_words(a, b) < need:
         return 0.0
     # a matched pair has lost at most n - need of a, or k - need of b, before it
-    near = (at_b - at_a <= k - need + 1e-9) & (at_a - at_b <= n - need + 1e-9)
-    tops: list[int] = []
-    for x in at_b[near][np.argsort(at_a[near], kind="stable")].tolist():
-        if not tops or x > tops[-1]:
-            tops.append(x)
-        else:
-            tops[bisect_left(tops, x)] = x
-    return len(tops) / (n + k - len(tops))
+    over, under = n - need, k - need
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    row = low = high = found = 0
+    for j, word in enumerate(b.tolist()):
+        if (to := min(n, j + over + 1)) > high:
+            row |= ((1 << to - high) - 1) << (high - low)
+            high = to
+        if (to := min(n, j - under)) > low:
+            found += (to - low) - (row & (1 << to - low) - 1).bit_count()
+            row, low = row >> (to - low), to
+        if hits := row & places.get(word, 0) >> low:
+            row = (row + hits | row - hits) & (1 << high - low) - 1
+    found += (high - low) - row.bit_count()
+    return 2 * found / (n + k) if found >= need else 0.0
+
+
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two texts have in common, however they are ordered."""
+    values, counts = np.unique(a, return_counts=True)
+    others, more = np.unique(b, return_counts=True)
+    _, x, y = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+    return int(np.minimum(counts[x], more[y]).sum())
 
 
 def sketches(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, h, n shingles, bucket keys) of texts (doc_id, h, text)."""
+    """(doc_id, h, n words, bucket keys) of texts (doc_id, h, text)."""
 
     def run(batches):
         for batch in batches:
@@ -159,7 +173,7 @@ def sketches(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                     starts, ends, ranges = word_table(data, offsets)
                     rows = labelled_shingles(word_hashes(data, starts, ends), ranges)
                     own = part.slice(at, to - at)
-                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("h"), pa.array([len(r) for r in rows], pa.int64()), pa.array([bucket_keys(r, similarity) for r in rows], pa.list_(pa.int64()))], names=["doc_id", "h", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("h"), pa.array(np.diff(ranges), pa.int64()), pa.array([bucket_keys(r, similarity) for r in rows], pa.list_(pa.int64()))], names=["doc_id", "h", "n", "keys"])
 
     return texts.mapInArrow(run, "doc_id long, h binary, n long, keys array<long>")
 
@@ -174,8 +188,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
                 left: dict = {}
                 for i, (a, s, t) in enumerate(zip(part.column("a").to_pylist(), part.column("text_a"), part.column("text_b"), strict=True)):
                     if a not in left:  # pairs are sorted by a
-                        left = {a: _shingles(s)}
-                    found.append(alignment(left[a], _shingles(t), similarity) >= similarity)
+                        left = {a: _words(s)}
+                    found.append(alignment(left[a], _words(t), similarity) >= similarity)
                 yield part.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
@@ -185,18 +199,18 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """(rep, fp): the labelled shingles of each text in text order, as 64-bit numbers."""
+    """(rep, fp): the words of each text in text order, as 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
             for part in small(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([_shingles(t).tobytes() for t in part.column("text")], pa.binary())], names=["rep", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([_words(t).tobytes() for t in part.column("text")], pa.binary())], names=["rep", "fp"])
 
     return texts.mapInArrow(run, "rep long, fp binary")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each text of one block has in common with each of another: products of their incidence with the shingles that both blocks hold."""
+    """How many values each row of one block has in common with each of another, values being unique in a row: products of their incidence with the values that both blocks hold."""
     sides = [(np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side) if side else np.zeros(0, np.uint64)) for side in (left, right)]
     both = np.intersect1d(sides[0][1], sides[1][1])
     entries = []
@@ -220,21 +234,23 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 def joining_links(left: list[tuple], right: list[tuple], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links (a, b) between two blocks (or within one: ``left is right``) that join components, at most one less than there are.
 
-    Members are (rep, component, outside, shingles). Every pair of different components with a member outside
-    is counted; of those with enough shingles in common, most first, a pair is aligned unless links found
+    Members are (rep, component, outside, words). Of every pair of different components with a member outside
+    the words in common are counted (each labelled with its occurrence); of those with enough, most first, a pair is aligned unless links found
     before have joined its components already. So what leaves a task is bounded by its members.
     """
-    x, y = [m[3] for m in left], [m[3] for m in right]
+    x = [m[3] for m in left]
+    y = x if left is right else [m[3] for m in right]
     n, m = np.array([len(s) for s in x], np.int64)[:, None], np.array([len(s) for s in y], np.int64)[None, :]
     low = similarity - 1e-9
     field = lambda rows, k: np.array([r[k] for r in rows])
-    ok = (field(left, 1)[:, None] != field(right, 1)[None, :]) & (field(left, 2)[:, None] | field(right, 2)[None, :]) & (np.minimum(n, m) >= low * np.maximum(n, m))
+    ok = (field(left, 1)[:, None] != field(right, 1)[None, :]) & (field(left, 2)[:, None] | field(right, 2)[None, :]) & (np.minimum(n, m) >= low / (2 - low) * np.maximum(n, m))
     if left is right:
         ok &= np.triu(np.ones(ok.shape, bool), 1)
     if not ok.any():
         return []
-    common = common_counts(x, y)
-    at, to = np.nonzero(ok & (common >= low * (n + m - common)))
+    labelled = [_labelled(w) for w in x]
+    common = common_counts(labelled, labelled if left is right else [_labelled(w) for w in y])
+    at, to = np.nonzero(ok & (2 * common >= low * (n + m)))
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -257,11 +273,11 @@ def block_links(named: DataFrame, prints: DataFrame, similarity: float = SIMILAR
     """Links (a, b) of similar texts of one bucket and of different components: enough of them to join all such components.
 
     named: (key, rep, n, component, outside). The members of a bucket are packed in blocks of about BLOCK
-    members or BLOCK_SHINGLES shingles, those outside the bucket's largest component apart from the others.
+    members or BLOCK_WORDS shingles, those outside the bucket's largest component apart from the others.
     A block is copied once for each block it is compared with, and pairs of blocks, not buckets, are dealt
     to tasks; blocks without a member outside are never paired with each other.
     """
-    parts = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    parts = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_WORDS)).cast("int")
     sizes = named.groupBy("key").agg(parts(F.col("outside")).alias("outs"), parts(~F.col("outside")).alias("ins"), parts(F.lit(True)).alias("whole"))
     part = F.when(F.col("whole") == 1, 0).when(F.col("outside"), F.pmod(F.xxhash64("rep"), F.col("outs"))).otherwise(F.col("outs") + F.pmod(F.xxhash64("rep"), F.col("ins")))
     others = F.when(F.col("whole") == 1, 1).when(F.col("outside"), F.col("outs") + F.col("ins")).otherwise(F.col("outs"))
@@ -287,11 +303,14 @@ def block_links(named: DataFrame, prints: DataFrame, similarity: float = SIMILAR
     return pairs.select("blocks").mapInArrow(run, "a long, b long").distinct()
 
 
-def _shingles(text) -> np.ndarray:
+def _words(text) -> np.ndarray:
     data = np.frombuffer(text.as_buffer() if text.is_valid else b"", np.uint8)
-    offsets = np.array([0, len(data)])
-    starts, ends, ranges = word_table(data, offsets)
-    return labelled_shingles(word_hashes(data, starts, ends), ranges)[0]
+    starts, ends, _ = word_table(data, np.array([0, len(data)]))
+    return word_hashes(data, starts, ends)
+
+
+def _labelled(words: np.ndarray) -> np.ndarray:
+    return labelled_shingles(words, np.array([0, len(words)]), 1)[0]
 
 
 def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -311,11 +330,12 @@ def near_links(signs: DataFrame, hashed: DataFrame, similarity: float = SIMILARI
     # the texts of members only, once; both rounds of verification read them here
     wanted = members.select("rep").distinct().join(signs.select("rep", "id", "h"), "rep")
     texts = written(hashed.join(wanted.withColumnRenamed("h", "own"), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id")) & (F.col("h") == F.col("own"))).select("rep", "text").dropDuplicates(["rep"]), "texts")
-    # a text is compared with the best of its leaders and with one neighbour in order of length, in its largest bucket
-    by_length = Window.partitionBy("key").orderBy("n", "rep")
+    # a text is compared with the best of its leaders and with one neighbour in order of length, in its largest bucket;
+    # a large bucket is put in order in parts
+    by_length = Window.partitionBy("key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / NEIGHBOURS))).orderBy("n", "rep")
     to_lead = members.join(leads, "key").select("rep", "n", "weight", "other", "m")
     to_next = members.select("rep", "n", F.col("size").alias("weight"), F.lead("rep").over(by_length).alias("other"), F.lead("n").over(by_length).alias("m"))
-    fits = (F.least("n", "m") >= low * F.greatest("n", "m")) & F.col("other").isNotNull() & (F.col("rep") != F.col("other"))
+    fits = (F.least("n", "m") >= low / (2 - low) * F.greatest("n", "m")) & F.col("other").isNotNull() & (F.col("rep") != F.col("other"))
     best = [side.filter(fits).groupBy("rep").agg(F.max(F.struct("weight", "other")).alias("best")).select(F.least("rep", "best.other").alias("a"), F.greatest("rep", "best.other").alias("b")) for side in (to_lead, to_next)]
     first = written(best[0].unionByName(best[1]).distinct(), "pairs")
     links = written(verified(first, texts, similarity), "verified")

@@ -33,35 +33,76 @@ def corpus():
     return texts
 
 
-def lcs_similarity(a, b):
+def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
         before = 0
         for j, y in enumerate(b):
             before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1] / (len(a) + len(b) - row[-1])
+    return row[-1]
+
+
+def lcs_similarity(a, b):
+    return (m := lcs(a, b)) / (len(a) + len(b) - m)
+
+
+def words(text):
+    return nd._words(pa.scalar(text))
 
 
 def shingles(text):
-    return nd._shingles(pa.scalar(text))
+    return nd.labelled_shingles(w := words(text), np.array([0, len(w)]))[0]
 
 
 def test_alignment_equals_full_dynamic_programming():
     rnd = random.Random(5)
-    for _ in range(60):
-        a = rnd.choices(WORDS[: rnd.choice([6, 400])], k=rnd.randrange(5, 60))
-        b = edited(rnd, a, rnd.randrange(6))
-        x, y = shingles(" ".join(a)), shingles(" ".join(b))
-        want = lcs_similarity(x.tolist(), y.tolist())
-        got = nd.alignment(x, y)
-        assert (got >= nd.SIMILARITY) == (want >= nd.SIMILARITY)
-        if want >= nd.SIMILARITY:
-            assert got == pytest.approx(want)
+    for _ in range(400):
+        a = rnd.choices(WORDS[: rnd.choice([2, 6, 400])], k=rnd.randrange(1, 60))
+        b = edited(rnd, a, rnd.randrange(12))
+        similarity = rnd.choice([0.3, 0.5, nd.SIMILARITY, 0.9, 1.0])
+        want, got = 2 * lcs(a, b) / (len(a) + len(b)) if b else 0.0, nd.alignment(words(" ".join(a)), words(" ".join(b)), similarity)
+        assert got == pytest.approx(want if want >= similarity - 1e-9 else 0.0)
+
+
+def test_similar_by_shingles_is_similar_by_words():
+    rnd = random.Random(15)
+    for _ in range(200):
+        a = rnd.choices(WORDS[: rnd.choice([3, 40])], k=rnd.randrange(5, 60))
+        b = edited(rnd, a, rnd.randrange(3))
+        x, y = " ".join(a), " ".join(b)
+        if lcs_similarity(shingles(x).tolist(), shingles(y).tolist()) >= nd.SIMILARITY:
+            assert nd.alignment(words(x), words(y)) >= nd.SIMILARITY
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_of_the_given_tables(spark, folder):
+    """Pairs of different texts with 0.3 of their labelled shingles in common, by counts over all pairs: 0.9 of them or more end in one group; pairs under 0.2 are no near duplicates."""
+    path = f"/root/testdata/{folder}"
+    texts = sorted({r.text for r in spark.read.parquet(f"{path}/documents.parquet").select("text").collect() if r.text and r.text.split()})
+    rows = [shingles(t) for t in texts]
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.argsort(flat, kind="stable")
+    runs = np.split(owner[order], np.flatnonzero(np.diff(flat[order])) + 1)
+    common = {}
+    for run in runs:
+        if 1 < len(run) <= 300:
+            for i, a in enumerate(run.tolist()):
+                for b in run[:i].tolist():
+                    common[b, a] = common.get((b, a), 0) + 1
+    share = {(a, b): c / (len(rows[a]) + len(rows[b]) - c) for (a, b), c in common.items()}
+    near = [p for p, s in share.items() if s >= 0.3]
+    far = [p for p, s in share.items() if s < 0.2 and len(rows[p[0]]) + len(rows[p[1]]) < 2000][:: 1 if folder == "sf0.01" else 40]
+    group = {r.text: r.group_id for r in nd.op4_near_dedup(spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text"), "doc_id").select("text", "group_id").collect()}
+    found = sum(group[texts[a]] == group[texts[b]] for a, b in near) / len(near)
+    print(folder, len(near), found)
+    assert len(near) > 60 and found >= 0.95
+    assert not any(nd.alignment(words(texts[a]), words(texts[b])) >= nd.SIMILARITY for a, b in far)
 
 
 def test_groups_equal_components_of_all_pairs(spark):
     texts = corpus()
-    s = [shingles(t) for t in texts]
+    s = [words(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -105,7 +146,7 @@ def test_block_links_join_what_all_pairs_join(spark, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
     base = rnd.choices(WORDS, k=60)
     texts = [" ".join(edited(rnd, base, rnd.randrange(1, 4))) for _ in range(50)] + [" ".join(rnd.choices(WORDS, k=40)) for _ in range(5)]
-    s = [shingles(t) for t in texts]
+    s = [words(t) for t in texts]
     component = {i: i // 3 * 3 for i in range(len(texts))}  # some are joined already, and the largest component is inside
     named = spark.createDataFrame([(1, i, len(s[i]), component[i], component[i] != 0) for i in component], "key long, rep long, n int, component long, outside boolean")
     rows = [(r.a, r.b) for r in nd.block_links(named, nd.fingerprints(spark.createDataFrame(list(enumerate(texts)), "rep long, text string"))).collect()]
@@ -143,7 +184,7 @@ def test_short_pairs_share_a_key_with_certainty(spark):
             texts += [" ".join(base), " ".join([*base, rnd.choice(WORDS)]), " ".join([rnd.choice(WORDS), *base]), " ".join(edited(rnd, base, 1)), " ".join([*base, *rnd.choices(WORDS, k=2)])]
     s = [shingles(t) for t in texts]
     keys = [set(nd.bucket_keys(x)) for x in s]
-    near = {(i, j) for i in range(len(s)) for j in range(i) if len(s[i]) <= nd.SHORT and len(s[j]) <= nd.SHORT and nd.alignment(s[i], s[j]) >= nd.SIMILARITY}
+    near = {(i, j) for i in range(len(s)) for j in range(i) if len(s[i]) <= nd.SHORT and len(s[j]) <= nd.SHORT and lcs_similarity(s[i].tolist(), s[j].tolist()) >= nd.SIMILARITY}
     assert {(len(s[i]), len(s[j])) for i, j in near} >= {(5, 4), (6, 5), (7, 6), (9, 8)}
     assert all(keys[i] & keys[j] for i, j in near)
     eight, nine = " ".join(WORDS[:8]), " ".join(WORDS[:9])
@@ -158,7 +199,7 @@ def test_short_pairs_share_a_key_at_other_similarities(similarity):
     texts = [rnd.choices(range(12), k=rnd.randrange(1, 9)) for _ in range(150)]
     s = [np.unique(nd.mix(np.array(t, np.uint64))) for t in texts]
     keys = [set(nd.short_keys(x, similarity)) for x in s]
-    assert all(keys[i] & keys[j] for i in range(len(s)) for j in range(i) if nd.alignment(s[i], s[j], similarity) >= similarity)
+    assert all(keys[i] & keys[j] for i in range(len(s)) for j in range(i) if lcs_similarity(s[i].tolist(), s[j].tolist()) >= similarity)
 
 
 def test_null_and_repeated_ids_dont_merge_texts(spark):

@@ -248,7 +248,9 @@ def parsed(found: DataFrame, fan: int = FAN) -> DataFrame:
     """
     schema = SPANS.replace("task int, within long, ", "")
     by_place = Window.partitionBy("conv_id").orderBy("task", "within")
-    numbered = written(found.withColumn("nth", (F.row_number().over(by_place) - 1).cast("long")).drop("task", "within"), "spans")
+    found = found.withColumns({"nth": (F.row_number().over(by_place) - 1).cast("long"), "spans": F.count("*").over(Window.partitionBy("conv_id"))})
+    found = written(found.drop("task", "within"), "spans")
+    whole, numbered = found.filter("spans = 1").drop("nth", "spans"), found.filter("spans > 1").drop("spans")
 
     def run(batches):
         for batch in batches:
@@ -264,7 +266,7 @@ def parsed(found: DataFrame, fan: int = FAN) -> DataFrame:
     while largest(numbered):
         groups = numbered.groupBy("conv_id", F.floor(F.col("nth") / fan).alias("group")).agg(F.collect_list(F.struct("nth", *SUMMARY)).alias("parts"))
         numbered = written(groups.mapInArrow(run, f"{schema}, nth long"), "spans")
-    return numbered.drop("nth")
+    return whole.unionByName(numbered.drop("nth"))
 
 
 CONVERSATION = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"

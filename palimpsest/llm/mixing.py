@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document gets an exponential key -ln(u) / weight, u a hash of its id, so heavier (better) documents
-come early. The weight is the chance that the document is good, by the weak-label model of the quality
+Each document gets an exponential key -ln(u) / weight, u a hash of its id and its text, so heavier (better) documents
+come early, and documents without an id, or with the same one, are sampled one by one. The weight is the chance that the document is good, by the weak-label model of the quality
 classifier fitted on the votes on all documents, unless the caller gives weights. A source's target is met by complete epochs of the source first; the rest is a prefix of the
 documents by key, up to the word budget, the last of them in part.
 
@@ -9,8 +9,8 @@ The prefix sums need no sort of a whole source: keys fall into BUCKETS ranges, t
 accumulated, and only the range in which the budget ends is ordered. So a source with a third of all
 rows costs no task more than a few ranges.
 
-Defined results: null texts have size 0; a null source is a source of its own, after all others; ids
-that are null or repeated tie, and ties are ordered by size and text hash; a source without words takes
+Defined results: null texts have size 0, texts of any length are counted whole; a null source is a source of its own, after all others;
+rows with equal id and text tie, and ties are ordered by id, size and text hash; a source without words takes
 none; an empty table gives no rows. Extra columns are ignored (or carried by ``mixed_documents``).
 Words and votes are counted in Arrow batches; all else is DataFrame functions.
 """
@@ -89,7 +89,7 @@ def targets(sources: DataFrame, share: float = SHARE, weights: tuple[int, ...] =
 def mixed(docs: DataFrame, weight: Column | None = None, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """doc_id, h (hash of the text), size, source, source_size, target, epochs, taken of every document."""
     h = F.xxhash64("text")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", *([] if weight is None else [weight.alias("weight")]))
     sized = written(counted(rows, weight is None).select("doc_id", "source", h.alias("h"), F.col("count_words").alias("size"), "vote_pattern", (-F.log(u)).alias("key"), *([] if weight is None else ["weight"])), "sizes")
     if weight is None:

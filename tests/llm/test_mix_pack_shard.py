@@ -1,5 +1,6 @@
 """op5, op7, op8 and the pipeline: laws of the results, exact round trips, odd rows."""
 
+import math
 from collections import Counter
 from zlib import crc32
 
@@ -149,6 +150,19 @@ def test_given_weights_order_documents(spark):
     assert sum(heavy) / max(len(heavy), 1) > sum(light) / max(len(light), 1)
 
 
+def test_rows_without_id_are_sampled_one_by_one(spark):
+    """30 000 texts without an id: the budget's end is one of many places, and heavier rows come first as their weights say."""
+    rows = [(None, f"{'good' if i % 2 else 'bad'} {i} " + "w " * 8, "s") for i in range(30_000)] + [(5, f"x {i}", "t") for i in range(10_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed(d, F.when(F.col("text").startswith("good"), 3.0).otherwise(1.0), share=0.25, weights=(1,)).filter("source = 's'")
+    good = out.join(d.select(F.xxhash64("text").alias("h"), F.col("text").startswith("good").alias("good")), "h").groupBy("good").agg(F.count_if(F.expr("taken > 0")).alias("n"), F.count_if(F.expr("part > 0 AND part < size")).alias("cut")).collect()
+    n = {r.good: r.n for r in good}
+    # P(-ln(u)/w < x): of the heavy ones 1 - exp(-3x), of the light ones 1 - exp(-x), for the x that meets the budget
+    x = next(x / 10_000 for x in range(1, 50_000) if (2 - math.exp(-3 * x / 10_000) - math.exp(-x / 10_000)) * 15_000 >= sum(n.values()))
+    assert sum(r.cut for r in good) <= 1 and n[True] == pytest.approx(15_000 * (1 - math.exp(-3 * x)), rel=0.05)
+    assert out.filter("part > 0 AND part < size").count() <= 1
+
+
 def test_mix_odd_rows(spark):
     d = edge_docs(spark)
     rows = mixing.mixed(d).collect()

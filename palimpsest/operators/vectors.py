@@ -22,23 +22,15 @@ def _blocks(rows: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return dealt.groupBy("user_id", "b").agg(F.collect_list(F.struct(*columns)).alias(prefix))
 
 
-def nearest(questions: DataFrame, claims: DataFrame, k: int, floor: float = -1.0, as_of: bool = False) -> DataFrame:
-    """(qid, claim_id, similarity): each question's k most similar claims of its tenant, itself excluded, with at least ``floor``.
+def unit(column) -> np.ndarray:
+    """The rows of an array column, of length one; zero vectors stay zero."""
+    m = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-    questions: (id, user_id, vector, as_of where asked for); claims: (id, user_id, embedding, valid_from, valid_to).
-    Only blocks of rows are joined, on tenant and claim block, so that a large tenant is as many keys as it has
-    blocks: each question block is sent to every claim block of its tenant. Each pair of blocks gives at most k rows a question. Equal similarities go to the smallest claim_id.
-    """
-    q = _blocks(questions.filter("vector is not null").select("user_id", "id", "vector", (F.unix_micros("as_of") if as_of else F.lit(0).cast("long")).alias("at")), "q", ["id", "vector", "at"]).drop("b")
-    lo, hi = (F.unix_micros("valid_from"), F.coalesce(F.unix_micros("valid_to"), F.lit((1 << 62)))) if as_of else (F.lit(0).cast("long"), F.lit(1).cast("long"))
-    rows = claims.filter("embedding is not null").select("user_id", "id", "embedding", lo.alias("lo"), hi.alias("hi"))
-    c = _blocks(rows, "c", ["id", "embedding", "lo", "hi"])
-    q = q.join(_counts(rows), "user_id").select("user_id", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
 
-    def unit(column) -> np.ndarray:
-        m = np.array(column.to_pylist(), np.float64)
-        norm = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+def products(k: int, floor: float):
+    """For mapInArrow over rows (q, c) of question and claim blocks: each question's k best claims of the block."""
 
     def run(batches):
         for batch in batches:
@@ -61,7 +53,23 @@ def nearest(questions: DataFrame, claims: DataFrame, k: int, floor: float = -1.0
                 good = np.isfinite(value)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[rows][good]), pa.array(hit[good]), pa.array(value[good])], names=["qid", "claim_id", "similarity"])
 
-    pairs = q.join(c, ["user_id", "b"]).select("q", "c").mapInArrow(run, "qid long, claim_id long, similarity double")
+    return run
+
+
+def nearest(questions: DataFrame, claims: DataFrame, k: int, floor: float = -1.0, as_of: bool = False) -> DataFrame:
+    """(qid, claim_id, similarity): each question's k most similar claims of its tenant, itself excluded, with at least ``floor``.
+
+    questions: (id, user_id, vector, as_of where asked for); claims: (id, user_id, embedding, valid_from, valid_to).
+    Only blocks of rows are joined, on tenant and claim block, so that a large tenant is as many keys as it has
+    blocks: each question block is sent to every claim block of its tenant. Each pair of blocks gives at most k rows a question. Equal similarities go to the smallest claim_id.
+    """
+    q = _blocks(questions.filter("vector is not null").select("user_id", "id", "vector", (F.unix_micros("as_of") if as_of else F.lit(0).cast("long")).alias("at")), "q", ["id", "vector", "at"]).drop("b")
+    lo, hi = (F.unix_micros("valid_from"), F.coalesce(F.unix_micros("valid_to"), F.lit((1 << 62)))) if as_of else (F.lit(0).cast("long"), F.lit(1).cast("long"))
+    rows = claims.filter("embedding is not null").select("user_id", "id", "embedding", lo.alias("lo"), hi.alias("hi"))
+    c = _blocks(rows, "c", ["id", "embedding", "lo", "hi"])
+    q = q.join(_counts(rows), "user_id").select("user_id", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
+
+    pairs = q.join(c, ["user_id", "b"]).select("q", "c").mapInArrow(products(k, floor), "qid long, claim_id long, similarity double")
     best = Window.partitionBy("qid").orderBy(F.desc("similarity"), "claim_id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

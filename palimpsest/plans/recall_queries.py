@@ -11,6 +11,7 @@ from ..operators import evaluate as ev
 from ..operators import graph as gr
 from ..operators import rerank as rr
 from ..operators import retrieve as op
+from ..operators import vector_index as vx
 from ..operators import vectors as vec
 from ..shared import written
 from . import views as v
@@ -81,6 +82,23 @@ def r1_dense(spark, sf):
     return dense(p, q, 20).withColumn("similarity", F.round("similarity", 6))
 
 
+def indexed(spark, sf, k=20, **options):
+    p, q = _base(spark, sf)
+    return vx.search(q.select(F.col("qid").alias("id"), "user_id", "vector", "as_of"), vx.built(p), k, 0.2, **options).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("passages questions", _DENSE + " select qid, claim_id, round(similarity, 6) as similarity, rank from dense where rank <= 20")
+def r1_indexed(spark, sf):
+    """R1 through the inverted-file index, its exact answer: probed cells first, then those that the bound can't rule out."""
+    return indexed(spark, sf, exact=True)
+
+
+@query()
+def r1_approximate(spark, sf):
+    """R1 from the probed cells of the index alone; a test measures its recall against the exact search."""
+    return indexed(spark, sf)
+
+
 @query("passages questions", "+" + _LEX.lstrip(", ") + " select qid, claim_id, round(similarity, 6) as similarity, rank from lex where rank <= 20")
 def r2_bm25(spark, sf):
     """R2, A18, W5."""

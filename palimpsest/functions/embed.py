@@ -20,3 +20,10 @@ def hash_vector(text: Column, dim: int = 64) -> Column:
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     unit = F.transform(F.array(values), lambda v: F.transform(v, lambda x: F.when(length(v) == 0, x).otherwise(x / length(v))))  # bound, so worked out once
     return unit[0].cast("array<float>")
+
+
+def gram_vector(text: Column, dim: int = 64) -> Column:
+    """Counts of the text's character trigrams by hash: texts that share wording are near each other. Stays in the JVM."""
+    low = F.lower(text)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(low, i, F.lit(3))), F.lit(dim)))
+    return F.transform(F.array(grams), lambda g: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(g, lambda x: x == d)).cast("float")))[0]

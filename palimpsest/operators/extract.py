@@ -177,10 +177,14 @@ def extracted(turns: DataFrame) -> DataFrame:
     )
 
 
-def claim_rows(units: DataFrame, user: Column) -> DataFrame:
-    """Units as claims: deterministic id, authority from importance, the sentence and the triple as two views."""
+def claim_rows(units: DataFrame, user: Column, first: bool = False) -> DataFrame:
+    """Units as claims: deterministic id, authority from importance, the sentence and the triple as two views. Of units with one id any stays, with ``first`` the earliest (ties: the least of the others)."""
     triple = F.struct(F.coalesce("entity", F.lit("user")).alias("subject"), F.lit("has").alias("verb"), F.col("claim_value").alias("object"), F.col("supersedes_hint").alias("negated"), "confidence", "category")
-    return units.select(tx.dedupe_id(user, F.col("content"), F.col("entity"), F.col("attribute"), F.col("claim_value"), "unit").alias("id"), user.alias("user_id"), "content", "entity", "attribute", F.col("claim_value").alias("value"), "ts", F.col("importance").alias("authority"), "supersedes_hint", triple.alias("triple")).dropDuplicates(["id"])
+    rows = units.select(tx.dedupe_id(user, F.col("content"), F.col("entity"), F.col("attribute"), F.col("claim_value"), "unit").alias("id"), user.alias("user_id"), "content", "entity", "attribute", F.col("claim_value").alias("value"), "ts", F.col("importance").alias("authority"), "supersedes_hint", triple.alias("triple"))
+    if not first:
+        return rows.dropDuplicates(["id"])
+    order = ["ts", *(c for c in rows.columns if c not in ("id", "ts"))]
+    return rows.groupBy("id").agg(F.min(F.struct(*order)).alias("r")).select("id", "r.*")
 
 
 def entity_mentions(c: Column) -> Column:

@@ -12,7 +12,7 @@ from ..operators import extract as op
 from ..operators import retrieve as rt
 from ..shared import shared_folder
 from ..sources import io
-from ..streaming import jobs
+from ..streaming import gate, jobs
 from . import views as v
 from .registry import query
 
@@ -181,3 +181,23 @@ def ss9_stream_telemetry(spark, sf):
 def ss5_stream_upsert(spark, sf):
     """SS5, SS6: claims streamed twice into a snapshot table; redelivery inserts nothing."""
     return jobs.ingested(spark, v.claims(spark, sf).select("id", "ts")).select("id", "ts")
+
+
+def gated(spark, sf):
+    """The folder of beliefs and ledger after all turns were streamed through extraction and gate."""
+    at = f"{shared_folder(spark)}/gate-{uuid.uuid4().hex}"
+    gate.ingest(spark, v.turns(spark, sf, stream=True), at, F.col("conv_id") % 4)
+    return at
+
+
+@query()
+def ss5_stream_gate(spark, sf):
+    """SS5, SS6: turns streamed through extraction and gate to the belief table; tests hold it under stops and redelivery."""
+    return gate.beliefs(spark, gated(spark, sf)).select("user_id", "id", "content", "ts", "valid_to", "superseded_by", "conflict_with")
+
+
+@query()
+def ss8_decision_feed(spark, sf):
+    """SS8: the newest decisions of the ledger that the streamed gate wrote with its beliefs."""
+    decisions = gate.ledger(spark, gated(spark, sf))
+    return gate.feed(decisions, limit=500).select("user_id", "id", "decision", "nearest_id", F.round("similarity", 6).alias("similarity"), "reason", "created_at")

@@ -49,8 +49,10 @@ def questions(p: DataFrame) -> DataFrame:
     return p.filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "user_id", F.array_join(F.filter(F.split("content", "[ \\n\\t\\r]+"), lambda w: w != ""), " ").alias("text"), F.col("embedding").alias("vector"), F.expr("timestamp'2024-02-01 00:00:00'").alias("as_of"))
 
 
-def turns(spark: SparkSession, sf: str) -> DataFrame:
+def turns(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
     c = read(spark, sf, "conversations")
+    if stream:  # as a glob: a table may be one file or a folder of files
+        c = spark.readStream.schema(c.schema).parquet(f"{sf}/conversations.parque[t]")
     ts = F.expr("timestamp'2024-01-01 00:00:00'") + F.make_dt_interval((F.col("conv_id") % 1000).cast("int"), F.lit(0), F.col("turn").cast("int"))
     return c.select("conv_id", F.col("turn").alias("turn_no"), "role", "text", ts.alias("ts"))
 

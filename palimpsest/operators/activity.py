@@ -9,20 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import running_sum, spaced
+
 GAP_MINUTES = 30
 
 
 def sessions(activity: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """(user_id, session_no, n_events, first_ts, last_ts, seconds): a new session after more than the gap without a touch.
 
-    One shuffle by user; session windows would need the window's end, which is the last touch plus the gap.
+    Touches in one bin of the gap's length are of one session, so they are counted by user and bin before the shuffle.
+    A user's bins are walked in order; their number is bounded by the time that the table spans, not by its rows.
     """
-    by_user = Window.partitionBy("user_id").orderBy("ts")
-    before = F.lag("ts").over(by_user)
-    new = before.isNull() | (F.unix_micros("ts") - F.unix_micros(before) > gap_minutes * 60_000_000)
-    # ties in ts share a session: the running sum ranges over peers
-    numbered = activity.select("user_id", "ts", new.cast("int").alias("new")).withColumn("session_no", F.sum("new").over(by_user.rangeBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "session_no").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).withColumn("seconds", (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6)
+    gap = gap_minutes * 60_000_000
+    t = F.unix_micros("ts")
+    bins = activity.groupBy("user_id", (t - F.pmod(t, F.lit(max(gap, 1)))).alias("bin")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    by_user = Window.partitionBy("user_id").orderBy("bin")
+    before = F.lag("last").over(by_user)
+    # each touch without a time counts as a beginning
+    new = F.when(F.col("bin").isNull(), F.col("n")).when(before.isNull() | (F.unix_micros("first") - F.unix_micros(before) > gap), 1).otherwise(0)
+    numbered = bins.withColumn("new", new).withColumn("session_no", F.sum("new").over(by_user))
+    return numbered.groupBy("user_id", "session_no").agg(F.sum("n").alias("n_events"), F.min("first").alias("first_ts"), F.max("last").alias("last_ts")).withColumn("seconds", (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6)
 
 
 def user_rollup(activity: DataFrame, users: DataFrame, now: Column, gap_minutes: int = GAP_MINUTES) -> DataFrame:
@@ -68,21 +74,10 @@ def profile_counts(users: DataFrame, **tables: DataFrame) -> DataFrame:
 def throttled(activity: DataFrame, seconds: int = 60) -> DataFrame:
     """Touches that are recorded: at least so many seconds after the user's last recorded one.
 
-    A gap that long before a touch means that it is recorded, whatever came before, so each user's
-    touches fall into independent runs, and only a run is folded in order. Touches without a time don't count.
+    Slices of a user's time are folded on their own and then walked in order. Touches without a time don't count.
     """
-    step = seconds * 1_000_000
-    by = Window.partitionBy("user_id").orderBy("t")
-    before = F.lag("t").over(by)
     touches = activity.filter("ts is not null").select("user_id", F.unix_micros("ts").alias("t")).distinct()
-    runs = touches.withColumn("starts", F.when(before.isNull() | (F.col("t") - before >= step), 1).otherwise(0)).withColumn("run", F.sum("starts").over(by))
-    folded = runs.groupBy("user_id", "run").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    state = F.aggregate(
-        "t",
-        F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n")),
-        lambda s, x: F.when(s["last"].isNull() | (x - s["last"] >= step), F.struct(x.alias("last"), (s["n"] + 1).alias("n"))).otherwise(s),
-    )
-    return folded.select("user_id", state.alias("s")).groupBy("user_id").agg(F.sum("s.n").alias("recorded"), F.timestamp_micros(F.max("s.last")).alias("last_recorded"))
+    return spaced(touches, seconds * 1_000_000).withColumn("last_recorded", F.timestamp_micros("last_recorded"))
 
 
 def storage(claims: DataFrame, columns: list[str]) -> DataFrame:
@@ -105,8 +100,7 @@ def quota_status(users: DataFrame, usage: DataFrame) -> DataFrame:
 
 def admitted(incoming: DataFrame, usage: DataFrame, quotas: DataFrame, size: str) -> DataFrame:
     """Incoming rows in order, with the tenant's running bytes and whether the row still fits under 110 % of the quota."""
-    running = F.sum(size).over(Window.partitionBy("user_id").orderBy("ts", "id"))
-    rows = incoming.withColumn("running", running).join(usage.select("user_id", "bytes_used"), "user_id", "left").join(quotas.select("user_id", "quota_bytes"), "user_id", "left")
+    rows = running_sum(incoming, "user_id", ["ts", "id"], size, "running").join(usage.select("user_id", "bytes_used"), "user_id", "left").join(quotas.select("user_id", "quota_bytes"), "user_id", "left")
     total = F.col("running") + F.coalesce("bytes_used", F.lit(0))
     return rows.withColumn("admitted", F.coalesce((F.col("quota_bytes") <= 0) | (total <= 1.1 * F.col("quota_bytes")), F.lit(True)))
 

@@ -4,8 +4,9 @@ Markup is stripped to lines, one for each block of text. A line's length is its
 Tags and classes only weigh on it: elements that never hold the article (menus, scripts, forms, adverts,
 ...) have no length and no text; where a page marks its article or main element, links inside count in
 full, and lines outside count a quarter. An empty line stands between lines of different containers, and WINDOW
-empty lines where an article begins or ends, or where something was left out between two containers; what
-is left out inside one container leaves no gap.
+empty lines where an article begins or ends, or where a part of the page (menu, header, footer, sidebar, ...) was left
+out between two containers; what is left out inside one container leaves no gap, nor do adverts and asides, which stand inside
+running text.
 
 The lengths of WINDOW lines from each line on are summed. A stretch runs from where the sum leaves zero to
 the dive point, where it falls back to zero; it is kept if it has a surge point, at which the sum reaches
@@ -44,6 +45,8 @@ NOT_TEXT = set(
     "site-header site-footer page-header page-footer cookie cookies cookie-notice cookie-banner notice notices consent gdpr popup modal overlay newsletter subscribe signup login search related recommended "
     "share sharing social widget toolbar pagination pager comment comments comment-list discussion disqus respond replies".split()
 )
+# of these, what stands inside running text: it separates nothing
+INSERTED = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion newsletter subscribe related recommended share sharing social widget".split())
 ARTICLE = {"article", "main"}
 BLOCKS = set("p li dt dd h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure figcaption table thead tbody tfoot tr td th caption hr address center details summary".split())  # not containers
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -156,7 +159,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             classes = marks(attributes)
             if name in NEVER or name == "header" and not articles or classes & NOT_TEXT and name not in ("html", "body"):
                 flush()
-                left_out += 1
+                if not (classes & INSERTED or name == "aside" and not classes & NOT_TEXT):
+                    left_out += 1
                 hidden = len(stack)
                 firm = any(c.startswith(("comment", "discuss", "disqus", "respond", "repl")) for c in classes)
         if name in RAW:

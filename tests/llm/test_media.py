@@ -222,6 +222,15 @@ def test_surge_and_dive_equal_their_definition():
     assert sum(html_text.main_text(p) != html_text.main_text(p, surge=0) for p in pages) > 50  # and the threshold
 
 
+@pytest.mark.parametrize("between", ['<div class="ad">x</div>', "<aside>note</aside>", '<section class="related"><a>more</a></section>'])
+@pytest.mark.parametrize("name", ["div", "section"])
+def test_short_sections_after_inserted_parts_stay(name, between):
+    words = "Long words of text. " * 20
+    closing = "Short closing words."
+    assert html_text.main_text(f"<{name}><p>{words}</p></{name}>{between}<{name}><p>{closing}</p></{name}>") == words.strip() + " " + closing
+    assert html_text.main_text(f'<div>Name</div><nav>a b</nav><div><p>{words}</p></div><aside class="sidebar">x</aside><div>Rights</div>') == words.strip()  # parts of the page separate
+
+
 def test_pages_query(spark):
     rows = html_text.op3_html_extraction(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(len(r.text) == r.n_chars > 0 for r in rows)

@@ -299,6 +299,12 @@ def _digest(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 1, 12)
 
 
+def why_matched(question: Column, entity: Column) -> Column:
+    """'entity' if the question has the whole entity in it, 'word' if it has one of its words of four letters or more, else null."""
+    q, e = F.lower(question), F.lower(entity)
+    return F.when(F.contains(q, e), "entity").when(F.exists(F.split(e, " "), lambda w: (F.length(w) >= 4) & F.contains(q, w)), "word")
+
+
 def entity_id(user: Column, norm: Column) -> Column:
     return F.concat(F.lit("ent_"), _digest(user, norm))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from .scans import running_sum
 
 ANCHOR_WORDS = 8
 
@@ -68,6 +69,26 @@ def triples(turns: DataFrame, negatives: int, seed: int = 7) -> DataFrame:
     return pos.join(neg.drop("turn_no"), "conv_id")
 
 
+def far_negatives(turns: DataFrame, negatives: int, seed: int = 7) -> DataFrame:
+    """(conv_id, pos_turn, positive, nth, neg_conv, neg_turn, negative): each assistant turn with user turns of other conversations.
+
+    The different user turns are numbered in order of conversation, so a conversation's own are one run of numbers. A draw takes one of the other
+    numbers, and skips the run. A positive's draws stand evenly apart from a seeded start, so they differ if there are
+    enough other turns; without any there is no row. Turns without a conversation are left out.
+    """
+    asked = turns.filter("role = 'user' and conv_id is not null").select("conv_id", "turn_no", "text").distinct()
+    numbered = running_sum(asked.withColumn("one", F.lit(1)).withColumn("all", F.lit(0)), "all", ["conv_id", "turn_no", "text"], "one", "number")
+    own = numbered.groupBy("conv_id").agg(F.min("number").alias("low"), F.count("*").alias("size"))
+    total = numbered.agg(F.count("*").alias("total"))  # one row
+    pos = turns.filter("role = 'assistant' and conv_id is not null").select("conv_id", F.col("turn_no").alias("pos_turn"), F.col("text").alias("positive"))
+    pos = pos.join(own, "conv_id", "left").crossJoin(total).withColumn("size", F.coalesce("size", F.lit(0))).withColumn("others", F.col("total") - F.col("size")).filter("others > 0")
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", "conv_id", "pos_turn", F.lit(str(seed)))), 1, 13), 16, 10).cast("long")
+    draws = pos.withColumn("nth", F.explode(F.lit(list(range(1, negatives + 1))))).withColumn("drawn", F.pmod(start + (F.col("nth") - 1) * F.expr(f"greatest(others div {negatives}, 1)"), F.col("others")) + 1)
+    draws = draws.withColumn("number", F.when(F.col("drawn") >= F.col("low"), F.col("drawn") + F.col("size")).otherwise(F.col("drawn")))
+    found = numbered.select("number", F.col("conv_id").alias("neg_conv"), F.col("turn_no").alias("neg_turn"), F.col("text").alias("negative"))
+    return draws.join(found, "number").select("conv_id", "pos_turn", "positive", "nth", "neg_conv", "neg_turn", "negative")
+
+
 def distinct_pairs(rows: DataFrame, query: str = "query", positive: str = "positive") -> DataFrame:
     """The different (query, positive) pairs of triples."""
     return rows.select(query, positive).distinct()

@@ -54,6 +54,27 @@ def pf15_why_matched(spark, sf):
     return hits.join(q.select("qid", "text"), "qid").join(p.select("id", "entity"), "id").select("qid", "id", F.contains(F.lower("text"), F.lower("entity")).alias("named"))
 
 
+@query("passages questions", _DENSE + """ select qid, id, case when contains(t, e) then 'entity' when len(list_filter(string_split(e, ' '), lambda w: length(w) >= 4 and contains(t, w))) > 0 then 'word' end as why
+ from (select d.qid, p.id, lower(q.text) as t, lower(array_to_string(string_split(p.content, ' ')[1:3], ' ')) as e from dense d join questions q using (qid) join passages p on p.id = d.claim_id where d.rank <= 20)""")
+def pf15_word_matches(spark, sf):
+    """PF15 with its word rule: the first three words of each hit, looked for in the question as a whole and word by word."""
+    p = v.passages(spark, sf)
+    q = v.questions(p)
+    hits = dense(p, q, 20).select("qid", F.col("claim_id").alias("id"))
+    phrase = F.array_join(F.slice(F.split("content", " "), 1, 3), " ")
+    return hits.join(q.select("qid", "text"), "qid").join(p.select("id", phrase.alias("phrase")), "id").select("qid", "id", tx.why_matched(F.col("text"), F.col("phrase")).alias("why"))
+
+
+@query("turns", """+ n as (select conv_id, turn_no, row_number() over (order by conv_id, turn_no, text) as number from (select distinct conv_id, turn_no, text from turns where role = 'user' and conv_id is not null)),
+ own as (select conv_id, min(number) as low, count(*) as size from n group by 1),
+ p as (select t.conv_id, turn_no as pos_turn, low, coalesce(size, 0) as size, (select count(*) from n) - coalesce(size, 0) as others from turns t left join own using (conv_id) where role = 'assistant' and t.conv_id is not null),
+ d as (select *, (('0x' || substr(md5(conv_id || ':' || pos_turn || ':7'), 1, 13))::bigint + (nth - 1) * greatest(others // 2, 1)) % others + 1 as drawn from p, unnest([1, 2]) as u(nth) where others > 0)
+ select d.conv_id, pos_turn, nth, n.conv_id as neg_conv, n.turn_no as neg_turn from d join n on n.number = case when drawn >= low then drawn + size else drawn end""")
+def ev6_far_negatives(spark, sf):
+    """EV6: each assistant turn with two user turns of other conversations as negatives, drawn by number from all."""
+    return ev.far_negatives(v.turns(spark, sf), 2).select("conv_id", "pos_turn", "nth", "neg_conv", "neg_turn")
+
+
 @query("passages questions", f"""+ sims as (select q.qid, p.id as claim_id, p.source, greatest(-1, least(1, list_cosine_similarity(q.vector::double[], p.embedding::double[]))) as similarity from questions q join passages p on q.user_id = p.user_id and p.id <> q.qid),
  near as (select *, row_number() over (partition by qid order by similarity desc, claim_id) as nth from sims qualify nth <= 40),
  hints as (select qid, {_has("text", tx.HINTS["is_multi_hop"])} as hop, hop or {_has("text", tx.LIST_QUESTION)} as wide, case when {_has("text", tx.HINTS["is_count"])} then 20 when hop or {_has("text", tx.HINTS["is_temporal"])} then 15 else 10 end as k from questions),

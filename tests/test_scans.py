@@ -84,3 +84,24 @@ def test_touches_without_a_time(spark):
     table = spark.createDataFrame([(1, None), (1, None), (1, ZERO + timedelta(hours=1))], "user_id long, ts timestamp")
     assert [(r["session_no"], r["n_events"]) for r in op.sessions(table).orderBy("session_no").collect()] == [(2, 2), (3, 1)]
     assert op.throttled(table).collect()[0]["recorded"] == 1
+
+
+def test_far_negatives_are_of_other_conversations(spark):
+    from palimpsest.operators.evaluate import far_negatives
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}") for c in range(20) for t in range(6)] + [(1, t, "user", f"hot {t}") for t in range(100, 400)] + [(1, 100, "user", "hot 100"), (99, 1, "assistant", "alone"), (None, 1, "assistant", "x"), (3, 7, "assistant", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn_no long, role string, text string")
+    got = far_negatives(table, 4).collect()
+    positives = [r for r in rows if r[2] == "assistant" and r[0] is not None]
+    assert len(got) == 4 * len(positives) and all(r["neg_conv"] != r["conv_id"] for r in got)
+    assert len({(r["conv_id"], r["pos_turn"], r["neg_conv"], r["neg_turn"], r["negative"]) for r in got}) == len(got)
+    assert {(r["neg_conv"], r["neg_turn"], "user", r["negative"]) for r in got} <= set(rows)
+    assert far_negatives(table.filter("conv_id = 1"), 4).count() == 0 and far_negatives(table.limit(0), 4).count() == 0
+
+
+def test_why_matched(spark):
+    from palimpsest.functions.text import why_matched
+
+    rows = [("Where is Redis Cache?", "redis cache"), ("the cache is slow", "Redis Cache"), ("the car is slow", "my car"), (None, "a"), ("a", None), ("", "")]
+    got = [r["w"] for r in spark.createDataFrame(rows, "q string, e string").select(why_matched(F.col("q"), F.col("e")).alias("w")).collect()]
+    assert got == ["entity", "word", None, None, None, "entity"]

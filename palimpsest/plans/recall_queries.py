@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import beliefs as bl
 from ..operators import context as cx
+from ..operators import early_stop as es
 from ..operators import evaluate as ev
 from ..operators import graph as gr
 from ..operators import rerank as rr
@@ -106,6 +107,13 @@ def r2_bm25(spark, sf):
     return op.bm25(q, p, FIELDS, 20).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("passages questions", "+" + _LEX.lstrip(", ") + " select qid, claim_id, round(similarity, 6) as similarity, rank from lex where rank <= 20")
+def r2_early_stop(spark, sf):
+    """R2 with a rising threshold over blocks of postings: the same rows from a part of them."""
+    p, q = _base(spark, sf)
+    return es.bm25(q, p, FIELDS, 20).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("passages questions", f"""+ w as (select id, user_id, unnest({_TOK.format('content')}) as term, 1.0 as w from passages union all select id, user_id, unnest({_TOK.format('entity')}), 0.4 from passages union all select id, user_id, unnest({_TOK.format('attribute')}), 0.2 from passages),
  ask as (select qid, user_id, unnest(list_distinct({_TOK.format('text')})) as term from questions), need as (select qid, count(*) as need from ask group by 1),
  f as (select qid, id as claim_id, count(distinct term) as terms, sum(w)::double as score from w join ask using (user_id, term) group by 1, 2), g as (select * from f join need using (qid) where terms = need)

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.embed import hash_vector
+from ..shared import written
 
 TOUCH, RELATED = 0.97, 0.80
 FULL_PENALTY_DAYS, DROP_PENALTY = 90.0, 0.8
@@ -44,6 +45,29 @@ def beliefs_at(questions: DataFrame, claims: DataFrame) -> DataFrame:
     return questions.join(c, ["user_id", "entity"]).filter(hit).select("qid", "id", "entity", "attribute", "value")
 
 
+def beliefs_at_binned(questions: DataFrame, claims: DataFrame, fine: int = 20) -> DataFrame:
+    """``beliefs_at`` for entities of very many versions: an instant meets only the intervals that lie in its bins.
+
+    An interval goes to the level whose bins are as long as it, or up to twice, so that it lies in one or two of them; an instant goes
+    to its bin of each level, at most ``fine`` + 1. The finest bins are 2^-fine of the time asked about. An open interval
+    ends after the last instant; intervals without a beginning, empty ones and questions without an instant have no hits.
+    """
+    first, last = questions.agg(F.min(F.unix_micros("as_of")), F.max(F.unix_micros("as_of"))).first()
+    if first is None:
+        return beliefs_at(questions.limit(0), claims)
+    lowest = max(0, (last - first).bit_length() - fine)
+    c = claims.select("user_id", "entity", "attribute", "id", "value", "valid_from", "valid_to")
+    # cut to the time asked about, which changes no hit
+    c = c.withColumn("lo", F.greatest(F.unix_micros("valid_from"), F.lit(first)) - first).withColumn("hi", F.least(F.coalesce(F.unix_micros("valid_to"), F.lit(last + 1)), F.lit(last + 1)) - first)
+    c = c.filter("valid_from is not null and lo < hi").withColumn("level", F.greatest(F.lit(lowest), F.length(F.bin(F.col("hi") - F.col("lo") - 1))))
+    slots = F.array_distinct(F.array(F.expr("shiftright(lo, level)"), F.expr("shiftright(hi - 1, level)")))
+    binned = c.withColumn("slot", F.explode(slots)).drop("lo", "hi")
+    levels = F.array(*(F.lit(i) for i in range(lowest, max(lowest, (last - first).bit_length()) + 2)))
+    q = questions.filter("as_of is not null").withColumn("level", F.explode(levels)).withColumn("slot", F.expr(f"shiftright(unix_micros(as_of) - {first}L, level)"))
+    hit = (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("as_of")))
+    return q.join(binned, ["user_id", "entity", "level", "slot"]).filter(hit).select("qid", "id", "entity", "attribute", "value")
+
+
 def closed_by_link(claims: DataFrame) -> DataFrame:
     """Superseded rows get valid_to from the row that superseded them, or their own time where that is gone."""
     by = claims.select(F.col("user_id"), F.col("id").alias("superseded_by"), F.col("ts").alias("closing_ts"))
@@ -167,6 +191,44 @@ def lineage(claims: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def full_lineage(claims: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``lineage`` with each claim's conflict partners and the ledger of decisions on either side of which it stood, oldest first.
+
+    decisions: (user_id, id, nearest_id, decision, reason, created_at). A claim without any has nulls.
+    """
+    d = decisions.select("user_id", "id", "nearest_id", "decision", "reason", "created_at")
+    entry = F.struct("created_at", F.col("id").alias("new_id"), "decision", "reason", "nearest_id")
+    own = d.select("user_id", "id", entry.alias("entry"))
+    other = d.filter("nearest_id is not null and nearest_id <> id").select("user_id", F.col("nearest_id").alias("id"), entry.alias("entry"))
+    partner = F.when(F.col("entry.decision") == "conflict", F.when(F.col("entry.new_id") == F.col("id"), F.col("entry.nearest_id")).otherwise(F.col("entry.new_id")))
+    both = own.unionByName(other).groupBy("user_id", "id").agg(F.array_sort(F.collect_list("entry")).alias("ledger"), F.array_sort(F.collect_set(partner)).alias("conflict_with"))
+    return lineage(claims).join(both.withColumn("conflict_with", F.when(F.size("conflict_with") > 0, F.col("conflict_with"))), ["user_id", "id"], "left")
+
+
+def chains(claims: DataFrame) -> DataFrame:
+    """Of each claim (user_id, id): the head of its chain of supersessions, how many are ahead of it, and the chain's greatest length.
+
+    List ranking by pointer doubling: each round every unfinished claim jumps over what its pointer has jumped over, so a chain of n
+    takes log2(n) rounds, each written to the shared folder. A link to a claim that isn't there ends the chain. Claims whose links
+    run in a circle have nulls. Of rows with one (user_id, id), one counts.
+    """
+    c = claims.select("user_id", "id", "superseded_by").dropDuplicates(["user_id", "id"])
+    there = c.select("user_id", F.col("id").alias("superseded_by"), F.lit(True).alias("there"))
+    known = F.col("there").isNotNull()
+    start = c.join(there, ["user_id", "superseded_by"], "left").select("user_id", "id", F.when(known, F.col("superseded_by")).otherwise(F.col("id")).alias("at"), F.when(known, 1).otherwise(0).cast("long").alias("ahead"), (~known).alias("done"))
+    now = written(start, "chains")
+    for _ in range(now.filter("not done").count().bit_length() + 1):
+        # what is done stays out of the join: a long chain's claims would all meet at its head
+        jump = now.select("user_id", F.col("id").alias("at"), F.col("at").alias("far"), F.col("ahead").alias("more"), F.col("done").alias("ends"))
+        moved = now.filter("not done").drop("done").join(jump, ["user_id", "at"]).select("user_id", "id", F.col("far").alias("at"), (F.col("ahead") + F.col("more")).alias("ahead"), F.col("ends").alias("done"))
+        now = written(now.filter("done").unionByName(moved), "chains")
+        if now.filter("not done").isEmpty():
+            break
+    ranked = now.select("user_id", "id", F.when(F.col("done"), F.col("at")).alias("head"), F.when(F.col("done"), F.col("ahead")).alias("ahead"))
+    length = ranked.filter("head is not null").groupBy("user_id", "head").agg((F.max("ahead") + 1).alias("length"))
+    return ranked.join(length, ["user_id", "head"], "left").select("user_id", "id", "head", "ahead", "length")
+
+
 def backfilled_times(claims: DataFrame) -> DataFrame:
     """Bitemporal columns of rows from before they existed."""
     return closed_by_link(claims).withColumn("tx_time", F.coalesce("tx_time", "ts")).withColumn("valid_from", F.coalesce("valid_from", "ts"))

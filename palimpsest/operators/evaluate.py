@@ -176,3 +176,23 @@ def audit(hits: DataFrame, claims: DataFrame, structured: DataFrame) -> DataFram
         return df.select(F.lit(probe).alias("probe"), (F.col("v") <= most).alias("passed"), F.round(F.col("v").cast("double"), 6).alias("evidence"))
 
     return row(twice, "duplicates_in_hits", 5).unionByName(row(noise, "noise_share", 0.2)).unionByName(row(open_, "one_current_belief", 0)).unionByName(row(gaps, "closed_when_superseded", 0))
+
+
+def one_sided(surfaced: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(qid, a, b): conflicts (a, b) of which a question's surfaced claims (qid, id) hold one side only."""
+    shown = surfaced.select("qid", "id").distinct()
+    p = pairs.select("a", "b").filter("a <> b").distinct()
+    sides = [shown.join(p.withColumn("id", F.col(c)), "id").select("qid", "a", "b") for c in ("a", "b")]
+    return sides[0].unionByName(sides[1]).groupBy("qid", "a", "b").agg(F.count("*").alias("sides")).filter("sides = 1").drop("sides")
+
+
+def split_aliases(resolutions: DataFrame) -> DataFrame:
+    """(norm, n_entities): mentions in normal form that resolve to more than one entity."""
+    return resolutions.groupBy("norm").agg(F.count_distinct("entity").alias("n_entities")).filter("n_entities > 1")
+
+
+def identity_audit(surfaced: DataFrame, pairs: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """(probe, passed, evidence): both sides of a conflict are surfaced together, and an alias names one entity."""
+    probes = {"both_conflict_sides": one_sided(surfaced, pairs), "alias_names_one_entity": split_aliases(resolutions)}
+    rows = [faults.agg(F.count("*").alias("v")).select(F.lit(name).alias("probe"), (F.col("v") == 0).alias("passed"), F.col("v").cast("double").alias("evidence")) for name, faults in probes.items()]
+    return rows[0].unionByName(rows[1])

@@ -129,7 +129,7 @@ def f19_trigram_pairs(spark, sf):
  select * from exact_ union all select * from first_ union all
  select mention, norm, case when s >= 0.45 then ps end as entity, case when s >= 0.65 then 'similar' when s >= 0.45 then 'candidate' else 'new' end as rule, round(case when s >= 0.45 then s end, 6) as similarity from best""")
 def e1_mention_resolution(spark, sf):
-    return _resolved(spark, sf).select("mention", "norm", "entity", "rule", F.round("similarity", 6).alias("similarity"))
+    return resolved_parts(spark, sf).select("mention", "norm", "entity", "rule", F.round("similarity", 6).alias("similarity"))
 
 
 def mentions_of_parts():
@@ -138,7 +138,7 @@ def mentions_of_parts():
     return F.when(F.col("p_partkey") % 4 == 0, F.upper(name)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("The "), name, F.lit("!"))).when(F.col("p_partkey") % 4 == 2, F.split(name, " ")[0]).otherwise(F.left(name, F.length(name) - 1))
 
 
-def _resolved(spark, sf):
+def resolved_parts(spark, sf):
     parts = v.read(spark, sf, "part")
     return en.resolved(parts.select(mentions_of_parts().alias("mention")).distinct(), parts.select(F.col("p_name").alias("entity")).distinct())
 

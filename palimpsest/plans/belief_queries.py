@@ -33,10 +33,24 @@ def pf3_as_of(spark, sf):
 
 @query("claims", "+ q as (select c_custkey as qid, c_custkey % 8 as user_id, 'customer ' || c_custkey as entity, timestamp '1995-01-01' + to_days((c_custkey % 1000)::int) as as_of from customer) select qid, id, entity, attribute, value from q join claims using (user_id, entity) where valid_from <= as_of and (valid_to is null or valid_to > as_of)")
 def j9_beliefs_at_own_instant(spark, sf):
+    return op.beliefs_at(_instants(spark, sf), v.claims(spark, sf))
+
+
+def _instants(spark, sf):
+    """Each customer asks at an instant of its own."""
     c = v.read(spark, sf, "customer")
     key = F.col("c_custkey")
-    q = c.select(key.alias("qid"), (key % 8).alias("user_id"), F.concat(F.lit("customer "), key.cast("string")).alias("entity"), (F.expr("timestamp'1995-01-01 00:00:00'") + F.make_dt_interval((key % 1000).cast("int"))).alias("as_of"))
-    return op.beliefs_at(q, v.claims(spark, sf))
+    return c.select(key.alias("qid"), (key % 8).alias("user_id"), F.concat(F.lit("customer "), key.cast("string")).alias("entity"), (F.expr("timestamp'1995-01-01 00:00:00'") + F.make_dt_interval((key % 1000).cast("int"))).alias("as_of"))
+
+
+@query("claims", "+ q as (select o_orderkey as qid, o_custkey % 8 as user_id, 'customer ' || o_custkey as entity, o_orderdate + to_days((o_orderkey % 90)::int) as as_of from orders) select qid, id, entity, attribute, value from q join claims using (user_id, entity) where valid_from <= as_of and (valid_to is null or valid_to > as_of)")
+def j9_binned(spark, sf):
+    """J9 over time bins: each order asks what was believed of its customer some days later."""
+    o = v.read(spark, sf, "orders")
+    key = F.col("o_custkey")
+    as_of = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval((F.col("o_orderkey") % 90).cast("int"))
+    q = o.select(F.col("o_orderkey").alias("qid"), (key % 8).alias("user_id"), F.concat(F.lit("customer "), key.cast("string")).alias("entity"), as_of.alias("as_of"))
+    return op.beliefs_at_binned(q, v.claims(spark, sf))
 
 
 @query("claims", "select id, user_id, entity, valid_to, superseded_by from claims")
@@ -76,6 +90,29 @@ def b9_lineage(spark, sf):
     return op.lineage(v.claims(spark, sf)).select("id", "user_id", "valid_from", "valid_to", "superseded_by", "supersedes")
 
 
+_LEDGER = """+ d as (select c.user_id, c.id, p.id as nearest_id, case when p.id is null then 'insert' when c.value = p.value then 'touch' when c.authority >= p.authority then 'supersede' else 'conflict' end as decision, c.ts as created_at from claims c left join claims p on p.user_id = c.user_id and p.superseded_by = c.id),
+ e as (select user_id, id, d.id as new_id, nearest_id, decision, created_at from d union all select user_id, nearest_id, d.id, nearest_id, decision, created_at from d where nearest_id is not null),
+ l as (select user_id, id, list(strftime(created_at, '%Y-%m-%d') || '|' || new_id || '|' || decision || '|' || coalesce(nearest_id::varchar, '') order by created_at, new_id) as ledger,
+  list_sort(list(distinct case when new_id = id then nearest_id else new_id end) filter (decision = 'conflict')) as conflict_with from e group by 1, 2)"""
+
+
+@query("claims", _LEDGER + ", s as (select user_id, superseded_by as id, list_sort(list(id)) as supersedes from claims where superseded_by is not null group by 1, 2) select user_id, id, valid_from, valid_to, superseded_by, supersedes, ledger, conflict_with from claims left join s using (user_id, id) left join l using (user_id, id)")
+def b9_full_lineage(spark, sf):
+    """B9 in full: intervals, links both ways, conflict partners and the ledger; a claim is decided against the one that it follows."""
+    c = v.claims(spark, sf)
+    before = c.filter("superseded_by is not null").select("user_id", F.col("id").alias("nearest_id"), F.col("superseded_by").alias("id"), F.col("value").alias("old"), F.col("authority").alias("rank"))
+    decision = F.when(F.col("nearest_id").isNull(), "insert").when(F.col("value") == F.col("old"), "touch").when(F.col("authority") >= F.col("rank"), "supersede").otherwise("conflict")
+    d = c.join(before, ["user_id", "id"], "left").select("user_id", "id", "nearest_id", decision.alias("decision"), F.lit("order").alias("reason"), F.col("ts").alias("created_at"))
+    line = F.transform("ledger", lambda e: F.concat_ws("|", F.date_format(e["created_at"], "yyyy-MM-dd"), e["new_id"].cast("string"), e["decision"], F.coalesce(e["nearest_id"].cast("string"), F.lit(""))))
+    return op.full_lineage(c, d).withColumn("ledger", line)
+
+
+@query("claims", "select user_id, id, last_value(id) over w as head, count(*) over w - row_number() over (partition by user_id, entity order by ts, id) as ahead, count(*) over w as length from claims window w as (partition by user_id, entity order by ts, id rows between unbounded preceding and unbounded following)")
+def b9_chains(spark, sf):
+    """The chain of supersessions that each claim is part of, by pointer doubling along the links."""
+    return op.chains(v.claims(spark, sf))
+
+
 def _batch(spark, sf):
     c = v.claims(spark, sf)
     new = c.filter("valid_to is null").withColumn("id", F.col("id") + 100_000_000).withColumn("ts", F.expr("ts + interval 30 days"))

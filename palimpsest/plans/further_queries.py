@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import beliefs as bl
@@ -16,8 +17,9 @@ from ..shared import shared_folder
 from ..sources import io
 from . import recall_queries as rq
 from . import views as v
-from .activity_queries import mentions_of_parts
-from .registry import query
+from .activity_queries import mentions_of_parts, resolved_parts
+from .belief_queries import _RIVALS
+from .registry import ORACLES, query
 
 
 @query("passages", "select source, count(*) as n from passages where user_id = 1 and embedding is not null group by 1")
@@ -103,3 +105,16 @@ def g5_nodes(spark, sf):
     """A display row for every claim with a vector, from a seeded model."""
     p, _ = rq._base(spark, sf)
     return gr.nodes(gr.projected(p), p).select("id", "label", "cluster", F.round("size", 6).alias("size"))
+
+
+@query("claims", _RIVALS + f""", w as (select id as a, first(other order by bts desc, other) as b from p group by 1),
+ shown as (select user_id, entity as qid, id from claims qualify row_number() over (partition by user_id, entity order by ts desc, id) <= 10),
+ sides as (select s.qid, w.a, w.b from shown s join w on s.id = w.a or s.id = w.b group by all having count(*) = 1),
+ named as (select norm from ({ORACLES["e1_mention_resolution"]}) group by 1 having count(distinct entity) > 1)
+ select 'both_conflict_sides' as probe, count(*) = 0 as passed, count(*)::double as evidence from sides union all select 'alias_names_one_entity', count(*) = 0, count(*)::double from named""")
+def ev10_identity_audit(spark, sf):
+    """EV10: of each customer the ten newest claims are surfaced; a conflict of which they hold one side only is a fault, as is an alias of two entities."""
+    c = v.claims(spark, sf)
+    newest = F.row_number().over(Window.partitionBy("user_id", "entity").orderBy(F.desc("ts"), "id"))
+    surfaced = c.withColumn("nth", newest).filter("nth <= 10").select(F.col("entity").alias("qid"), "id")
+    return ev.identity_audit(surfaced, bl.conflicts(c).select(F.col("id").alias("a"), F.col("winner").alias("b")), resolved_parts(spark, sf))

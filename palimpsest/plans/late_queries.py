@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import late
+from . import activity_queries  # noqa: F401  its SQL is used below
 from . import views as v
-from .registry import query
+from .registry import ORACLES, query
 
 SPAN = 8 * 86_400_000_000  # microseconds of a delivery
 
@@ -56,3 +57,30 @@ def ss7_late_sessions(spark, sf):
 def ss7_late_rows(spark, sf):
     """SS7: the side table of the rows that came after their hour was closed."""
     return late.late_rows(spark, deliveries(spark, sf), lambda ts: F.date_trunc("hour", ts) + F.expr("interval 1 hour"), "late-rows")
+
+
+def redeliveries(spark, sf):
+    """The deliveries again, with arrival times: every tenth event comes once more with the next delivery, every fifteenth four deliveries later."""
+    parts = deliveries(spark, sf)
+    out = []
+    for n in range(len(parts) + 4):
+        rows = [parts[i].filter(again) for i, again in ((n, "true"), (n - 1, "event_id % 10 = 0"), (n - 4, "event_id % 15 = 0")) if 0 <= i < len(parts)]
+        together = rows[0] if rows else parts[0].filter("false")
+        for more in rows[1:]:
+            together = together.unionByName(more)
+        out.append(together.withColumn("arrived", F.expr(f"timestamp'2024-02-01 00:00:00' + interval {8 * n} days")))
+    return out
+
+
+@query("activity", "select event_id, user_id, ts from events where ts is not null")
+def ss6_redelivery(spark, sf):
+    """SS6: events that come again soon are dropped by state that expires, those that come later by the stored keys; each is there once."""
+    return late.redelivered(spark, redeliveries(spark, sf), "redelivery", "event_id", "10 days").select("event_id", "user_id", "ts")
+
+
+@query(sql=ORACLES["a16_histogram"])
+def ss9_stream_buckets(spark, sf):
+    """SS9: counters and latency buckets of the events as three deliveries, in update mode, with the rows of A16."""
+    events = v.activity(spark, sf)
+    parts = [events.filter(F.pmod(F.xxhash64("user_id", "ts"), F.lit(3)) == i) for i in range(3)]
+    return late.telemetry(spark, parts, "method", "value", [1, 5, 10, 50]).withColumn("total", F.round("total", 2))

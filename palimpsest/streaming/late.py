@@ -86,3 +86,69 @@ def late_rows(spark: SparkSession, deliveries: Iterable[DataFrame], end: Callabl
         stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
         stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/late")
+
+
+def once(rows: DataFrame, key: str = "id", delay: str = DELAY) -> DataFrame:
+    """Rows of a stream by their time of arrival ``arrived``: those of a key that came within ``delay`` before are dropped, and the key leaves the state after it.
+
+    The watermark goes by arrival, so that no row is late, however old its own time is. Rows without a key count as one key.
+    """
+    return rows.withWatermark("arrived", delay).dropDuplicatesWithinWatermark([key])
+
+
+def redelivered(spark: SparkSession, deliveries: Iterable[DataFrame], name: str, key: str = "id", delay: str = DELAY, progress: list | None = None) -> DataFrame:
+    """The table after deliveries that hold rows again: each key is inserted once, as it first came.
+
+    Keys within ``delay`` are dropped by the stream's state; those that come again after it meet the stored keys, so a batch reads
+    the keys of earlier batches (that column only). A batch that is run again looks at earlier batches only and writes the same.
+    """
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = None
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{at}/in")
+        schema = rows.schema
+
+        def keep(batch: DataFrame, number: int, schema=schema) -> None:
+            session = batch.sparkSession
+            before = session.read.schema(schema).parquet(*(f"{at}/result/batch_{i}" for i in range(number))).select(key) if number else session.createDataFrame([], schema).select(key)
+            known = batch[key].eqNullSafe(before[key])
+            batch.join(before, known, "left_anti").write.mode("overwrite").parquet(f"{at}/result/batch_{number}")
+
+        run = once(spark.readStream.schema(schema).parquet(f"{at}/in"), key, delay).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        if progress is not None:
+            progress.extend(run.recentProgress)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/result")
+
+
+def bucket_counts(events: DataFrame, label: str, value: str, bounds: list[float]) -> DataFrame:
+    """(label, n, total, le_0, le_1, ...): the counters of a stream, to be written in update mode. The state is a row for each label."""
+    return events.groupBy(label).agg(F.count("*").alias("n"), F.sum(value).alias("total"), *(F.count_if(F.col(value) <= b).alias(f"le_{i}") for i, b in enumerate(bounds)))
+
+
+def telemetry(spark: SparkSession, deliveries: Iterable[DataFrame], label: str, value: str, bounds: list[float], name: str = "telemetry") -> DataFrame:
+    """Cumulative latency buckets (label, le, count, n, total) of log lines that are streamed in deliveries.
+
+    The stream gives the labels that a batch changed; they replace their rows in the next version of the table (copy on write, a row
+    for each label), and a version is a folder of its batch, so the one before stays whole if a batch fails.
+    """
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    schema, last = None, -1
+
+    def keep(batch: DataFrame, number: int) -> None:
+        nonlocal last
+        changed = batch
+        if number:
+            stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{at}/version_{number - 1}")
+            same = stored[label].eqNullSafe(batch[label])
+            changed = stored.join(batch, same, "left_anti").unionByName(batch)
+        changed.write.mode("overwrite").parquet(f"{at}/version_{number}")
+        last = number
+
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{at}/in")
+        out = bucket_counts(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), label, value, bounds)
+        schema = out.schema
+        out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    buckets = F.array(*(F.struct(F.lit(float(b)).alias("le"), F.col(f"le_{i}").alias("count")) for i, b in enumerate(bounds)))
+    return spark.read.schema(schema).parquet(f"{at}/version_{last}").select(label, "n", "total", F.explode(buckets).alias("b")).select(label, "b.le", "b.count", "n", "total")

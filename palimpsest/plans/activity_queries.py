@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import activity as op
 from ..operators import entities as en
+from ..operators import sketches as sk
+from ..shared import written
 from . import views as v
 from .registry import query
 
@@ -100,6 +104,25 @@ def a13_latency_percentiles(spark, sf):
     return out.select("method", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")), "max_value")
 
 
+@query()
+def a1_sketched(spark, sf):
+    """A1, approximate: distinct users of four spans from sketches that are stored for each five minutes; a test holds their error."""
+    return sk.active_users(written(sk.user_sketches(v.activity(spark, sf)), "user-sketches"), _now())
+
+
+_GAMMA = (1 + sk.ERROR) / (1 - sk.ERROR)
+
+
+@query("activity", f"""+ b as (select method, sign(value)::int as s, case when value = 0 then 0 else ceil(ln(abs(value)) / {math.log(_GAMMA)!r})::int end as k, count(*) as n, max(value) as top from activity where value is not null and ts >= {_NOW} - interval 7 days group by 1, 2, 3),
+ c as (select *, sum(n) over (partition by method order by s, s * k) as upto, sum(n) over (partition by method) as total, s * 2 * pow({_GAMMA!r}, k) / ({_GAMMA!r} + 1) as mid from b)
+ select method, sum(n)::bigint as n, round(arg_min(mid, upto) filter (upto * 100 >= total * 50), 6) as p50, round(arg_min(mid, upto) filter (upto * 100 >= total * 95), 6) as p95, round(arg_min(mid, upto) filter (upto * 100 >= total * 99), 6) as p99, max(top) as max_value from c group by 1""")
+def a13_sketched(spark, sf):
+    """A13, approximate: percentiles of the last seven days from buckets that are stored for each five minutes."""
+    stored = written(sk.value_buckets(v.activity(spark, sf), "method", "value"), "value-buckets")
+    out = sk.quantiles(stored, "method", _now() - F.expr("interval 7 days"))
+    return out.select("method", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")), "max_value")
+
+
 @query("activity", """select user_id, max(n) as recorded, max(t) as last_recorded from (with recursive r as (select user_id, min(ts) as t, 1::bigint as n from activity where ts is not null group by 1
  union all select a.user_id, min(a.ts), r.n + 1 from r join activity a on a.user_id = r.user_id and a.ts >= r.t + interval 3600 seconds group by a.user_id, r.n) select * from r) group by 1""")
 def ss4_throttle(spark, sf):

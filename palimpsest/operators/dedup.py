@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from ..shared import written
 from .components import components
 
 HASHES, BAND, THRESHOLD, WIDTH = 64, 4, 0.7, 3
+#: Texts of a band that are put in order together, and texts or shingles of a block.
+PART, BLOCK, BLOCK_GRAMS = 4096, 256, 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(3).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -20,35 +24,87 @@ _SEEDS = np.random.default_rng(3).integers(1, 1 << 62, HASHES, dtype=np.uint64)
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, component, keep) of rows (id, content): pairs of a band with Jaccard of at least ``threshold`` are linked; a component's longest text is kept, of equal ones the smallest id.
 
-    Equal texts are collapsed first, and a band's texts are compared with its first text and their
-    neighbours in order of length, then the rest of a band only across components, each pair with at least one text
-    outside the band's largest component, so a band of copies costs its size.
+    Equal texts are collapsed first. A band's texts are compared with its shortest one and with a neighbour in order of length, which joins
+    copies at the cost of the band's size. What is left of a band are pairs of different components with at least one text outside the
+    band's largest: these are compared in blocks inside tasks (``block_links``), which emit links only.
+    No window or group spans a band, so that a hot one is many tasks.
     """
     texts = rows.groupBy(F.xxhash64("content").alias("h1"), F.md5("content").alias("h2")).agg(F.min("id").alias("rep"))
     named = written(rows.join(texts, (F.xxhash64("content") == F.col("h1")) & (F.md5("content") == F.col("h2"))).select("id", "rep", F.col("content")), "texts")
     signed = written(sketched(named.filter("id = rep").select("rep", "content")).filter(F.size("g") > 0), "grams")
     grams = signed.select("rep", "g")
     bands = signed.select("rep", F.size("g").alias("n"), F.posexplode("bands").alias("b", "key"))
-    size = F.count("*").over(Window.partitionBy("b", "key"))
-    members = written(bands.withColumn("size", size).filter("size > 1"), "bands")
-    ordered = Window.partitionBy("b", "key").orderBy("n", "rep")
-    both = members.select("rep", "n", F.first("rep").over(ordered).alias("lead"), F.lead("rep").over(ordered).alias("next"))
+    sizes = bands.groupBy("b", "key").agg(F.count("*").alias("size"), F.min(F.struct("n", "rep"))["rep"].alias("lead")).filter("size > 1")
+    members = written(bands.join(sizes, ["b", "key"]), "bands")
+    ordered = Window.partitionBy("b", "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PART))).orderBy("n", "rep")
+    both = members.select("rep", "lead", F.lead("rep").over(ordered).alias("next"))
     first = both.select(F.col("rep").alias("x"), F.explode(F.array_compact(F.array("lead", "next"))).alias("y")).filter("x <> y")
     links = linked(first, grams, threshold)
     groups = components(links)
     placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = placed.groupBy("b", "key", "component").agg(F.count("*").alias("held"))
     mixed = parts.groupBy("b", "key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("held", "component")).alias("largest")).filter("parts > 1")
-    rest = written(placed.join(mixed, ["b", "key"]).select("b", "key", "rep", "n", "component", "largest"), "mixed")
-    other = rest.select("b", "key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("part"))
-    once = (F.col("part") == F.col("largest")) | (F.col("rep") < F.col("other"))
-    across = rest.filter("component <> largest").join(other, ["b", "key"]).filter(once & (F.col("component") != F.col("part")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select(F.col("rep").alias("x"), F.col("other").alias("y"))
-    groups = components(links.unionByName(linked(across, grams, threshold)))
+    rest = placed.join(mixed, ["b", "key"]).select("b", "key", "rep", "n", "component", (F.col("component") != F.col("largest")).alias("outside"))
+    groups = components(links.unionByName(written(block_links(rest, grams, threshold), "across")))
     out = named.select("id", "rep", F.length("content").alias("length")).join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     best = out.groupBy("component").agg(F.max(F.struct("length", (-F.col("id")).alias("order"))).alias("top"))
     return out.join(best, "component").select("id", "component", (F.col("id") == -F.col("top.order")).alias("keep"))
 
 
+def block_links(rest: DataFrame, grams: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of texts of one band, of different components and with enough shingles in common: enough of them to join all such components.
+
+    rest: (b, key, rep, n, component, outside). Texts of a band go to classes by number of shingles, so wide that a text's partners are
+    in its class or the next ones: other classes don't meet. A class is dealt to blocks of about ``block`` texts or BLOCK_GRAMS
+    shingles, those outside the band's largest component apart, and pairs of blocks with one outside are compared, each in a task.
+    """
+    known = written(rest.withColumn("class", F.floor(F.log(F.col("n")) / -math.log(threshold) + 1e-9).cast("int")), "mixed")
+    cell = ["b", "key", "class", "outside"]
+    count = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    cells = known.groupBy(*cell).agg(count.alias("parts"))
+    dealt = known.join(cells, cell).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    blocks = cells.select(*cell, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    mine = blocks.select("b", "key", F.struct("class", "outside", "part").alias("p"))
+    pairs = mine.join(mine.withColumnRenamed("p", "q"), ["b", "key"]).filter("p <= q and abs(p.class - q.class) <= 1 and (p.outside or q.outside)")
+    sides = pairs.select("b", "key", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("at")).select("b", "key", "p", "q", "at", "at.*")
+    texts = dealt.join(grams, "rep").select(*cell, "part", "rep", "component", "g")
+    # collected: the texts of two blocks at most
+    tasks = sides.join(texts, [*cell, "part"]).groupBy("b", "key", "p", "q").agg(F.collect_list(F.struct((F.col("at") == F.col("p")).alias("left"), "outside", "rep", "component", "g")).alias("rows"), F.first(F.col("p") == F.col("q")).alias("same"))
+
+    def run(batches):
+        for batch in batches:
+            for rows, same in zip(batch.column("rows"), batch.column("same").to_pylist(), strict=True):
+                v = rows.values
+                fields = [v.field(f).to_pylist() for f in ("left", "outside", "rep", "component")]
+                texts = [(*head, np.sort(g.values.to_numpy(zero_copy_only=False))) for head, g in zip(zip(*fields, strict=True), v.field("g"), strict=True)]
+                links = list(_joining([t for t in texts if t[0]], [t for t in texts if same or not t[0]], threshold))
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return tasks.select("rows", "same").mapInArrow(run, "a long, b long").distinct()
+
+
+def _joining(left: list, right: list, threshold: float):
+    """Links between two blocks that join components which are still apart."""
+    root = {t[3]: t[3] for t in (*left, *right)}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for _, out_x, x, cx, gx in left:
+        for _, out_y, y, cy, gy in right:
+            if not (out_x or out_y) or min(len(gx), len(gy)) < threshold * max(len(gx), len(gy)) or find(cx) == find(cy):
+                continue
+            common = len(np.intersect1d(gx, gy, assume_unique=True))
+            if common >= threshold * (len(gx) + len(gy) - common):
+                root[find(cx)] = find(cy)
+                yield min(x, y), max(x, y)
+
+
 def sketched(texts: DataFrame) -> DataFrame:
     """(rep, g, bands): the distinct character 3-grams of each lower-case text, hashed, and the hashes of its bands of minima.
 

@@ -49,7 +49,7 @@ def beliefs_at_binned(questions: DataFrame, claims: DataFrame, fine: int = 20) -
     """``beliefs_at`` for entities of very many versions: an instant meets only the intervals that lie in its bins.
 
     An interval goes to the level whose bins are as long as it, or up to twice, so that it lies in one or two of them; an instant goes
-    to its bin of each level, at most ``fine`` + 1. The finest bins are 2^-fine of the time asked about. An open interval
+    to its bin of each level that any interval has. The finest bins are 2^-fine of the time asked about. An open interval
     ends after the last instant; intervals without a beginning, empty ones and questions without an instant have no hits.
     """
     first, last = questions.agg(F.min(F.unix_micros("as_of")), F.max(F.unix_micros("as_of"))).first()
@@ -60,12 +60,15 @@ def beliefs_at_binned(questions: DataFrame, claims: DataFrame, fine: int = 20) -
     # cut to the time asked about, which changes no hit
     c = c.withColumn("lo", F.greatest(F.unix_micros("valid_from"), F.lit(first)) - first).withColumn("hi", F.least(F.coalesce(F.unix_micros("valid_to"), F.lit(last + 1)), F.lit(last + 1)) - first)
     c = c.filter("valid_from is not null and lo < hi").withColumn("level", F.greatest(F.lit(lowest), F.length(F.bin(F.col("hi") - F.col("lo") - 1))))
+    c = written(c, "intervals")
     slots = F.array_distinct(F.array(F.expr("shiftright(lo, level)"), F.expr("shiftright(hi - 1, level)")))
     binned = c.withColumn("slot", F.explode(slots)).drop("lo", "hi")
-    levels = F.array(*(F.lit(i) for i in range(lowest, max(lowest, (last - first).bit_length()) + 2)))
+    # at most ``fine`` + 2
+    levels = F.array(*(F.lit(r.level) for r in c.select("level").distinct().orderBy("level").collect())).cast("array<int>")
     q = questions.filter("as_of is not null").withColumn("level", F.explode(levels)).withColumn("slot", F.expr(f"shiftright(unix_micros(as_of) - {first}L, level)"))
     hit = (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("as_of")))
-    return q.join(binned, ["user_id", "entity", "level", "slot"]).filter(hit).select("qid", "id", "entity", "attribute", "value")
+    # a shuffle of both sides: Spark's estimates count a question's copies and an interval's slots once, so that it would broadcast too much
+    return q.join(binned.hint("merge"), ["user_id", "entity", "level", "slot"]).filter(hit).select("qid", "id", "entity", "attribute", "value")
 
 
 def closed_by_link(claims: DataFrame) -> DataFrame:

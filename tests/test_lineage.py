@@ -83,6 +83,16 @@ def test_a_hot_entity_is_many_keys(spark):
     assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString()
 
 
+def test_binned_instants_are_not_broadcast(spark):
+    """Each instant has a copy for each level, which Spark's size estimates don't count: a broadcast side would be all copies of all instants."""
+    claims = spark.range(500).select(F.lit(1).cast("long").alias("user_id"), F.lit("e").alias("entity"), F.lit("a").alias("attribute"), "id", F.lit("v").alias("value"), F.timestamp_seconds(F.col("id") * 60).alias("valid_from"), F.timestamp_seconds(F.col("id") * 60 + 60).alias("valid_to"))
+    questions = spark.range(500).select(F.col("id").alias("qid"), F.lit(1).cast("long").alias("user_id"), F.lit("e").alias("entity"), F.timestamp_seconds(F.col("id") * 60 + 7).alias("as_of"))
+    got = beliefs.beliefs_at_binned(questions, claims)
+    assert got.filter("id <> qid").isEmpty() and got.count() == 500
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_identity_probes(spark):
     surfaced = spark.createDataFrame([("q", 1), ("q", 2), ("q", 3), ("r", 4), ("r", 4)], "qid string, id long")
     pairs = spark.createDataFrame([(1, 2), (3, 4), (4, 4)], "a long, b long")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vectors as vx
 from ..shared import written
 from .components import components
 
@@ -34,11 +33,13 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = written(sketched(named.filter("id = rep").select("rep", "content")).filter(F.size("g") > 0), "grams")
     grams = signed.select("rep", "g")
     bands = signed.select("rep", F.size("g").alias("n"), F.posexplode("bands").alias("b", "key"))
-    sizes = bands.groupBy("b", "key").agg(F.count("*").alias("size"), F.min(F.struct("n", "rep"))["rep"].alias("lead")).filter("size > 1")
+    sizes = bands.groupBy("b", "key").agg(F.count("*").alias("size"), F.min(F.struct("n", "rep")).alias("lead")).filter("size > 1")
     members = written(bands.join(sizes, ["b", "key"]), "bands")
     ordered = Window.partitionBy("b", "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PART))).orderBy("n", "rep")
-    both = members.select("rep", "lead", F.lead("rep").over(ordered).alias("next"))
-    first = both.select(F.col("rep").alias("x"), F.explode(F.array_compact(F.array("lead", "next"))).alias("y")).filter("x <> y")
+    # only texts of like size can be near: the others need no shingles
+    near = lambda y: (y["rep"] != F.col("rep")) & (F.least(y["n"], F.col("n")) >= threshold * F.greatest(y["n"], F.col("n")))
+    both = members.select("rep", "n", F.array_compact(F.array("lead", F.lead(F.struct("n", "rep")).over(ordered))).alias("others"))
+    first = both.select(F.col("rep").alias("x"), F.explode(F.transform(F.filter("others", near), lambda y: y["rep"])).alias("y"))
     links = linked(first, grams, threshold)
     groups = components(links)
     placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -95,14 +96,43 @@ def _joining(left: list, right: list, threshold: float):
             c = root[c]
         return c
 
-    for _, out_x, x, cx, gx in left:
-        for _, out_y, y, cy, gy in right:
-            if not (out_x or out_y) or min(len(gx), len(gy)) < threshold * max(len(gx), len(gy)) or find(cx) == find(cy):
-                continue
-            common = len(np.intersect1d(gx, gy, assume_unique=True))
-            if common >= threshold * (len(gx) + len(gy) - common):
-                root[find(cx)] = find(cy)
-                yield min(x, y), max(x, y)
+    out_x, out_y = (np.array([t[1] for t in side], bool) for side in (left, right))
+    at = {c: i for i, c in enumerate(root)}
+    of_x, of_y = (np.array([at[t[3]] for t in side]) for side in (left, right))
+    size_x, size_y = (np.array([len(t[4]) for t in side], np.float64) for side in (left, right))
+    common = _common([t[4] for t in left], [t[4] for t in right])
+    near = (common >= threshold * (size_x[:, None] + size_y[None, :] - common)) & (out_x[:, None] | out_y[None, :]) & (of_x[:, None] != of_y[None, :])
+    for i, j in zip(*np.nonzero(near), strict=True):
+        x, y, cx, cy = left[i][2], right[j][2], find(left[i][3]), find(right[j][3])
+        if cx != cy:
+            root[cx] = cy
+            yield min(x, y), max(x, y)
+
+
+def _common(left: list, right: list, columns: int = 1 << 13) -> np.ndarray:
+    """How many shingles each text of one block shares with each of another: products of 0/1 matrices, some columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    if not left or not right:
+        return out
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def cells(side):
+        row, grams = np.repeat(np.arange(len(side)), [len(g) for g in side]), np.concatenate(side)
+        column = np.searchsorted(both, grams)
+        held = both.take(column, mode="clip") == grams if len(both) else np.zeros(len(grams), bool)
+        order = np.argsort(column[held], kind="stable")
+        return row[held][order], column[held][order]
+
+    sides = [cells(left), cells(right)]
+    for start in range(0, len(both), columns):
+        parts = []
+        for (row, column), n in zip(sides, out.shape, strict=True):
+            some = slice(*np.searchsorted(column, [start, start + columns]))
+            m = np.zeros((n, min(columns, len(both) - start)), np.float32)
+            m[row[some], column[some] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
 
 
 def sketched(texts: DataFrame) -> DataFrame:
@@ -133,4 +163,19 @@ def linked(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """The pairs (x, y) with enough shingles in common, as links (a, b)."""
     p = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     ga, gb = grams.select(F.col("rep").alias("a"), F.col("g").alias("ga")), grams.select(F.col("rep").alias("b"), F.col("g").alias("gb"))
-    return written(p.join(ga, "a").join(gb, "b").filter(vx.jaccard(F.col("ga"), F.col("gb")) >= threshold).select("a", "b"), "verified")
+
+    def run(batches):
+        for batch in batches:
+            one, two = batch.column("ga"), batch.column("gb")
+            common = np.array([_both(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(one, two, strict=True)], np.float64)
+            sizes = np.array([len(x.values) + len(y.values) for x, y in zip(one, two, strict=True)], np.float64)
+            yield batch.select(["a", "b"]).filter(pa.array(common >= threshold * (sizes - common), pa.bool_()))
+
+    return written(p.join(ga, "a").join(gb, "b").mapInArrow(run, "a long, b long"), "verified")
+
+
+def _both(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two arrays without repeats have in common."""
+    z = np.concatenate((x, y))
+    z.sort(kind="stable")
+    return int(np.count_nonzero(z[1:] == z[:-1]))

@@ -61,3 +61,16 @@ def test_same_groups_as_all_pairs_of_a_band(spark, monkeypatch, block):
 
 def test_empty_table(spark):
     assert dedup.near_duplicates(spark.createDataFrame([], "id long, content string")).collect() == []
+
+
+def test_blocks_are_compared_by_products():
+    """Shared shingles of all pairs of two blocks, over several runs of columns, with nothing in common and with an empty side; no pair is compared by itself."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    left, right = ([np.sort(rng.choice(4000, rng.integers(1, 900), replace=False)) for _ in range(n)] for n in (23, 17))
+    right[3] = right[3] + 10_000
+    want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert dedup._common(left, right, columns=64).tolist() == want
+    assert dedup._common(left, [right[3]]).tolist() == [[0]] * 23 and dedup._common([], right).shape == (0, 17)
+    assert [dedup._both(x, y) for x, y in zip(left, right)] == [want[i][i] for i in range(17)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +16,8 @@ from ..shared import written
 WORD = r"[\p{L}\p{N}_]+"
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: A term's postings are dealt over so many keys, as a frequent one may hold a third of all rows.
-SALT = 16
+#: Postings of a claim block, and weighted terms of a question block.
+CLAIM_BLOCK, QUESTION_BLOCK = 1 << 18, 1 << 17
 HELPER_SOURCES = ["message-window", "entity-synthesis"]
 FIELD_WEIGHTS = {"content": 1.0, "entity": 0.4, "value": 0.4, "attribute": 0.2}
 
@@ -35,38 +37,139 @@ def corpus_statistics(p: DataFrame) -> DataFrame:
     return p.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _dealt(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """rows with block b, about ``most`` rows each and a key's rows together; and (user_id, n), the tenants' numbers of blocks."""
+    counts = rows.groupBy("user_id").agg(F.ceil(F.count("*") / most).alias("n"))
+    return rows.join(counts, "user_id").withColumn("b", F.pmod(F.xxhash64(key), F.col("n"))).drop("n"), counts
+
+
+def _term_key(df: DataFrame) -> Callable[[Column], Column]:
+    """A 64-bit number of a term that no two terms of (term, df) share."""
+    for seed in range(8):
+        number = lambda t: F.xxhash64(t, F.lit(seed))  # noqa: B023, E731
+        if not (r := df.agg(F.count("*").alias("n"), F.count_distinct(number(F.col("term"))).alias("d")).first()) or r.n == r.d:
+            return lambda t, seed=seed: F.xxhash64(t, F.lit(seed))
+    raise RuntimeError("no numbers for the terms without a collision")
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges first[i], ..., first[i] + n[i] - 1, one after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def block_scores(one: tuple, two: tuple, shape: tuple[int, int], columns: int = 512, pairs: int = 1 << 21) -> np.ndarray:
+    """Sums of weight * impact over shared terms, of all questions and claims of two blocks. one, two: (row, term number, value).
+
+    Terms that many of both have go by matrix products, some at a time; the others by their pairs.
+    """
+    out = np.zeros(shape)
+    sides = []
+    for row, term, value in (one, two):
+        order = np.argsort(term, kind="stable")
+        terms, start, n = np.unique(term[order], return_index=True, return_counts=True)
+        sides.append((row[order], value[order], terms, start, n))
+    _, i, j = np.intersect1d(sides[0][2], sides[1][2], assume_unique=True, return_indices=True)
+    (row_q, w, _, start_q, n_q), (row_c, impact, _, start_c, n_c) = ((r, v, t, s[k], n[k]) for (r, v, t, s, n), k in zip(sides, (i, j), strict=True))
+    work = n_q * n_c
+    often = work * 32 >= shape[0] * shape[1]
+    wide = np.nonzero(often)[0]
+    for at in range(0, len(wide), columns):
+        some = wide[at : at + columns]
+        parts = []
+        for row, value, start, n, size in ((row_q, w, start_q, n_q, shape[0]), (row_c, impact, start_c, n_c, shape[1])):
+            cells = _spread(start[some], n[some])
+            m = np.zeros((size, len(some)))
+            m[row[cells], np.repeat(np.arange(len(some)), n[some])] = value[cells]
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    rare = np.nonzero(~often)[0]
+    run = np.cumsum(work[rare]) // pairs
+    for k in np.unique(run):
+        some = rare[run == k]
+        left = _spread(start_q[some], n_q[some])
+        times = np.repeat(n_c[some], n_q[some])
+        right = _spread(np.repeat(start_c[some], n_q[some]), times)
+        left = np.repeat(left, times)
+        out += np.bincount(row_q[left] * shape[1] + row_c[right], w[left] * impact[right], shape[0] * shape[1]).reshape(shape)
+    return out
+
+
+def _best_of_blocks(k: int, exclude_self: bool):
+    """For mapInArrow over rows (q, c) of question and claim blocks: (qid, claim_id, score) of each question's k best, and of what rounding may put among them."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, c = batch.column("q")[i].values, batch.column("c")[i].values
+                (qid, row_q), (cid, row_c) = (np.unique(x.field("id").to_numpy(), return_inverse=True) for x in (q, c))
+                w = q.field("w").to_numpy()
+                score = block_scores((row_q, q.field("term").to_numpy(), w), (row_c, c.field("term").to_numpy(), c.field("impact").to_numpy()), (len(qid), len(cid)))
+                if exclude_self:
+                    score[qid[:, None] == cid[None, :]] = 0
+                # no score is above this, and similarities are rounded to nine places of a question's best
+                slack = 2e-9 * (K1 + 1) * np.bincount(row_q, np.maximum(w, 0), len(qid))
+                take = min(k, len(cid))
+                last = np.partition(score, len(cid) - take, axis=1)[:, len(cid) - take]
+                rows, hit = np.nonzero((score > 0) & (score >= (last - slack)[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(cid[hit]), pa.array(score[rows, hit])], names=["qid", "claim_id", "score"])
+
+    return run
+
+
 def bm25(questions: DataFrame, claims: DataFrame, fields: list[str], k: int = 100, exclude_self: bool = True) -> DataFrame:
     """Okapi BM25, k1 1.5, b 0.75; terms in over half of all claims count a quarter of the mean idf. Scores over 0 only, divided by the question's best.
 
-    The postings are stored once, in the shared folder; the questions' terms, copied SALT times, meet them by tenant, term and salt.
+    The postings are stored once, in the shared folder. Blocks of them meet blocks of the questions' weighted terms, on tenant and claim block, so that
+    no pair of question and claim is shuffled: a pair of blocks gives about k rows a question. The work is questions x claims, as in ``vectors.nearest``.
     """
     p = written(postings(claims, fields), "postings")
     size = p.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = corpus_statistics(p).crossJoin(size).withColumn("raw_idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
+    df = written(corpus_statistics(p).crossJoin(size).withColumn("raw_idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")  # size: one row
+    number = _term_key(df)
     mean = df.agg(F.avg("raw_idf").alias("mean_idf"))
-    idf = df.crossJoin(mean).select("term", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"), "avgdl")
+    idf = df.crossJoin(mean).select("term", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
     asked = questions.select("qid", "user_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "user_id", "term").agg(F.count("*").alias("qtf"))
-    # the questions' terms only: the join below keeps no other postings
-    salts = F.array(*(F.lit(i).cast("long") for i in range(SALT)))
-    wanted = asked.join(idf, "term").withColumn("salt", F.explode(salts))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = p.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT))).join(wanted, ["user_id", "term", "salt"])
-    if exclude_self:
-        scored = scored.filter("id <> qid")
-    total = scored.groupBy("qid", F.col("id").alias("claim_id")).agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score")).filter("score > 0")
+    weighted = written(asked.join(idf, "term").select(F.col("qid").alias("id"), "user_id", number(F.col("term")).alias("term"), (F.col("qtf") * F.col("idf")).alias("w")), "weights")
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    c, counts = _dealt(p.crossJoin(size.select("avgdl")).select("user_id", "id", number(F.col("term")).alias("term"), impact.alias("impact")), "id", CLAIM_BLOCK)
+    q, _ = _dealt(weighted, "id", QUESTION_BLOCK)
+    # collected: the rows of one block
+    c = c.groupBy("user_id", "b").agg(F.collect_list(F.struct("id", "term", "impact")).alias("c"))
+    q = q.groupBy("user_id", "b").agg(F.collect_list(F.struct("id", "term", "w")).alias("q")).drop("b")
+    q = q.join(counts, "user_id").select("user_id", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
+    total = q.join(c, ["user_id", "b"]).select("q", "c").mapInArrow(_best_of_blocks(k, exclude_self), "qid long, claim_id long, score double")
     return top_k(total.withColumn("similarity", F.round(F.least(F.lit(1.0), F.col("score") / F.max("score").over(Window.partitionBy("qid"))), 9)), "similarity", k).drop("score")
 
 
-def all_terms(questions: DataFrame, claims: DataFrame, k: int = 50) -> DataFrame:
-    """Claims that hold every term of a question, ranked by field-weighted term counts, scaled from 0 to 1 for each question."""
-    p = None
-    for field, weight in FIELD_WEIGHTS.items():
-        one = claims.select("user_id", "id", F.explode(tokens(F.col(field))).alias("term")).groupBy("user_id", "id", "term").agg((F.count("*") * weight).alias("w"))
-        p = one if p is None else p.unionByName(one)
+def term_weights(claims: DataFrame) -> DataFrame:
+    """(user_id, id, term, w): field-weighted counts of a claim's terms, stored in the shared folder."""
+
+    def fielded(field: str, weight: float) -> Column:
+        return F.transform(tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    counted = F.flatten(F.array(*(fielded(*x) for x in FIELD_WEIGHTS.items())))
+    return written(claims.select("user_id", "id", F.explode(counted).alias("t")).groupBy("user_id", "id", "t.term").agg(F.sum("t.w").alias("w")), "postings")
+
+
+def candidates(questions: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, id, need): the claims under each question's rarest term of the tenant, with its number of terms; and (qid, term) of all terms. A term that no claim has leaves a question without any."""
+    df = p.groupBy("user_id", "term").agg(F.count("*").alias("df"))
     asked = questions.select("qid", "user_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    need = questions.select("qid", F.size(F.array_distinct(tokens(F.col("text")))).alias("need"))
-    found = p.join(asked, ["user_id", "term"]).groupBy("qid", F.col("id").alias("claim_id")).agg(F.count_distinct("term").alias("terms"), F.sum("w").alias("score"))
-    return top_k(min_max(found.join(need, "qid").filter("terms = need"), "score").withColumnRenamed("scaled", "similarity"), "similarity", k).drop("terms", "need", "score")
+    asked = written(asked.join(df, ["user_id", "term"], "left"), "asked")
+    rarest = asked.groupBy("qid", "user_id").agg(F.count("*").alias("need"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("least")).filter("least.df > 0").select("qid", "user_id", "need", F.col("least.term").alias("term"))
+    return rarest.join(p.select("user_id", "term", "id"), ["user_id", "term"]).select("qid", "id", "need"), asked.select("qid", "term")
+
+
+def all_terms(questions: DataFrame, claims: DataFrame, k: int = 50) -> DataFrame:
+    """Claims that hold every term of a question, ranked by field-weighted term counts, scaled from 0 to 1 for each question.
+
+    A claim that holds them all holds the one that the fewest claims of the tenant have: only the claims under that term are looked at.
+    """
+    p = term_weights(claims)
+    under, asked = candidates(questions, p)
+    # rounded: equal sums are equal in any order
+    found = under.join(asked, "qid").join(p.select("id", "term", "w"), ["id", "term"]).groupBy("qid", F.col("id").alias("claim_id"), "need").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 6).alias("score"))
+    return top_k(min_max(found.filter("terms = need"), "score").withColumnRenamed("scaled", "similarity"), "similarity", k).drop("terms", "need", "score")
 
 
 def min_max(rows: DataFrame, score: str) -> DataFrame:

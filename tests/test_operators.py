@@ -260,3 +260,64 @@ def test_hot_tenant_has_a_key_for_each_block(spark, monkeypatch):
     for i, tenant, _ in rows:
         others = sorted((j for j, u, _ in rows if u == tenant and j != i), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))
         assert [got[i, k] for k in (1, 2, 3)] == others[:3]
+
+
+def _lexical_tables(spark, n, seed=3):
+    """Claims of two tenants with frequent and rare words, copies, an empty text; every tenth asks with its whole text."""
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(n)]
+    texts[7:12] = [texts[0]] * 5
+    texts[20] = ""
+    claims = spark.createDataFrame([(i, i % 2, t, rng.choice(["red", "w1"]), "x") for i, t in enumerate(texts)], "id long, user_id long, content string, entity string, value string").withColumn("attribute", F.lit("en"))
+    return claims, claims.filter("id % 10 = 0").select(F.col("id").alias("qid"), "user_id", F.col("content").alias("text"))
+
+
+def test_bm25_shuffles_no_pairs(spark, monkeypatch):
+    """Over many blocks: the rows of a plain loop. Pairs of question and claim are made inside tasks, at most k a question and block."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(retrieve, "CLAIM_BLOCK", 300)
+    monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 100)
+    claims, questions = _lexical_tables(spark, 240)
+    held = {r.id: (r.user_id, Counter(f"{r.content} {r.entity} {r.attribute}".split())) for r in claims.collect()}
+    size = {i: sum(c.values()) for i, (_, c) in held.items()}
+    mean_size, df = sum(size.values()) / len(size), Counter(t for _, c in held.values() for t in c)
+    raw = {t: math.log((len(held) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    idf = {t: r if r >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, r in raw.items()}
+    want = {}
+    for q in questions.collect():
+        score = {i: sum(n * idf[t] * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * size[i] / mean_size)) for t, n in Counter(q.text.split()).items() if t in c) for i, (u, c) in held.items() if u == q.user_id and i != q.qid}
+        best = max(score.values(), default=0)
+        ranked = sorted((-round(min(1.0, s / best), 9), i) for i, s in score.items() if s > 0)
+        want |= {(q.qid, i): (rank, -s) for rank, (s, i) in enumerate(ranked[:7], 1)}
+    hits = retrieve.bm25(questions, claims, ["content", "entity", "attribute"], 7)
+    got = {(r.qid, r.claim_id): (r["rank"], r.similarity) for r in hits.collect()}
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-9 for x in want)
+    assert "MapInArrow" in hits._jdf.queryExecution().toString()
+
+
+def test_all_terms_looks_under_the_rarest_term(spark):
+    from collections import Counter
+
+    claims, questions = _lexical_tables(spark, 240)
+    questions = questions.unionByName(spark.createDataFrame([(1000, 0, "w1"), (1001, 1, "w1 red"), (1002, 1, "w1 nowhere")], questions.schema))
+    rows, want = claims.collect(), {}
+    for q in questions.collect():
+        asked, found = set(q.text.split()), {}
+        for r in rows:
+            w = Counter()
+            for field, weight in retrieve.FIELD_WEIGHTS.items():
+                for t in r[field].split():
+                    w[t] += weight
+            if r.user_id == q.user_id and asked and asked <= w.keys():
+                found[r.id] = sum(w[t] for t in asked)
+        low, high = min(found.values(), default=0), max(found.values(), default=0)
+        want |= {(q.qid, i): round(1.0 if high - low < 1e-12 else (s - low) / (high - low), 6) for i, s in found.items()}
+    got = {(r.qid, r.claim_id): round(r.similarity, 6) for r in retrieve.all_terms(questions, claims, 1000).collect()}
+    assert got == want and len({q for q, _ in got}) > 20
+    pairs = retrieve.candidates(questions.filter("qid >= 1000"), retrieve.term_weights(claims))[0].count()
+    assert pairs < sum(len({"w1", "red"} & set(f"{r.content} {r.entity}".split())) for r in rows)

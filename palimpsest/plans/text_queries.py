@@ -29,14 +29,14 @@ def x1_normalized_turns(spark, sf):
  select category, count(*) as n, count(distinct value) as n_values from (select 'technology' as category, tech as value from k union all select 'version', version from k union all select 'port', port from k union all select 'retraction', old from k union all select 'person', 'Priya' from k union all select 'email', email from k) group by 1""")
 def x3_categorical_extraction(spark, sf):
     """Categories and values of the templated turns, where the right answer is known by construction."""
-    units = op.extracted(v.said(spark, sf)).filter("category not in ('statement', 'url')")
+    units = op.extracted(v.said(spark, sf), statements=False).filter("category not in ('statement', 'url')")
     return units.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
 
 
 @query("said", f"select o_orderkey as turn_no, {_TECHS}[o_orderkey % 6 + 1] as entity, (o_orderkey % 9 + 1) || '.' || (o_custkey % 5) as value, {_TECHS}[o_orderkey % 6 + 1] || ' version is ' || (o_orderkey % 9 + 1) || '.' || (o_custkey % 5) || '.' as content, 0.7::double as importance, 1.0::double as confidence from orders")
 def x3_versions(spark, sf):
     """Versions paired with the technology before them, scored."""
-    units = op.extracted(v.said(spark, sf)).filter("category = 'version'")
+    units = op.extracted(v.said(spark, sf), statements=False).filter("category = 'version'")
     return units.select("turn_no", "entity", "value", "content", "importance", "confidence")
 
 

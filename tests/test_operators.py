@@ -137,6 +137,34 @@ def test_extraction(spark):
     assert got["person", "Priya"].claim_value == "lead"
 
 
+def test_extraction_works_a_turn_out_once(spark):
+    rows = [
+        (1, 1, "User", "We use Redis 7.2. The API runs on redis 7.2 and port 80 in Zurich-West since 2021, says Ann.", DAY),
+        (1, 2, None, "Spring Boot replaced Spring and we no longer use PostgreSQL in node.js; mail a.b@c.org", DAY),
+        (1, 2, "user", "We use node.js and Kafka 3.1 now.", DAY),
+        (None, 3, "user", "We use Redis and Redis on port 6379 in production.", DAY),
+        (None, 3, "user", "We use redis.", DAY),
+        (1, 4, "user", " ", DAY),
+    ]
+    t = spark.createDataFrame(rows, "conv_id long, turn_no long, role string, text string, ts timestamp")
+    out = extract.extracted(t)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Aggregate") == 1
+    got = sorted((r.turn_no, r.category, r.value) for r in out.filter("category in ('technology', 'version', 'port', 'retraction', 'email')").collect())
+    assert got == [
+        (1, "port", "80"), (1, "technology", "Redis"), (1, "version", "7.2"), (2, "email", "a.b@c.org"), (2, "retraction", "PostgreSQL"), (2, "retraction", "Spring"), (2, "technology", "Kafka"),
+        (2, "technology", "Node.js"), (2, "technology", "Spring Boot"), (2, "version", "3.1"), (3, "port", "6379"), (3, "technology", "Redis"),
+    ]
+    only = extract.extracted(t, statements=False)
+    assert sorted(only.collect(), key=str) == sorted(out.filter("category <> 'statement'").collect(), key=str)
+
+
+def test_every_technology_is_found_whole(spark):
+    said = [x for t in extract.TECHNOLOGIES if t[-1].isalnum() for x in (t, t.upper(), f"x {t.lower()}")]
+    got = spark.createDataFrame([(x,) for x in said], "text string").select("text", extract.tx.find_all(F.col("text"), extract.TECHNOLOGY, 1).alias("found")).collect()
+    assert all(r.found == [r.text.removeprefix("x ")] for r in got)
+
+
 def test_chunks_keep_words_and_sizes(spark):
     long = " ".join(f"Sentence number {i} is here." for i in range(40))
     one = "word " * 500

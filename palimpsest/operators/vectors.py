@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 2048
+#: Questions whose similarities to a block of claims are held at once.
+SLICE = 256
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -32,26 +34,29 @@ def unit(column) -> np.ndarray:
 def products(k: int, floor: float):
     """For mapInArrow over rows (q, c) of question and claim blocks: each question's k best claims of the block."""
 
+    def best(qid, q, at, cid, c, lo, hi) -> pa.RecordBatch:
+        # rounded, as products of equal vectors may differ in their last bits
+        sim = np.round(np.clip(q @ c.T, -1, 1), 12)
+        sim[(sim < floor) | (qid[:, None] == cid[None, :]) | (lo[None, :] > at[:, None]) | (hi[None, :] <= at[:, None])] = -np.inf
+        take = min(k, sim.shape[1])
+        last = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take, None]
+        above, level = sim > last, sim == last
+        rows, top = np.nonzero(above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= take - above.sum(axis=1, keepdims=True))))
+        value, hit = sim[rows, top], cid[top]
+        good = np.isfinite(value)
+        return pa.RecordBatch.from_arrays([pa.array(qid[rows][good]), pa.array(hit[good]), pa.array(value[good])], names=["qid", "claim_id", "similarity"])
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one, two = batch.column("q")[i].values, batch.column("c")[i].values
-                # rounded, as products of equal vectors may differ in their last bits
-                sim = np.round(np.clip(unit(one.field("vector")) @ unit(two.field("embedding")).T, -1, 1), 12)
-                qid, cid = one.field("id").to_numpy(), two.field("id").to_numpy()
-                at = one.field("at").to_numpy()[:, None]
-                ok = (sim >= floor) & (qid[:, None] != cid[None, :]) & (two.field("lo").to_numpy()[None, :] <= at) & (two.field("hi").to_numpy()[None, :] > at)
-                sim = np.where(ok, sim, -np.inf)
-                # columns in order of id: of equal values at the k-th place, the smallest ids stay
+                cid = two.field("id").to_numpy()
+                # in order of id: of equal values at the k-th place, the smallest ids stay
                 order = np.argsort(cid, kind="stable")
-                sim, cid = sim[:, order], cid[order]
-                take = min(k, sim.shape[1])
-                last = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take, None]
-                above, level = sim > last, sim == last
-                rows, top = np.nonzero(above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= take - above.sum(axis=1, keepdims=True))))
-                value, hit = sim[rows, top], cid[top]
-                good = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows][good]), pa.array(hit[good]), pa.array(value[good])], names=["qid", "claim_id", "similarity"])
+                side = [x[order] for x in (cid, unit(two.field("embedding")), two.field("lo").to_numpy(), two.field("hi").to_numpy())]
+                for start in range(0, len(one), SLICE):
+                    some = one.slice(start, SLICE)
+                    yield best(some.field("id").to_numpy(), unit(some.field("vector")), some.field("at").to_numpy(), *side)
 
     return run
 

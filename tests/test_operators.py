@@ -274,6 +274,29 @@ def test_containing_equals_all_pairs(spark):
     assert got == sorted((q, i) for q, needle in enumerate(needles) for i, text in enumerate(texts) if text is not None and needle in text)
 
 
+def test_similarities_are_held_a_slice_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from palimpsest.operators import vectors
+
+    n, rng = 2048, np.random.default_rng(3)
+    points = rng.normal(size=(n, 8))
+    side = lambda name, rest: pa.array([[{"id": i, name: points[i].tolist(), **rest} for i in range(n)]])
+    batch = pa.RecordBatch.from_arrays([side("vector", {"at": 0}), side("embedding", {"lo": 0, "hi": 1})], names=["q", "c"])
+    tracemalloc.start()
+    got = [r for out in vectors.products(4, -1.0)([batch]) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all similarities of the two blocks at once are 32 MB, and several such arrays are needed
+    assert len(got) == 4 * n and peak < 48 << 20
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    for i in (0, 255, 256, 2047):
+        order = [j for j in np.argsort(-(unit @ unit[i])) if j != i][:4]
+        assert sorted(r["claim_id"] for r in got if r["qid"] == i) == sorted(order)
+
+
 def test_hot_tenant_has_a_key_for_each_block(spark, monkeypatch):
     from palimpsest.operators import vectors
 

@@ -203,10 +203,53 @@ def fused(legs: list[DataFrame], k: int, rank_base: int = 1, rrf_k: int = RRF_K)
     return top_k(total.select("qid", "claim_id", F.round("scaled", 9).alias("similarity")), "similarity", k)
 
 
+def block_pairs(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], n: int, pairs: int = 1 << 21):
+    """Arrays (row of one, row of two), each pair that shares a term once, some at a time; one, two: (row, term number), n: rows of two."""
+    order = np.lexsort(one[::-1])
+    row_q, term_q = (x[order] for x in one)
+    order = np.argsort(two[1], kind="stable")
+    row_c, term_c = (x[order] for x in two)
+    start = np.searchsorted(term_c, term_q)
+    found = np.searchsorted(term_c, term_q, "right") - start
+    row_q, start, found = (x[found > 0] for x in (row_q, start, found))
+    # a question's terms stay together; they have no more postings than the block
+    total = np.cumsum(found)
+    last = np.searchsorted(row_q, row_q, "right") - 1
+    run = total[last] // pairs
+    for at, end in zip(*(np.searchsorted(run, np.unique(run), side) for side in ("left", "right")), strict=True):
+        hit = np.unique(np.repeat(row_q[at:end], found[at:end]) * n + row_c[_spread(start[at:end], found[at:end])])
+        yield hit // n, hit % n
+
+
+def _pairs_of_blocks(batches):
+    """For mapInArrow over rows (q, c) of question and claim blocks: (qid, claim_id) that share a term."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            q, c = batch.column("q")[i].values, batch.column("c")[i].values
+            (qid, row_q), (cid, row_c) = (np.unique(x.field("id").to_numpy(), return_inverse=True) for x in (q, c))
+            for left, right in block_pairs((row_q, q.field("term").to_numpy()), (row_c, c.field("term").to_numpy()), len(cid)):
+                yield pa.RecordBatch.from_arrays([pa.array(qid[left]), pa.array(cid[right])], names=["qid", "claim_id"])
+
+
 def entity_lookup(questions: DataFrame, entity_postings: DataFrame) -> DataFrame:
-    """(qid, claim_id) of claims indexed under an entity or date that the question names."""
-    named = questions.select("qid", F.explode(F.array_union(tx.extract_entities(F.col("text")), tx.extract_dates(F.col("text")))).alias("entity"))
-    return named.join(entity_postings, "entity").select("qid", F.col("id").alias("claim_id")).distinct()
+    """(qid, claim_id) of claims indexed under an entity or date that the question names.
+
+    Blocks of names meet blocks of postings in tasks, as in ``bm25``: a pair lies in one pair of blocks, so that no pair is shuffled and no name is one key.
+    """
+    named = written(questions.select(F.col("qid").alias("id"), F.explode(F.array_union(tx.extract_entities(F.col("text")), tx.extract_dates(F.col("text")))).alias("term")), "named")
+    terms = named.select("term").distinct()
+    p = written(entity_postings.select("id", F.col("entity").alias("term")).join(terms, "term", "left_semi"), "postings")
+    number = _term_key(terms)
+
+    def blocks(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame]:
+        n = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).alias("n"))  # one row
+        dealt = rows.crossJoin(n).select(F.pmod(F.xxhash64("id"), F.col("n")).alias("b"), "id", number(F.col("term")).alias("term"))
+        # collected: the rows of one block
+        return dealt.groupBy("b").agg(F.collect_list(F.struct("id", "term")).alias(name)), n
+
+    c, n = blocks(p, CLAIM_BLOCK, "c")
+    q = blocks(named, QUESTION_BLOCK, "q")[0].crossJoin(n).select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
+    return q.join(c, "b").select("q", "c").mapInArrow(_pairs_of_blocks, "qid long, claim_id long")
 
 
 def entity_postings(claims: DataFrame, entity: str = "entity", content: str = "content") -> DataFrame:

@@ -274,6 +274,35 @@ def test_containing_equals_all_pairs(spark):
     assert got == sorted((q, i) for q, needle in enumerate(needles) for i, text in enumerate(texts) if text is not None and needle in text)
 
 
+def test_entity_lookup_has_no_key_for_a_name(spark, monkeypatch):
+    from palimpsest.operators import retrieve
+
+    names = ["Alba", "Bern", "Cadiz", "Delft"]
+    claims = spark.createDataFrame([(i, None if i % 9 else "Ghent", f"in {names[i % 2]} and {names[i % 4]} or {names[i % 3]}") for i in range(200)], "id long, entity string, content string")
+    asked = spark.createDataFrame([(i, f"of {names[i % 4]}, of {names[(i + i // 4) % 4]} on Friday or in Ghent" if i % 5 else "nothing") for i in range(30)], "qid long, text string")
+    index = retrieve.entity_postings(claims).persist()
+    monkeypatch.setattr(retrieve, "CLAIM_BLOCK", 50)
+    monkeypatch.setattr(retrieve, "QUESTION_BLOCK", 20)
+    found = retrieve.entity_lookup(asked, index)
+    under = {}
+    for r in index.collect():
+        under.setdefault(r.entity, set()).add(r.id)
+    named = {r.qid: r.e for r in asked.select("qid", retrieve.tx.extract_entities(F.col("text")).alias("e")).collect()}
+    want = sorted((q, i) for q, es in named.items() for i in set().union(*(under.get(e, set()) for e in es)))
+    assert sorted((r.qid, r.claim_id) for r in found.collect()) == want and len(want) > 1000
+    assert "Aggregate [qid" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_blocks_come_in_parts():
+    from palimpsest.operators import retrieve
+
+    rng = np.random.default_rng(9)
+    one, two = (rng.integers(0, 40, 300), rng.integers(0, 30, 300)), (rng.integers(0, 50, 400), rng.integers(0, 30, 400))
+    want = sorted({(int(a), int(b)) for a, s in zip(*one, strict=True) for b, t in zip(*two, strict=True) if s == t})
+    parts = [list(zip(left.tolist(), right.tolist(), strict=True)) for left, right in retrieve.block_pairs(one, two, 50, 500)]
+    assert sorted(x for part in parts for x in part) == want and len(parts) > 3
+
+
 def test_similarities_are_held_a_slice_at_a_time():
     import tracemalloc
 

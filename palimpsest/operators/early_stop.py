@@ -1,14 +1,14 @@
 """BM25 that stops early and gives the rows of the full search.
 
-A posting is worth its question weight times its impact, and the impact doesn't depend on the question. A posting list is
-cut into blocks of like impact (no list is sorted), and a directory keeps each block's size and largest impact.
+A posting is worth its question weight times its impact, and the impact doesn't depend on the question.
 
-1. The blocks of a question's largest possible contributions are read until they hold SEEDS * k postings. The best 2k claims
-   of these are scored in full; the score of the k-th is the threshold.
-2. Terms whose largest contributions together stay under the threshold can't lift a claim to it by themselves: their lists
-   aren't read. Of the other lists, blocks are left out whose best claim would miss the threshold with the most of all other terms.
-3. What was read raises the threshold: the k-th largest sum is a lower bound of the k-th score. Claims whose sum and the most of
-   the unread terms reach it are looked up by id for those terms.
+1. Posting lists are cut into levels of like impact (no list is sorted). The levels of a question's largest possible contributions are read until
+   they hold SEEDS * k postings. The best 2k claims of these are scored in full; the score of the k-th is the threshold.
+2. Blocks of postings meet blocks of the questions' weighted terms on tenant and claim block, as in ``retrieve.bm25``, so that no pair of question and
+   claim is shuffled. In a pair of blocks, terms whose largest contributions in the block together stay under the threshold can't lift a claim to it by
+   themselves: their lists aren't read. Of the other lists, in order of impact, only the beginning is read that can reach the threshold with the most of all other terms.
+3. What was read raises the threshold: the k-th largest sum of the block is a lower bound of the k-th score. Claims whose sum and the most of
+   the unread terms reach it are looked up for those terms, or these lists are read after all if they are shorter than the lookups.
 
 Every claim that reaches the threshold has its whole score, and k of them exist, so the k best are those of the full search,
 ties included (the threshold is lowered by more than the rounding of a similarity). Questions with fewer than k seeds, or with
@@ -17,19 +17,26 @@ a threshold of 0 or less, read their whole lists. Terms of a weight of 0 or less
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shared import written
-from .retrieve import B, EPSILON, K1, postings, tokens, top_k
+from . import retrieve
+from .retrieve import B, EPSILON, K1, _dealt, _spread, _term_key, postings, tokens, top_k
 
-#: Blocks of impact: an impact lies between 0 and K1 + 1.
+#: Levels of impact: an impact lies between 0 and K1 + 1.
 LEVELS = 64
 #: How many postings are read for the first threshold, for each wanted hit. It changes the work, not the rows.
 SEEDS = 4
 #: Relative to a question's largest possible score: similarities are rounded to nine places.
 SLACK = 4e-9
+#: Relative to the largest impact: impacts are compared within lists after a list's number was added.
+NEAR = 1e-9
+#: Sums of questions and claims that a task holds at once.
+CELLS = 1 << 22
 
 
 def table(claims: DataFrame, fields: list[str]) -> tuple[DataFrame, int]:
@@ -60,46 +67,161 @@ def _looked_up(p: DataFrame, wanted: DataFrame, terms: DataFrame) -> DataFrame:
     return p.join(wanted.select("qid", "user_id", "id"), ["user_id", "id"]).join(terms.select("qid", "term", "w"), ["qid", "term"]).select("qid", "user_id", "id", "term", (F.col("w") * F.col("impact")).alias("gain"))
 
 
+class Lists:
+    """The postings of a claim block: (row, term number, impact) by term, the largest impacts first."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, impact: np.ndarray):
+        order = np.lexsort((-impact, term))
+        self.row, self.impact = row[order], impact[order]
+        self.terms, self.start, self.n = np.unique(term[order], return_index=True, return_counts=True)
+        place = np.repeat(np.arange(len(self.terms)), self.n)
+        self.falling = place * 4.0 + (K1 + 1 - self.impact)
+        cell = self.row * len(self.terms) + place
+        self.by_cell = np.argsort(cell)
+        self.cells = cell[self.by_cell]
+
+    def of(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists' numbers, and whether there are such."""
+        at = np.minimum(np.searchsorted(self.terms, term), max(len(self.terms) - 1, 0))
+        return at, self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
+
+    def beginning(self, at: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """How many postings of each list have an impact of at least ``least``."""
+        last = np.searchsorted(self.falling, at * 4.0 + (K1 + 1 - np.clip(least - NEAR, 0, K1 + 1)), "right")
+        return np.clip(last - self.start[at], 0, self.n[at])
+
+    def held(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The impacts of rows in lists, 0 where there is no posting."""
+        cell = row * len(self.terms) + at
+        found = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[found] == cell, self.impact[self.by_cell[found]], 0.0)
+
+
+def _runs(sizes: np.ndarray, most: int):
+    """Ranges (from, to) of items that have about ``most`` together."""
+    run = np.cumsum(sizes) // most
+    return zip(*(np.searchsorted(run, np.unique(run), side) for side in ("left", "right")), strict=True)
+
+
+def block_search(row: np.ndarray, term: np.ndarray, w: np.ndarray, theta: np.ndarray, own: np.ndarray, lists: Lists, n_claims: int, k: int, pairs: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of questions x claims, 0 where a claim can't reach its question's threshold; and of each weighted term (row, term, w), how many postings were listed and looked up.
+
+    theta: the questions' thresholds, 0 without one; own: the claim's row that is the question itself, or -1.
+    """
+    shape = (len(theta), n_claims)
+    listed, looked_up = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    slack = SLACK * (K1 + 1) * np.bincount(row, np.maximum(w, 0), len(theta))
+    bar = np.maximum(theta - slack, 0)
+    at, there = lists.of(term)
+    e = np.nonzero(there)[0]
+    most = np.maximum(0, w[e] * lists.impact[lists.start[at[e]]])
+    order = np.lexsort((most, row[e]))
+    e, most = e[order], most[order]
+    r, at, v = row[e], at[e], w[e]
+    all_most = np.bincount(r, most, len(theta))
+    first = np.concatenate([[0.0], np.cumsum(most)])[np.searchsorted(r, r)]
+    essential = (v > 0) & (np.cumsum(most) - first >= bar[r])
+    part = np.zeros(shape)
+
+    def read(some: np.ndarray, n: np.ndarray) -> None:
+        listed[e[some]] += n
+        for i, j in _runs(n, pairs):
+            x, times = some[i:j], n[i:j]
+            cells = _spread(lists.start[at[x]], times)
+            part.reshape(-1)[:] += np.bincount(np.repeat(r[x], times) * n_claims + lists.row[cells], np.repeat(v[x], times) * lists.impact[cells], part.size)
+
+    some = np.nonzero(essential)[0]
+    read(some, lists.beginning(at[some], (bar - all_most)[r[some]] / v[some] + most[some] / v[some]))
+    itself = np.nonzero(own >= 0)[0]
+    part[itself, own[itself]] = 0
+
+    # a term of negative weight takes away from a sum, so that it is no lower bound
+    rest = np.bincount(r[~essential], most[~essential], len(theta))
+    if n_claims >= k:
+        risen = np.partition(part, n_claims - k, axis=1)[:, n_claims - k] - slack
+        bar = np.maximum(bar, np.where(np.bincount(row, w < 0, len(theta)) == 0, risen, 0))
+    left = (part > 0) & (part + rest[:, None] >= bar[:, None])
+    n_left = left.sum(axis=1)
+    more = np.nonzero(~essential & (n_left[r] > 0))[0]
+    lookups, length = np.bincount(r[more], n_left[r[more]], len(theta)), np.bincount(r[more], lists.n[at[more]], len(theta))
+    by_list = (lookups > length)[r[more]]
+    read(more[by_list], lists.n[at[more[by_list]]])
+    more = more[~by_list]
+    q, c = np.nonzero(left)
+    begin = np.searchsorted(q, r[more])
+    times = n_left[r[more]]
+    for i, j in _runs(times, pairs):
+        x, n = more[i:j], times[i:j]
+        claim = c[_spread(begin[i:j], n)]
+        impact = lists.held(claim, np.repeat(at[x], n))
+        np.add.at(looked_up, e[np.repeat(x, n)[impact > 0]], 1)
+        part.reshape(-1)[:] += np.bincount(np.repeat(r[x], n) * n_claims + claim, np.repeat(v[x], n) * impact, part.size)
+    part[~left | (part < bar[:, None])] = 0
+    return np.maximum(part, 0), listed, looked_up
+
+
+def _searched(k: int, exclude_self: bool, counted: bool):
+    """For mapInArrow over rows (q, c) of question and claim blocks: (qid, claim_id, score) of each question's k best, and of what rounding may put among them; or what was read (qid, term, listed, looked_up)."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, c = batch.column("q")[i].values, batch.column("c")[i].values
+                (qid, row), (cid, row_c) = (np.unique(x.field("id").to_numpy(), return_inverse=True) for x in (q, c))
+                order = np.argsort(row, kind="stable")
+                row, term, w, bars = (x[order] for x in (row, q.field("term").to_numpy(), q.field("w").to_numpy(), q.field("theta").to_numpy()))
+                lists = Lists(row_c, c.field("term").to_numpy(), c.field("impact").to_numpy())
+                same = np.minimum(np.searchsorted(cid, qid), len(cid) - 1)
+                own = np.where((cid[same] == qid) & exclude_self, same, -1)
+                step = max(1, CELLS // len(cid))
+                for at in range(0, len(qid), step):
+                    few, some = qid[at : at + step], slice(*np.searchsorted(row, (at, at + step)))
+                    theta = np.zeros(len(few))
+                    theta[row[some] - at] = bars[some]
+                    score, listed, looked_up = block_search(row[some] - at, term[some], w[some], theta, own[at : at + step], lists, len(cid), k)
+                    if counted:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid[row[some]], term[some], listed, looked_up)], names=["qid", "term", "listed", "looked_up"])
+                        continue
+                    slack = SLACK * (K1 + 1) * np.bincount(row[some] - at, np.maximum(w[some], 0), len(few))
+                    take = min(k, len(cid))
+                    last = np.partition(score, len(cid) - take, axis=1)[:, len(cid) - take]
+                    rows, hit = np.nonzero((score > 0) & (score >= (last - slack)[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(few[rows]), pa.array(cid[hit]), pa.array(score[rows, hit])], names=["qid", "claim_id", "score"])
+
+    return run
+
+
 def stages(questions: DataFrame, claims: DataFrame, fields: list[str], k: int = 100, exclude_self: bool = True) -> tuple[DataFrame, DataFrame]:
-    """hits (qid, claim_id, similarity, rank), and reads (qid, term, df, listed, looked_up): how many of a list's postings were read, and how."""
+    """hits (qid, claim_id, similarity, rank), and reads (qid, term, df, listed, looked_up): how many of a list's postings were read after the threshold, and how."""
     p, n = table(claims, fields)
-    blocks = written(p.groupBy("user_id", "term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("top")), "blocks")
-    w = written(weights(questions, blocks, n), "weights")
+    levels = written(p.groupBy("user_id", "term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("top")), "levels")
+    w = written(weights(questions, levels, n), "weights")
     own = F.col("id") == F.col("qid") if exclude_self else F.lit(False)
-    read = lambda some: p.join(some.select("qid", "user_id", "term", "level", "w"), ["user_id", "term", "level"]).filter(~own)
 
-    # what a block can give at most; terms without a posting for the question's tenant give nothing
-    best = Window.partitionBy("qid", "term")
-    b = w.join(blocks, ["user_id", "term"]).withColumn("most", F.greatest(F.lit(0.0), F.col("w") * F.col("top"))).withColumn("term_most", F.max("most").over(best))
+    # what a level can give at most; terms without a posting for the question's tenant give nothing
+    b = w.filter("w > 0").join(levels, ["user_id", "term"]).withColumn("most", F.col("w") * F.col("top"))
     before = Window.partitionBy("qid").orderBy(F.desc("most"), "term", "level").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = b.filter("w > 0").withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("ahead") < SEEDS * k)
-    partial = read(seeds).groupBy("qid", "user_id", "id").agg(F.sum(F.col("w") * F.col("impact")).alias("part"))
-    first = top_k(partial, "part", 2 * k, "id")
-    full = _looked_up(p, first, w).groupBy("qid", "id").agg(F.sum("gain").alias("score"))
-    threshold = written(_kth(full, "score", k, "theta").filter("theta > 0"), "threshold")
-
-    # terms by what they can give, the least first, with what they and all lesser ones can give together
-    terms = b.groupBy("qid", "user_id", "term").agg(F.first("w").alias("w"), F.first("term_most").alias("term_most"), F.sum("n").alias("df"))
-    rising = Window.partitionBy("qid").orderBy("term_most", "term")
-    terms = terms.withColumn("together", F.sum("term_most").over(rising)).withColumn("all_most", F.sum("term_most").over(Window.partitionBy("qid"))).join(threshold, "qid", "left")
-    bar = F.coalesce(F.col("theta") - SLACK * F.col("all_most"), F.lit(0.0))
-    terms = written(terms.withColumn("bar", bar).withColumn("essential", (F.col("w") > 0) & (F.col("together") >= F.col("bar"))), "terms")
-    needed = b.join(terms.filter("essential").select("qid", "term", "all_most", "bar"), ["qid", "term"]).filter(F.col("most") + F.col("all_most") - F.col("term_most") >= F.col("bar"))
-    listed = written(read(needed).groupBy("qid", "user_id", "id").agg(F.sum(F.col("w") * F.col("impact")).alias("part")), "listed")
-
-    # a term of negative weight takes away from a sum, so that it is no lower bound
-    others = terms.groupBy("qid").agg(F.sum(F.when(~F.col("essential"), F.col("term_most")).otherwise(0.0)).alias("rest"), F.min("w").alias("least"), F.first("bar").alias("bar"), F.first("all_most").alias("all_most"))
-    second = _kth(listed, "part", k, "risen")
-    risen = others.join(second, "qid", "left").select("qid", "rest", F.greatest("bar", F.when(F.col("least") >= 0, F.col("risen") - SLACK * F.col("all_most"))).alias("bar"))
-    left = written(listed.join(risen, "qid").filter(F.col("part") + F.col("rest") >= F.col("bar")).select("qid", "user_id", "id", "part"), "left")
-    more = _looked_up(p, left, terms.filter("not essential"))
-    total = left.select("qid", "id", F.col("part").alias("gain")).unionByName(more.select("qid", "id", "gain")).groupBy("qid", "id").agg(F.sum("gain").alias("score")).filter("score > 0")
+    seeds = b.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("ahead") < SEEDS * k)
+    partial = p.join(seeds.select("qid", "user_id", "term", "level", "w"), ["user_id", "term", "level"]).filter(~own).groupBy("qid", "user_id", "id").agg(F.sum(F.col("w") * F.col("impact")).alias("part"))
+    full = _looked_up(p, top_k(partial, "part", 2 * k, "id"), w).groupBy("qid", "id").agg(F.sum("gain").alias("score"))
+    threshold = _kth(full, "score", k, "theta").filter("theta > 0")
+
+    number = _term_key(levels.groupBy("term").agg(F.sum("n").alias("df")))
+    weighted = written(w.join(threshold, "qid", "left").select(F.col("qid").alias("id"), "user_id", number(F.col("term")).alias("term"), "w", F.coalesce("theta", F.lit(0.0)).alias("theta")), "weighted")
+    c, counts = _dealt(p.select("user_id", "id", number(F.col("term")).alias("term"), "impact"), "id", retrieve.CLAIM_BLOCK)
+    q, _ = _dealt(weighted, "id", retrieve.QUESTION_BLOCK)
+    # collected: the rows of one block
+    c = c.groupBy("user_id", "b").agg(F.collect_list(F.struct("id", "term", "impact")).alias("c"))
+    q = q.groupBy("user_id", "b").agg(F.collect_list(F.struct("id", "term", "w", "theta")).alias("q")).drop("b")
+    q = q.join(counts, "user_id").select("user_id", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
+    blocks = q.join(c, ["user_id", "b"]).select("q", "c")
+    total = blocks.mapInArrow(_searched(k, exclude_self, False), "qid long, claim_id long, score double")
     similarity = F.round(F.least(F.lit(1.0), F.col("score") / F.max("score").over(Window.partitionBy("qid"))), 9)
-    hits = top_k(total.select("qid", F.col("id").alias("claim_id"), similarity.alias("similarity")), "similarity", k)
+    hits = top_k(total.withColumn("similarity", similarity), "similarity", k).drop("score")
 
-    by_list = needed.groupBy("qid", "term").agg(F.sum("n").alias("listed"))
-    by_id = more.groupBy("qid", "term").agg(F.count("*").alias("looked_up"))
-    reads = terms.select("qid", "term", "df").join(by_list, ["qid", "term"], "left").join(by_id, ["qid", "term"], "left").na.fill(0, ["listed", "looked_up"])
+    read = blocks.mapInArrow(_searched(k, exclude_self, True), "qid long, number long, listed long, looked_up long").groupBy("qid", "number").agg(F.sum("listed").alias("listed"), F.sum("looked_up").alias("looked_up"))
+    df = w.join(levels, ["user_id", "term"]).groupBy("qid", "term").agg(F.sum("n").alias("df"))
+    reads = df.withColumn("number", number(F.col("term"))).join(read, ["qid", "number"]).select("qid", "term", "df", "listed", "looked_up")
     return hits, reads
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,34 @@ def test_whole_texts_of_the_given_table(spark):
     p = v.passages(spark, "/root/testdata/sf0.001")
     q = v.questions(p)
     assert rows(es.bm25(q, p, ["content", "entity", "attribute"], 10)) == rows(rt.bm25(q, p, ["content", "entity", "attribute"], 10))
+
+
+@pytest.mark.parametrize(("seed", "n", "words", "repeat", "k"), [(7, 300, 200, 1, 5), (8, 60, 12, 2, 3), (9, 12, 6, 5, 40)])
+def test_blocks_meet_in_tasks(spark, monkeypatch, seed, n, words, repeat, k):
+    """Over many blocks and slices: the rows of the full search. Pairs of question and claim are made inside tasks, not by a shuffle."""
+    monkeypatch.setattr(rt, "CLAIM_BLOCK", 150)
+    monkeypatch.setattr(rt, "QUESTION_BLOCK", 60)
+    claims = corpus(spark, seed, n, words, repeat)
+    questions = asked(claims, 7)
+    hits = es.bm25(questions, claims, FIELDS, k)
+    assert "MapInArrow" in hits._jdf.queryExecution().toString()
+    assert rows(hits) == rows(rt.bm25(questions, claims, FIELDS, k))
+
+
+def test_slices_of_a_block():
+    """A question's scores that reach its threshold don't depend on the other questions held with it; a short list is read instead of many lookups."""
+    rng = np.random.default_rng(10)
+    n_q, n_c, terms = 9, 50, 30
+    held = rng.random((n_c, terms)) * (rng.random((n_c, terms)) < 0.3)
+    w = np.where(rng.random((n_q, terms)) < 0.5, rng.random((n_q, terms)), 0) - 0.02 * (rng.random((n_q, terms)) < 0.1)
+    full = w @ held.T
+    row, term = np.nonzero(w)
+    lists = es.Lists(*np.nonzero(held), held[held > 0])
+    for theta in (np.zeros(n_q), np.sort(full, axis=1)[:, -5]):
+        score, listed, looked_up = es.block_search(row, term, w[row, term], theta, np.full(n_q, -1), lists, n_c, 5, pairs=37)
+        best = full >= np.sort(full, axis=1)[:, -5:-4]
+        assert np.allclose(score[best & (full > 0)], full[best & (full > 0)]) and (listed + looked_up <= lists.n[np.searchsorted(lists.terms, term)]).all()
+        for q in range(n_q):
+            some = row == q
+            alone = es.block_search(row[some] - q, term[some], w[row, term][some], theta[q : q + 1], np.array([-1]), lists, n_c, 5)
+            assert np.allclose(alone[0][0], score[q]) and (alone[1] == listed[some]).all() and (alone[2] == looked_up[some]).all()

@@ -14,11 +14,6 @@ from .scans import running_sum
 ANCHOR_WORDS = 8
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value worked out once, also for what a lambda in it does for each element."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _shared(one: Column, two: Column, once: bool) -> Column:
     """How many elements of two are in one; with ``once``, an element of one stands for one of two only. A merge of both in order, linear in their sizes."""
     start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("n"))
@@ -33,15 +28,15 @@ def _shared(one: Column, two: Column, once: bool) -> Column:
 
         return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(a) + F.size(b), F.lit(1))), start, step)["n"])
 
-    return _let(F.struct(F.array_sort(one).alias("a"), F.array_sort(two).alias("b")), lambda t: merged(t["a"], t["b"]))
+    return tx.let(F.struct(F.array_sort(one).alias("a"), F.array_sort(two).alias("b")), lambda t: merged(t["a"], t["b"]))
 
 
 def _f1(overlap: Column, n: Column, m: Column) -> Column:
-    return _let(overlap, lambda o: F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | (o == 0), 0.0).otherwise(2 * o / (n + m)))
+    return tx.let(overlap, lambda o: F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | (o == 0), 0.0).otherwise(2 * o / (n + m)))
 
 
 def _of_tokens(tokens: Callable[[Column], Column], pred: Column, gold: Column, then: Callable[[Column, Column], Column]) -> Column:
-    return _let(F.struct(tokens(pred).alias("p"), tokens(gold).alias("g")), lambda t: then(t["p"], t["g"]))
+    return tx.let(F.struct(tokens(pred).alias("p"), tokens(gold).alias("g")), lambda t: then(t["p"], t["g"]))
 
 
 def context_recall(context: Column, gold: Column) -> Column:

@@ -35,8 +35,6 @@ SEEDS = 4
 SLACK = 4e-9
 #: Relative to the largest impact: impacts are compared within lists after a list's number was added.
 NEAR = 1e-9
-#: Sums of questions and claims that a task holds at once.
-CELLS = 1 << 22
 
 
 def table(claims: DataFrame, fields: list[str]) -> tuple[DataFrame, int]:
@@ -173,7 +171,7 @@ def _searched(k: int, exclude_self: bool, counted: bool):
                 lists = Lists(row_c, c.field("term").to_numpy(), c.field("impact").to_numpy())
                 same = np.minimum(np.searchsorted(cid, qid), len(cid) - 1)
                 own = np.where((cid[same] == qid) & exclude_self, same, -1)
-                step = max(1, CELLS // len(cid))
+                step = max(1, retrieve.CELLS // len(cid))
                 for at in range(0, len(qid), step):
                     few, some = qid[at : at + step], slice(*np.searchsorted(row, (at, at + step)))
                     theta = np.zeros(len(few))

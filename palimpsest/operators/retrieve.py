@@ -18,6 +18,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 #: Postings of a claim block, and weighted terms of a question block.
 CLAIM_BLOCK, QUESTION_BLOCK = 1 << 18, 1 << 17
+#: Sums of questions and claims that a task holds at once.
+CELLS = 1 << 22
 HELPER_SOURCES = ["message-window", "entity-synthesis"]
 FIELD_WEIGHTS = {"content": 1.0, "entity": 0.4, "value": 0.4, "attribute": 0.2}
 
@@ -102,16 +104,20 @@ def _best_of_blocks(k: int, exclude_self: bool):
             for i in range(batch.num_rows):
                 q, c = batch.column("q")[i].values, batch.column("c")[i].values
                 (qid, row_q), (cid, row_c) = (np.unique(x.field("id").to_numpy(), return_inverse=True) for x in (q, c))
-                w = q.field("w").to_numpy()
-                score = block_scores((row_q, q.field("term").to_numpy(), w), (row_c, c.field("term").to_numpy(), c.field("impact").to_numpy()), (len(qid), len(cid)))
-                if exclude_self:
-                    score[qid[:, None] == cid[None, :]] = 0
-                # no score is above this, and similarities are rounded to nine places of a question's best
-                slack = 2e-9 * (K1 + 1) * np.bincount(row_q, np.maximum(w, 0), len(qid))
-                take = min(k, len(cid))
-                last = np.partition(score, len(cid) - take, axis=1)[:, len(cid) - take]
-                rows, hit = np.nonzero((score > 0) & (score >= (last - slack)[:, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(cid[hit]), pa.array(score[rows, hit])], names=["qid", "claim_id", "score"])
+                order = np.argsort(row_q, kind="stable")
+                row_q, term, w = (x[order] for x in (row_q, q.field("term").to_numpy(), q.field("w").to_numpy()))
+                held = (row_c, c.field("term").to_numpy(), c.field("impact").to_numpy())
+                take, step = min(k, len(cid)), max(1, CELLS // len(cid))
+                for at in range(0, len(qid), step):
+                    few, some = qid[at : at + step], slice(*np.searchsorted(row_q, (at, at + step)))
+                    score = block_scores((row_q[some] - at, term[some], w[some]), held, (len(few), len(cid)))
+                    if exclude_self:
+                        score[few[:, None] == cid[None, :]] = 0
+                    # no score is above this, and similarities are rounded to nine places of a question's best
+                    slack = 2e-9 * (K1 + 1) * np.bincount(row_q[some] - at, np.maximum(w[some], 0), len(few))
+                    last = np.partition(score, len(cid) - take, axis=1)[:, len(cid) - take]
+                    rows, hit = np.nonzero((score > 0) & (score >= (last - slack)[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(few[rows]), pa.array(cid[hit]), pa.array(score[rows, hit])], names=["qid", "claim_id", "score"])
 
     return run
 

@@ -422,3 +422,21 @@ def test_answer_scores_of_long_texts(spark):
         f1 = lambda both, n, m: 1.0 if n == m == 0 else 2 * both / (n + m) if both else 0.0
         want = (recall, f1(len({*r.sp} & {*r.sg}), len({*r.sp}), len({*r.sg})), f1((Counter(r.qp) & Counter(r.qg)).total(), len(r.qp), len(r.qg)), float(r.qp == r.qg))
         assert tuple(got[r.i][n] for n in ("context_recall", "f1_set", "f1_bag", "exact")) == pytest.approx(want)
+
+
+def test_bm25_holds_some_questions_at_a_time(spark, monkeypatch):
+    """A block of many short questions: their sums with a block of claims are held some at a time, with the same rows."""
+    claims, _ = _lexical_tables(spark, 240)
+    short = claims.filter("content <> ''").select(F.col("id").alias("qid"), "user_id", F.substring_index("content", " ", 1).alias("text"))
+    found = lambda: sorted((r.qid, r.claim_id, r["rank"], round(r.similarity, 8)) for r in retrieve.bm25(short, claims, ["content"], 5).collect())
+    whole = found()
+    cells = 1000
+    monkeypatch.setattr(retrieve, "CELLS", cells)
+    plain = retrieve.block_scores
+
+    def bounded(one, two, shape, *rest):
+        assert shape[0] == 1 or shape[0] * shape[1] <= cells
+        return plain(one, two, shape, *rest)
+
+    monkeypatch.setattr(retrieve, "block_scores", bounded)
+    assert found() == whole and len(whole) > 500

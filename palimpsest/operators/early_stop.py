@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from ..shared import written
 from . import retrieve
-from .retrieve import B, EPSILON, K1, _dealt, _spread, _term_key, postings, tokens, top_k
+from .retrieve import B, EPSILON, K1, _dealt, _gathered, _spread, _term_key, postings, tokens, top_k
 
 #: Levels of impact: an impact lies between 0 and K1 + 1.
 LEVELS = 64
@@ -208,9 +208,8 @@ def stages(questions: DataFrame, claims: DataFrame, fields: list[str], k: int =
     weighted = written(w.join(threshold, "qid", "left").select(F.col("qid").alias("id"), "user_id", number(F.col("term")).alias("term"), "w", F.coalesce("theta", F.lit(0.0)).alias("theta")), "weighted")
     c, counts = _dealt(p.select("user_id", "id", number(F.col("term")).alias("term"), "impact"), "id", retrieve.CLAIM_BLOCK)
     q, _ = _dealt(weighted, "id", retrieve.QUESTION_BLOCK)
-    # collected: the rows of one block
-    c = c.groupBy("user_id", "b").agg(F.collect_list(F.struct("id", "term", "impact")).alias("c"))
-    q = q.groupBy("user_id", "b").agg(F.collect_list(F.struct("id", "term", "w", "theta")).alias("q")).drop("b")
+    c = _gathered(c, ["user_id", "b"], "c", ["id", "term", "impact"])
+    q = _gathered(q, ["user_id", "b"], "q", ["id", "term", "w", "theta"]).drop("b")
     q = q.join(counts, "user_id").select("user_id", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
     blocks = q.join(c, ["user_id", "b"]).select("q", "c")
     total = blocks.mapInArrow(_searched(k, exclude_self, False), "qid long, claim_id long, score double")

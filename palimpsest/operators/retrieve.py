@@ -45,6 +45,11 @@ def _dealt(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
     return rows.join(counts, "user_id").withColumn("b", F.pmod(F.xxhash64(key), F.col("n"))).drop("n"), counts
 
 
+def _gathered(rows: DataFrame, keys: list[str], name: str, columns: list[str]) -> DataFrame:
+    """(keys, name: array of structs), a row a block. Dealt out before they are collected: a task holds the blocks of its share, not parts of all blocks of the rows that it reads."""
+    return rows.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
 def _term_key(df: DataFrame) -> Callable[[Column], Column]:
     """A 64-bit number of a term that no two terms of (term, df) share."""
     for seed in range(8):
@@ -139,9 +144,8 @@ def bm25(questions: DataFrame, claims: DataFrame, fields: list[str], k: int = 10
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     c, counts = _dealt(p.crossJoin(size.select("avgdl")).select("user_id", "id", number(F.col("term")).alias("term"), impact.alias("impact")), "id", CLAIM_BLOCK)
     q, _ = _dealt(weighted, "id", QUESTION_BLOCK)
-    # collected: the rows of one block
-    c = c.groupBy("user_id", "b").agg(F.collect_list(F.struct("id", "term", "impact")).alias("c"))
-    q = q.groupBy("user_id", "b").agg(F.collect_list(F.struct("id", "term", "w")).alias("q")).drop("b")
+    c = _gathered(c, ["user_id", "b"], "c", ["id", "term", "impact"])
+    q = _gathered(q, ["user_id", "b"], "q", ["id", "term", "w"]).drop("b")
     q = q.join(counts, "user_id").select("user_id", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
     total = q.join(c, ["user_id", "b"]).select("q", "c").mapInArrow(_best_of_blocks(k, exclude_self), "qid long, claim_id long, score double")
     return top_k(total.withColumn("similarity", F.round(F.least(F.lit(1.0), F.col("score") / F.max("score").over(Window.partitionBy("qid"))), 9)), "similarity", k).drop("score")
@@ -250,8 +254,7 @@ def entity_lookup(questions: DataFrame, entity_postings: DataFrame) -> DataFrame
     def blocks(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame]:
         n = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).alias("n"))  # one row
         dealt = rows.crossJoin(n).select(F.pmod(F.xxhash64("id"), F.col("n")).alias("b"), "id", number(F.col("term")).alias("term"))
-        # collected: the rows of one block
-        return dealt.groupBy("b").agg(F.collect_list(F.struct("id", "term")).alias(name)), n
+        return _gathered(dealt, ["b"], name, ["id", "term"]), n
 
     c, n = blocks(p, CLAIM_BLOCK, "c")
     q = blocks(named, QUESTION_BLOCK, "q")[0].crossJoin(n).select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))

@@ -440,3 +440,10 @@ def test_bm25_holds_some_questions_at_a_time(spark, monkeypatch):
 
     monkeypatch.setattr(retrieve, "block_scores", bounded)
     assert found() == whole and len(whole) > 500
+
+
+def test_blocks_are_dealt_out_before_they_are_collected(spark):
+    """No task collects parts of all blocks from the rows that it happens to read."""
+    claims, questions = _lexical_tables(spark, 60)
+    plan = retrieve.bm25(questions, claims, ["content"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == plan.count("partial_collect_list") == 2

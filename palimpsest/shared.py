@@ -23,10 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: later reads survive lost executors and don't recompute."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

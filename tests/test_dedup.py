@@ -74,3 +74,49 @@ def test_blocks_are_compared_by_products():
     assert dedup._common(left, right, columns=64).tolist() == want
     assert dedup._common(left, [right[3]]).tolist() == [[0]] * 23 and dedup._common([], right).shape == (0, 17)
     assert [dedup._both(x, y) for x, y in zip(left, right)] == [want[i][i] for i in range(17)]
+
+
+def shuffled_bytes(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    tracker, store, out = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        out += store.lastStageAttempt(stage).shuffleWriteBytes()
+    spark.sparkContext.setJobGroup("", "")
+    return out
+
+
+def test_shingles_are_not_copied_for_pairs_and_bands(spark):
+    """Texts that share bands and aren't near: what is shuffled is in line with the texts, not with their pairs."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(200))) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, content string").cache()
+    signed = dedup.sketched(df.select(F.col("id").alias("rep"), "content")).collect()
+    met = sum(any(p == q for p, q in zip(x.bands, y.bands)) for x in signed for y in signed if x.rep < y.rep)
+    got = []
+    moved = shuffled_bytes(spark, "near duplicates", lambda: got.extend(dedup.near_duplicates(df).collect()))
+    assert met > 1000 and len(got) == len({r.component for r in got}) == 240
+    assert moved < 3 * sum(len(text) for _, text in rows)
+
+
+def test_a_null_text_is_an_empty_one(spark):
+    got = dedup.near_duplicates(spark.createDataFrame([(1, None), (2, ""), (3, "some words of a text")], "id long, content string")).collect()
+    assert sorted((r.id, r.component, r.keep) for r in got) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def test_bitmaps_rule_out_no_near_pair():
+    """At each level a text's bits and its loss make up its shingles, and a pair's common bits and the lesser loss are no less than what it has in common."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    sets = [np.sort(rng.choice(3000, n, replace=False)) for n in rng.integers(200, 700, 30)]
+    n = np.array([len(s) for s in sets], np.int32)
+    side = dedup.SimpleNamespace(n=n, end=np.cumsum(n), g=np.concatenate(sets).astype(np.uint16))
+    for bits, lost in dedup._bitmaps(side, rng.permutation(3000), 2048):
+        assert (np.bitwise_count(bits).sum(axis=1) + lost == n).all()
+        for x in range(30):
+            for y in range(30):
+                most = int(np.bitwise_count(bits[x] & bits[y]).sum()) + min(lost[x], lost[y])
+                assert most >= len(np.intersect1d(sets[x], sets[y]))
